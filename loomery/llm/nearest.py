@@ -7,8 +7,8 @@ the k-th best found so far: candidates that the hypothesis test rejects are aban
 is left is ranked by the exact inner product of the original vectors in double precision.
 
 Centroids are fitted on at most ``sample`` vectors; every vector is indexed. A list longer than
-``chunk`` vectors is split over several tasks. A query probes the ``probes`` nearest lists, and more
-until they hold ``reserve`` candidates.
+``chunk`` vectors is split over several tasks. A query probes so many of its nearest lists that, for ``trials`` queries
+compared with brute force, they hold the share ``recall`` of the true neighbours; and more until they hold ``reserve`` candidates.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do vectors of another than the most frequent length (ties: the shorter). Ties go to the smaller id.
@@ -47,42 +47,46 @@ def exact_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)
 
 
-def scan(blocks: np.ndarray, query: np.ndarray, k: int, epsilon: float = EPSILON) -> np.ndarray:
-    """Indices of rows of ``blocks`` that the tests don't reject as one of the k nearest to ``query``."""
+def scan(blocks: np.ndarray, queries: np.ndarray, k: int, epsilon: float = EPSILON) -> Iterator[np.ndarray]:
+    """For each query the indices of rows of ``blocks`` that the tests don't reject as one of the k nearest."""
     n, d = blocks.shape
     if n <= k:
-        return np.arange(n)
-    first = np.arange(min(n, max(4 * k, 64)))
-    done = ((blocks[first] - query) ** 2).sum(axis=1)
-    slack = 1e-12 * ((blocks[0] ** 2).sum() + (query**2).sum())  # so that rounding parts no ties
-    bound = np.partition(done, k - 1)[k - 1] + slack
-    alive, partial = np.arange(first.size, n), None
-    for at in range(0, d, BLOCK):
-        step = ((blocks[alive, at : at + BLOCK] - query[at : at + BLOCK]) ** 2).sum(axis=1)
-        partial = step if partial is None else partial + step
-        seen = min(d, at + BLOCK)
-        limit = bound * (seen / d) * (1 + epsilon / math.sqrt(seen)) ** 2 if seen < d else bound * (1 + 1e-9)
-        keep = partial <= limit
-        alive, partial = alive[keep], partial[keep]
-        if not alive.size:
-            break
-    return np.concatenate([first[done <= bound * (1 + 1e-9)], alive])
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int = 16, lists: int | None = None, sample: int = 20_000, chunk: int = 4096, reserve: int = 400) -> DataFrame:
+        yield from (np.arange(n) for _ in queries)
+        return
+    head = blocks[:, :BLOCK]
+    norms, scale = (head * head).sum(axis=1), (blocks[0] ** 2).sum()
+    for part in range(0, len(queries), 256):
+        some = queries[part : part + 256]
+        starts = np.maximum(0.0, norms - 2 * some[:, :BLOCK] @ head.T + (some[:, :BLOCK] ** 2).sum(axis=1)[:, None])
+        for query, start in zip(some, starts, strict=True):
+            slack = 1e-12 * (scale + (query**2).sum())  # so that rounding parts no ties
+            likely = np.argpartition(start, min(n, 3 * k) - 1)[: min(n, 3 * k)]
+            bound = np.partition(((blocks[likely] - query) ** 2).sum(axis=1), k - 1)[k - 1] * (1 + 1e-9) + slack
+            alive, partial = np.arange(n), start
+            for seen in range(BLOCK, d + BLOCK, BLOCK):
+                at = min(d, seen)
+                keep = partial <= (bound * (at / d) * (1 + epsilon / math.sqrt(at)) ** 2 if at < d else bound)
+                alive, partial = alive[keep], partial[keep]
+                if at == d:
+                    break
+                partial = partial + ((blocks[alive, at : at + BLOCK] - query[at : at + BLOCK]) ** 2).sum(axis=1)
+            yield alive
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.96, lists: int | None = None, sample: int = 20_000, chunk: int = 4096, reserve: int = 400, trials: int = 64) -> DataFrame:
     """query_id, rank, vec_id and score of the k nearest found for every vector for which ``is_query`` holds."""
     spark = vectors.sparkSession
     v = materialize(clean(vectors))
     about = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.max(F.size("embedding")).alias("d")).first()
     n, d = about["n"], about["d"] or 1
     # The square root keeps both the centroids and the mean list short; the cap keeps the broadcast below 4096 * (d + 1) doubles.
-    lists = lists or max(1, min(4096, round(math.sqrt(n))))
+    lists = lists or max(1, min(4096, round(math.sqrt(n) / 3)))
     top = about["m"] or 0.0
     rotation = np.linalg.qr(np.random.default_rng(3).normal(size=(d + 1, d + 1)))[0]
 
     def lift(x: np.ndarray, as_query: bool) -> np.ndarray:
         more = np.zeros(len(x)) if as_query else np.sqrt(np.maximum(0.0, top - (x * x).sum(axis=1)))
-        return np.column_stack([x, more]) @ rotation
+        return np.column_stack([x, more]) @ rotation if len(x) else np.zeros((0, d + 1))
 
     def means(group: pd.DataFrame) -> pd.DataFrame:
         x = lift(np.stack(group.sort_values("vec_id")["embedding"].to_numpy()), False)
@@ -117,6 +121,27 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int = 16,
     part_of = F.element_at(F.lit(parts.tolist()), F.col("list") + 1)
     index = index.withColumn("chunk", F.pmod(F.xxhash64("vec_id"), part_of).cast("int"))
 
+    # How many lists hold the wanted share of the true neighbours, by brute force for a few queries (``trials`` at most).
+    tried = v.filter(is_query).orderBy(F.xxhash64(F.lit("trials"), "vec_id"), "vec_id").limit(trials).collect()
+    ask_ids, asks = [r["vec_id"] for r in tried], np.array([r["embedding"] for r in tried]).reshape(len(tried), -1)
+    shared_asks = spark.sparkContext.broadcast((np.array(ask_ids), asks))
+
+    def nearest_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own_ids, qs = shared_asks.value
+        for b in batches:
+            if not len(b) or not len(qs):
+                continue
+            x, ids = np.stack(b["embedding"].to_numpy()), b["vec_id"].to_numpy()
+            score = np.where(ids[None, :] == own_ids[:, None], -np.inf, qs @ x.T)
+            top = np.argpartition(-score, min(k, len(ids)) - 1, axis=1)[:, : min(k, len(ids))]
+            yield pd.DataFrame({"q": np.repeat(np.arange(len(qs)), top.shape[1]), "list": b["list"].to_numpy()[top].ravel(), "score": np.take_along_axis(score, top, axis=1).ravel()})
+
+    best = index.mapInPandas(nearest_of, "q long, list int, score double").filter("score > double('-infinity')")
+    best = best.withColumn("r", F.row_number().over(W.partitionBy("q").orderBy(F.desc("score"), "list"))).filter(F.col("r") <= k).collect()  # trials * k rows
+    place = np.argsort(np.argsort((centroids**2).sum(axis=1) - 2 * lift(asks, True) @ centroids.T, axis=1, kind="stable"), axis=1) if len(tried) else np.zeros((0, 0))
+    needed = sorted(int(place[r["q"], r["list"]]) + 1 for r in best)
+    probes = needed[min(len(needed) - 1, math.ceil(recall * len(needed)))] if needed else 1
+
     def probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         c, (sizes, parts) = shared.value, shared_sizes.value
         for b in batches:
@@ -138,8 +163,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, probes: int = 16,
         x, ids = np.stack(members["embedding"].to_numpy()), members["vec_id"].to_numpy()
         blocks, qs = lift(x, False), np.stack(asks["q"].to_numpy())
         found = []
-        for q, own, at in zip(qs, asks["query_id"].to_numpy(), lift(qs, True), strict=True):
-            near = scan(blocks, at, k + 1)
+        for q, own, near in zip(qs, asks["query_id"].to_numpy(), scan(blocks, lift(qs, True), k + 1), strict=True):
             near = near[ids[near] != own]
             score = exact_products(x[near], q)
             best = np.lexsort((ids[near], -score))[:k]
