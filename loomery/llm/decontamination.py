@@ -63,10 +63,14 @@ def with_fingerprints(rows: DataFrame, lengths: list[int], known: list[int] | No
     rows = rows.withColumn("first", first)
     place = lambda i: (i + F.array_position(F.slice(g, i + 1, F.lit(SPAN)), F.get(m, i)) - 1).cast("int")
     marks = F.transform("first", lambda i: mark(F.get(m, i), place(i), WINDOW, SPAN - 1)).cast(kind)
+
+    def short(n: int) -> Column:
+        at = F.transform(f"g_{n}", lambda fp, i: F.when(is_known(fp), mark(fp, i, n, 0)))
+        return F.filter(at, lambda x: x.isNotNull())
+
     for n in lengths:
         rows = rows.withColumn(f"g_{n}", _grams(w, n))
-        at = F.filter(F.transform(f"g_{n}", lambda fp, i, n=n: F.when(is_known(fp), mark(fp, i, n, 0))), lambda x: x.isNotNull())
-        marks = F.concat(marks, at.cast(kind))
+        marks = F.concat(marks, short(n).cast(kind))
     return rows.withColumn("marks", marks)
 
 
