@@ -29,7 +29,7 @@ def shard(documents: DataFrame, shards: int = 16, seed: int = 13, range_rows: in
     )
     rows = materialize(rows)
     total = rows.count()
-    ranges = max(16, -(-total // range_rows))
+    ranges = max(64, -(-total // range_rows))
     rows = rows.withColumn("range", F.floor((F.shiftrightunsigned("key", 33) / float(1 << 31)) * ranges).cast("long"))
 
     cells = rows.groupBy("source", "range").agg(F.count(F.lit(1)).alias("cell"))
