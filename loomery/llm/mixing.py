@@ -99,22 +99,23 @@ def classifier(features: DataFrame, labelled: DataFrame) -> dict[str, Column]:
     return {d: p / reduce(add, parts.values()) for d, p in parts.items()}
 
 
-def fit_rates(cells: DataFrame, weights: dict[str, float], steps: int = 30, max_rate: float = 1.0) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
+def fit_rates(cells: DataFrame, weights: dict[str, float], steps: int = 40, max_rate: float = 1.0) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
     """Adds ``rate`` to ``cells`` (tokens, p_<domain>); also the targets and the totals reached.
 
     The budget is the largest of which no domain's target exceeds its expected tokens. The gradient is scaled by each
-    domain's tokens, and each step is projected onto [0, max_rate].
+    domain's curvature, the sum of tokens * posterior^2, and each step is projected onto [0, max_rate].
     """
     totals = lambda r: {d: float(x or 0.0) for d, x in zip(DOMAINS, cells.agg(*[F.sum(r * F.col("tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first(), strict=True)}
     there = totals(F.lit(1.0))
+    bend = {d: max(1.0, float(x or 0.0)) for d, x in zip(DOMAINS, cells.agg(*[F.sum(F.col("tokens") * F.col(f"p_{d}") ** 2) for d in DOMAINS]).first(), strict=True)}
     share = {d: weights.get(d, 0.0) / sum(weights.values()) for d in DOMAINS}
     budget = min([there[d] / share[d] for d in DOMAINS if share[d] > 0 and there[d] > 0], default=0.0)
     target = {d: share[d] * budget for d in DOMAINS}
     rate, reached = F.lit(1.0), there
     for _ in range(steps):
-        gap = {d: (reached[d] - target[d]) / max(1.0, there[d]) for d in DOMAINS}
-        if max(map(abs, gap.values())) < 1e-4:
+        if max(abs(reached[d] - target[d]) / max(1.0, there[d]) for d in DOMAINS) < 1e-4:
             break
+        gap = {d: 0.9 * (reached[d] - target[d]) / bend[d] for d in DOMAINS}
         slope = reduce(add, [F.lit(gap[d]) * F.col(f"p_{d}") for d in DOMAINS])
         rate = F.least(F.lit(max_rate), F.greatest(F.lit(0.0), rate - slope))
         reached = totals(rate)
