@@ -123,7 +123,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
 
     # How many lists hold the wanted share of the true neighbours, by brute force for a few queries (``trials`` at most).
     tried = v.filter(is_query).orderBy(F.xxhash64(F.lit("trials"), "vec_id"), "vec_id").limit(trials).collect()
-    ask_ids, asks = [r["vec_id"] for r in tried], np.array([r["embedding"] for r in tried]).reshape(len(tried), -1)
+    ask_ids, asks = [r["vec_id"] for r in tried], np.array([r["embedding"] for r in tried]).reshape(len(tried), d)
     shared_asks = spark.sparkContext.broadcast((np.array(ask_ids), asks))
 
     def nearest_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
