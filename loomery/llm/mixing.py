@@ -2,10 +2,10 @@
 
 Domains come from a labelled table: ``toxic``, ``low`` (quality 0) and ``clean``. A naive Bayes classifier over binned text
 features (length, symbols, capitals, distinct words, and hits of a learned word list for each domain) gives
-every document posteriors. Rates r of documents, between 0 and ``max_rate``, are then fitted by projected gradient descent to
+every document posteriors. Nonnegative rates r of documents, at most ``max_rate``, are then fitted by projected gradient descent to
 the squared gaps between the expected tokens of each domain, sum of r * tokens * posterior, and its target. Documents
 with the same bins share posterior and rate, so the descent runs over cells, of which there are at most
-``CELLS``, however many documents. A document is kept when a seeded uniform of its id is below its rate.
+``CELLS``, however many documents. A document's copies are its rate, rounded up or down by a seeded uniform of its id.
 
 Word lists are fitted on at most about ``sample`` labelled documents; the counts of the classifier, the cells and totals cover all.
 
@@ -99,7 +99,7 @@ def classifier(features: DataFrame, labelled: DataFrame) -> dict[str, Column]:
     return {d: p / reduce(add, parts.values()) for d, p in parts.items()}
 
 
-def fit_rates(cells: DataFrame, weights: dict[str, float], steps: int = 40, max_rate: float = 1.0) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
+def fit_rates(cells: DataFrame, weights: dict[str, float], steps: int = 40, max_rate: float = 4.0) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
     """Adds ``rate`` to ``cells`` (tokens, p_<domain>); also the targets and the totals reached.
 
     The budget is the largest of which no domain's target exceeds its expected tokens. The gradient is scaled by each
@@ -123,7 +123,7 @@ def fit_rates(cells: DataFrame, weights: dict[str, float], steps: int = 40, max_
 
 
 def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int = 17, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (all columns by default) with tokens, p_<domain>, rate and kept for every row of ``documents``."""
+    """``keep`` (all columns by default) with tokens, p_<domain>, rate and copies for every row of ``documents``."""
     keep = documents.columns if keep is None else keep
     labelled = materialize(_labelled(labels))
     lists = word_lists(documents, labelled)
@@ -135,4 +135,4 @@ def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed
     rows = narrow if keep == ["doc_id"] else featured(documents, lists, keep)
     uniform = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.join(F.broadcast(rated), list(BINS))  # at most CELLS rows
-    return rows.select(*keep, "tokens", *[f"p_{d}" for d in DOMAINS], "rate", (uniform < F.col("rate")).alias("kept"))
+    return rows.select(*keep, "tokens", *[f"p_{d}" for d in DOMAINS], "rate", F.greatest(F.lit(0), F.ceil(F.col("rate") - uniform)).cast("int").alias("copies"))

@@ -166,7 +166,7 @@ def test_mixing(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
     rows = mixing.mix(docs, labels, queries.WEIGHTS, keep=["doc_id"]).collect()
-    assert len(rows) == docs.count() and all(0 <= r["rate"] <= 1 for r in rows)
+    assert len(rows) == docs.count() and all(r["rate"] >= 0 and r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in rows)
     reached = {d: sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS}
     for d, w in queries.WEIGHTS.items():
         assert abs(reached[d] / sum(reached.values()) - w) < 0.02
