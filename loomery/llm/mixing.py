@@ -11,7 +11,7 @@ Word lists are fitted on at most about ``sample`` labelled documents; the counts
 
 Edge cases: null and empty texts have no tokens and the first bins. Null ids are one id to the uniform. Labels that are null, or of
 unknown documents, are ignored; a document labelled twice is toxic, else low, if one label says so. Without labels the posteriors are the
-uniform prior. Repeated rows are decided alike. Extra columns are passed through by ``mix``.
+uniform prior. Repeated rows are decided alike. Extra columns are passed through by ``mix``, but for those named like its own, which replace them.
 """
 
 from __future__ import annotations
@@ -66,9 +66,9 @@ def word_lists(documents: DataFrame, labelled: DataFrame, sample: int = 6000, ke
 
 
 def featured(documents: DataFrame, lists: dict[str, list[str]], keep: list[str]) -> DataFrame:
-    """``keep``, tokens and the binned features of every row, from one pass over the texts."""
+    """``_keep`` (a struct of the columns ``keep``, so that no name clashes), tokens and the binned features of every row, from one pass over the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select(*keep, F.length(text).alias("n"), F.regexp_count(text, F.lit(r"[#$%&|!*@^~<>{}]")).alias("symbols"), F.regexp_count(text, F.lit("[A-Z]")).alias("capitals"), words_of(F.col("text")).alias("words"))
+    rows = documents.select(F.struct(*keep).alias("_keep"), F.length(text).alias("n"), F.regexp_count(text, F.lit(r"[#$%&|!*@^~<>{}]")).alias("symbols"), F.regexp_count(text, F.lit("[A-Z]")).alias("capitals"), words_of(F.col("text")).alias("words"))
     rows = rows.withColumn("tokens", F.size("words").cast("long")).withColumn("terms", _terms(F.col("words")))
     of = lambda c: F.col(c) / F.greatest(F.col("n"), F.lit(1))
     hits = lambda d: F.size(F.array_intersect("terms", F.lit(lists[d]).cast("array<string>"))) if lists.get(d) else F.lit(0)
@@ -80,7 +80,7 @@ def featured(documents: DataFrame, lists: dict[str, list[str]], keep: list[str])
         "b_low": _step(hits("low"), 1, 2, 4),
         "b_toxic": _step(hits("toxic"), 1, 2, 4),
     }
-    return rows.select(*keep, "tokens", *[b.cast("int").alias(c) for c, b in bins.items()])
+    return rows.select("_keep", "tokens", *[b.cast("int").alias(c) for c, b in bins.items()])
 
 
 def classifier(features: DataFrame, labelled: DataFrame) -> dict[str, Column]:
@@ -127,12 +127,13 @@ def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed
     keep = documents.columns if keep is None else keep
     labelled = materialize(_labelled(labels))
     lists = word_lists(documents, labelled)
-    narrow = materialize(featured(documents, lists, ["doc_id"]))
+    narrow = materialize(featured(documents, lists, ["doc_id"]).select("_keep.doc_id", "tokens", *BINS))
     posterior = classifier(narrow, labelled)
     cells = narrow.groupBy(*BINS).agg(F.sum("tokens").alias("tokens"))
     cells = materialize(cells.select(*BINS, "tokens", *[p.alias(f"p_{d}") for d, p in posterior.items()]).coalesce(4))
     rated = materialize(fit_rates(cells, weights)[0].drop("tokens"))
-    rows = narrow if keep == ["doc_id"] else featured(documents, lists, keep)
-    uniform = F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = narrow.withColumn("_keep", F.struct("doc_id")) if keep == ["doc_id"] else featured(documents, lists, keep)
+    uniform = F.pmod(F.xxhash64(F.lit(seed), "_keep.doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.join(F.broadcast(rated), list(BINS))  # at most CELLS rows
-    return rows.select(*keep, "tokens", *[f"p_{d}" for d in DOMAINS], "rate", F.greatest(F.lit(0), F.ceil(F.col("rate") - uniform)).cast("int").alias("copies"))
+    made = {"tokens", "rate", "copies", *[f"p_{d}" for d in DOMAINS]}
+    return rows.select(*[F.col("_keep")[c].alias(c) for c in keep if c not in made], "tokens", *[f"p_{d}" for d in DOMAINS], "rate", F.greatest(F.lit(0), F.ceil(F.col("rate") - uniform)).cast("int").alias("copies"))
