@@ -73,9 +73,11 @@ def build_index(facts: DataFrame, quarantine: DataFrame | None = None) -> DataFr
     keyed = facts.withColumn("key", T.question_key(F.col("user"))).filter("key <> ''")
     if quarantine is not None:
         keyed = keyed.join(quarantine.select("key").distinct(), "key", "left_anti")
-    first = keyed.groupBy("key").agg(F.min(F.struct("ord", "user", "assistant")).alias("f"), F.collect_list(T.answer_key(F.col("assistant"))).alias("answers"))
-    rejected = F.size(F.filter("answers", lambda a: a != T.answer_key(F.col("f.assistant"))))
-    return first.select("key", "f.ord", "f.user", "f.assistant", rejected.alias("rejected"))
+    # Counted by key and answer first, so that a hot key is never gathered as a list.
+    per = keyed.groupBy("key", T.answer_key(F.col("assistant")).alias("answer")).agg(F.min(F.struct("ord", "user", "assistant")).alias("f"), F.count(F.lit(1)).alias("n"))
+    first = per.groupBy("key").agg(F.min(F.struct("f", "answer", "n")).alias("a"), F.sum(F.when(F.col("answer").isNotNull(), F.col("n"))).alias("total"))
+    rejected = F.when(F.col("a.answer").isNull(), 0).otherwise(F.col("total") - F.col("a.n")).cast("int")
+    return first.select("key", "a.f.ord", "a.f.user", "a.f.assistant", rejected.alias("rejected"))
 
 
 def lookup(queries: DataFrame, index: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Rows are (run_id or file, ord, step, ...). Every window is partitioned by its fi
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -59,15 +61,18 @@ def smoothed(rows: DataFrame, half: int = 2, back: int = 8) -> DataFrame:
 
 
 def ema(rows: DataFrame, alpha: float) -> DataFrame:
-    """Exponential mean by ord, nulls carry the state. A fold over each run's ordered values."""
-    seq = rows.groupBy("file", "run").agg(F.array_sort(F.collect_list(F.struct("ord", "loss"))).alias("s"))
-    zero = F.struct(F.lit(None).cast("double").alias("v"), F.array().cast("array<struct<ord:bigint,ema:double>>").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        v = F.when(x["loss"].isNull(), a["v"]).when(a["v"].isNull(), x["loss"]).otherwise(x["loss"] * alpha + a["v"] * (1 - alpha))
-        return F.struct(v.alias("v"), F.concat(a["out"], F.array(F.struct(x["ord"].alias("ord"), v.alias("ema")))).alias("out"))
-
-    return seq.select("file", "run", F.explode(F.aggregate("s", zero, step)["out"]).alias("e")).select("file", "run", "e.ord", "e.ema")
+    """Exponential mean by ord, nulls carry the state.
+
+    A known value counts by ``1 - alpha`` to the power of its distance, so values beyond ``reach`` are lost in a double's rounding; a
+    frame of that many known rows gives the same result as a fold over the whole run, which is never gathered.
+    """
+    reach = math.ceil(math.log(1e-18) / math.log(1 - alpha)) if alpha < 1 else 0
+    near = F.collect_list("loss").over(_by_run().rowsBetween(-reach, 0))
+    known = rows.filter("loss is not null").select("file", "run", "ord", near.alias("w"))
+    fold = F.aggregate(F.slice("w", F.lit(2), F.size("w")), F.col("w")[0], lambda a, x: x * alpha + a * (1 - alpha))
+    both = known.select("file", "run", "ord", fold.alias("e")).unionByName(rows.filter("loss is null").select("file", "run", "ord", F.lit(None).cast("double").alias("e")))
+    carried = F.last("e", ignorenulls=True).over(_by_run().rowsBetween(W.unboundedPreceding, 0))
+    return both.select("file", "run", "ord", carried.alias("ema"))
 
 
 def decide(rows: DataFrame, ratio: float = 1.5, patience: int = 4, max_steps: int = 600) -> DataFrame:

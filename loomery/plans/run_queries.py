@@ -71,7 +71,8 @@ def smoothed_series(spark: SparkSession, d: str) -> DataFrame:
     return r6(R.smoothed(runs(spark, d)), "mean", "deviation", "to_first", "to_previous")
 
 
-@query()
+@query(f"""with k as (select file, run, ord, list_reduce(list(loss) over (partition by file, run order by ord rows between unbounded preceding and current row), lambda a, x: x * 0.3 + a * 0.7) as e from ({RUNS}) where loss is not null)
+  select file, run, ord, round(last_value(e ignore nulls) over (partition by file, run order by ord rows between unbounded preceding and current row), 6) as ema from ({RUNS}) left join k using (file, run, ord)""")
 def exponential_mean(spark: SparkSession, d: str) -> DataFrame:
     """W8."""
     return r6(R.ema(runs(spark, d), 0.3), "ema")
