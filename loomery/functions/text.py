@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import unicodedata
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,8 @@ FAMILIES = (
     ("who", r"^who "),
     ("tell_me", r"^tell me about "),
 )
+#: Greek letters and dashes of formulas, which the compatibility decomposition leaves.
+SCIENCE = {"α": "alpha", "β": "beta", "γ": "gamma", "π": "pi", "–": "-", "—": "-"}
 #: Markers of text that was dumped rather than written.
 DUMP_MARKERS = ("### ", "%%%", "&&&", "$$$", " | ", "!! ")
 ADVICE = r"(?i)\b(?:dose|dosage|symptom|treatment|diagnos|prescri|medicin|therapy|idiot|stupid)"
@@ -196,3 +200,21 @@ def story_question(ord: Column) -> Column:
     """The template by line number."""
     forms = ("Tell me a story.", "Write a short story.", "Can you tell a story?", "I want a story.", "Story time!")
     return F.element_at(F.array(*map(F.lit, forms)), (F.pmod(ord, F.lit(len(forms))) + 1).cast("int"))
+
+
+def folded(label: str | None) -> str | None:
+    """H8 for one label: plain ASCII by the compatibility decomposition; what has no ASCII form at all stays as it is."""
+    if label is None:
+        return None
+    mapped = " ".join(label.split()).translate(str.maketrans(SCIENCE))
+    ascii_only = unicodedata.normalize("NFKD", mapped).encode("ascii", "ignore").decode("ascii")
+    return " ".join(ascii_only.split()) or mapped
+
+
+def fold_label(text: Column) -> Column:
+    """H8. Spark has no built-in decomposition, so the labels go through Arrow batches."""
+
+    def fold_all(labels: pd.Series) -> pd.Series:
+        return labels.map(folded, na_action="ignore")
+
+    return F.pandas_udf(fold_all, "string")(text)
