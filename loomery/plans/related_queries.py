@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import topics
 from ..operators import pairs as P
 from ..operators import related as R
 from ..sources.tables import table
-from .fact_queries import INVENTORS, fold_sql, question_sql
+from .fact_queries import INVENTORS, collapse_sql, fold_sql, question_sql
 
 QUERIES, SQL = {}, {}
 
@@ -68,3 +69,9 @@ def folded_texts(spark: SparkSession, d: str) -> DataFrame:
     """H8 on whole texts; no SQL, as DuckDB has no compatibility decomposition."""
     folded = T.fold_label(F.col("text"))
     return table(spark, d, "documents").select("doc_id", folded.alias("folded")).select("doc_id", F.length("folded").cast("long").alias("n_chars"), F.sha2(F.col("folded").cast("binary"), 256).alias("sha256"))
+
+
+@query(f"select doc_id, {topics.topic_sql('line')} as topic from (select doc_id, {collapse_sql('text')} as line from documents)")
+def document_topics(spark: SparkSession, d: str) -> DataFrame:
+    """U4 on whole texts."""
+    return table(spark, d, "documents").select("doc_id", topics.topic(F.col("text")).alias("topic"))

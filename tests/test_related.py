@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from loomery import registry
 from loomery.functions import text as T
+from loomery.functions import topics
 from loomery.operators import related as R
 from loomery.sources import arrays
 
@@ -58,3 +59,20 @@ def test_arrays_come_back_whole(spark, tmp_path):
     for r in arrays.read_arrays(spark, str(tmp_path), chunk=5).orderBy("key", "at").collect():
         got.setdefault((r["key"], tuple(r["shape"])), []).extend(r["values"])
     assert got == {("a", (4, 3)): a.reshape(-1).tolist(), ("b", (0, 2)): [], ("one", (2,)): [1.0, 2.0]}
+
+
+def test_topics_of_fact_lines(spark):
+    rows = {
+        "The Erie Canal stretched 363 miles across New York State.": "Erie Canal",
+        "Soon we dropped into a living forest, where cold-tolerant evergreens remain.": None,
+        "In addition, these colors weren't confined to a province in this short line.": None,
+        "Annual population growth rate (2011 est., CIA World Factbook): 1.284%.": "Annual population growth rate",
+        "Sri Lanka is a country in South Asia, located on an island once known as Ceylon.": "Sri Lanka",
+        "This has led to the recent banning of Neonics in the EU, however the US and Canada are still using this chemical pesticide.": "Neonics",
+        "Stress, anorexia, weight loss or gain, and ovarian cysts are examples of hormone changes.": "Stress",
+        "Cats are small carnivorous mammals.": "Cats",
+        "": None,
+        None: None,
+    }
+    df = spark.createDataFrame([(t,) for t in rows], "t string").select("t", topics.topic(F.col("t")).alias("topic"))
+    assert {r["t"]: r["topic"] for r in df.collect()} == rows
