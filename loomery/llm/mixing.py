@@ -3,7 +3,7 @@
 Domains come from a labelled table: ``toxic``, ``low`` (quality 0) and ``clean``. A naive Bayes classifier over binned text
 features (length, symbols, capitals, distinct words, and hits of a learned word list for each domain) gives
 every document posteriors. Nonnegative rates r of documents, at most ``max_rate``, are then fitted by projected gradient descent to
-the squared gaps between the expected tokens of each domain, sum of r * tokens * posterior, and its target. Documents
+the squared gaps between the expected tokens of each domain, sum of r * tokens * posterior, and its target, which keeps the clean tokens whole. Documents
 with the same bins share posterior and rate, so the descent runs over cells, of which there are at most
 ``CELLS``, however many documents. A document's copies are its rate, rounded up or down by a seeded uniform of its id.
 
@@ -99,27 +99,54 @@ def classifier(features: DataFrame, labelled: DataFrame) -> dict[str, Column]:
     return {d: p / reduce(add, parts.values()) for d, p in parts.items()}
 
 
-def fit_rates(cells: DataFrame, weights: dict[str, float], steps: int = 40, max_rate: float = 4.0) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
-    """Adds ``rate`` to ``cells`` (tokens, p_<domain>); also the targets and the totals reached.
+def fit_rates(cells: DataFrame, weights: dict[str, float], steps: int = 2000, max_rate: float = 4.0) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
+    """Adds ``rate`` to ``cells`` (tokens, p_<domain>), at most ``CELLS`` rows; also the targets and the totals reached.
 
-    The budget is the largest of which no domain's target exceeds its expected tokens. The gradient is scaled by each
-    domain's curvature, the sum of tokens * posterior^2, and each step is projected onto [0, max_rate].
+    The budget is that of which the clean target is all expected clean tokens, so a scarce domain takes rates above 1 and does not
+    shrink the others; without clean tokens it is the largest of which no domain's target exceeds its expected tokens.
+    The gradient is scaled by each domain's curvature, the sum of tokens * posterior^2, and divided by the number of domains, so
+    that no step overshoots; each is projected onto [0, max_rate]. It ends at the targets, or where the rates stand still: at the
+    least sum of squared gaps over curvature.
     """
-    totals = lambda r: {d: float(x or 0.0) for d, x in zip(DOMAINS, cells.agg(*[F.sum(r * F.col("tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first(), strict=True)}
-    there = totals(F.lit(1.0))
+    totals = lambda df, r: {d: float(x or 0.0) for d, x in zip(DOMAINS, df.agg(*[F.sum(r * F.col("tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first(), strict=True)}
+    there = totals(cells, F.lit(1.0))
     bend = {d: max(1.0, float(x or 0.0)) for d, x in zip(DOMAINS, cells.agg(*[F.sum(F.col("tokens") * F.col(f"p_{d}") ** 2) for d in DOMAINS]).first(), strict=True)}
     share = {d: weights.get(d, 0.0) / sum(weights.values()) for d in DOMAINS}
-    budget = min([there[d] / share[d] for d in DOMAINS if share[d] > 0 and there[d] > 0], default=0.0)
+    clean = DOMAINS[0]
+    if share[clean] > 0 and there[clean] > 0:
+        budget = there[clean] / share[clean]
+    else:
+        budget = min([there[d] / share[d] for d in DOMAINS if share[d] > 0 and there[d] > 0], default=0.0)
     target = {d: share[d] * budget for d in DOMAINS}
-    rate, reached = F.lit(1.0), there
-    for _ in range(steps):
-        if max(abs(reached[d] - target[d]) / max(1.0, there[d]) for d in DOMAINS) < 1e-4:
-            break
-        gap = {d: 0.9 * (reached[d] - target[d]) / bend[d] for d in DOMAINS}
-        slope = reduce(add, [F.lit(gap[d]) * F.col(f"p_{d}") for d in DOMAINS])
-        rate = F.least(F.lit(max_rate), F.greatest(F.lit(0.0), rate - slope))
-        reached = totals(rate)
-    return cells.withColumn("rate", F.round(rate, 9)), target, reached
+    of = lambda c, d: c[f"p_{d}"].cast("double")
+    zero = F.array(*[F.lit(0.0)] * len(DOMAINS))
+
+    def reached(rates: Column) -> Column:
+        parts = F.zip_with(rates, "cells", lambda r, c: F.struct((r * c["tokens"]).alias("t"), c.alias("c")))
+        return F.aggregate(parts, zero, lambda s, x: F.array(*[s[i] + x["t"] * of(x["c"], d) for i, d in enumerate(DOMAINS)]))
+
+    def stepped(rates: Column, now: Column) -> Column:
+        slope = lambda c: reduce(add, [(now[i] - target[d]) / (len(DOMAINS) * bend[d]) * of(c, d) for i, d in enumerate(DOMAINS)])
+        return F.zip_with(rates, "cells", lambda r, c: F.least(F.lit(max_rate), F.greatest(F.lit(0.0), r - slope(c))))
+
+    def let(value: Column, then) -> Column:
+        return F.transform(F.array(value), then)[0]
+
+    def step(state: Column) -> Column:
+        def move(now: Column) -> Column:
+            near = reduce(lambda x, y: x & y, [F.abs(now[i] - target[d]) < 1e-4 * max(1.0, there[d]) for i, d in enumerate(DOMAINS)])
+            moved = let(stepped(state["rates"], now), lambda r: F.struct(r.alias("rates"), (F.array_max(F.zip_with(r, state["rates"], lambda x, y: F.abs(x - y))) < 1e-7).alias("done")))
+            return F.when(near, F.struct(state["rates"].alias("rates"), F.lit(True).alias("done"))).otherwise(moved)
+
+        return F.when(state["done"], state).otherwise(let(reached(state["rates"]), move))
+
+    # The cells are few, so that the steps are one expression over their array instead of a job each.
+    packed = cells.agg(F.array_sort(F.collect_list(F.struct(*cells.columns))).alias("cells"))
+    first = F.struct(F.transform("cells", lambda c: F.lit(1.0)).alias("rates"), (F.size("cells") == 0).alias("done"))
+    solved = packed.select("cells", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda state, _: step(state))["rates"].alias("rates"))
+    rated = solved.select(F.explode(F.arrays_zip("cells", "rates")).alias("x")).select("x.cells.*", F.round("x.rates", 9).alias("rate"))
+    rated = materialize(rated)
+    return rated, target, totals(rated, F.col("rate"))
 
 
 def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int = 17, keep: list[str] | None = None) -> DataFrame:
@@ -131,7 +158,7 @@ def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed
     posterior = classifier(narrow, labelled)
     cells = narrow.groupBy(*BINS).agg(F.sum("tokens").alias("tokens"))
     cells = materialize(cells.select(*BINS, "tokens", *[p.alias(f"p_{d}") for d, p in posterior.items()]).coalesce(4))
-    rated = materialize(fit_rates(cells, weights)[0].drop("tokens"))
+    rated = fit_rates(cells, weights)[0].drop("tokens")
     rows = narrow.withColumn("_keep", F.struct("doc_id")) if keep == ["doc_id"] else featured(documents, lists, keep)
     uniform = F.pmod(F.xxhash64(F.lit(seed), "_keep.doc_id"), F.lit(1 << 30)) / float(1 << 30)
     rows = rows.join(F.broadcast(rated), list(BINS))  # at most CELLS rows
