@@ -2,24 +2,29 @@
 
 Domains come from a labelled table: ``toxic``, ``low`` (quality 0) and ``clean``. A naive Bayes classifier over binned text
 features (length, symbols, capitals, distinct words, and hits of a learned word list for each domain) gives
-every document posteriors. Nonnegative rates r of documents, at most ``max_rate``, are then fitted by projected gradient descent to
-the squared gaps between the expected tokens of each domain, sum of r * tokens * posterior, and its target, which keeps the clean tokens whole. Documents
-with the same bins share posterior and rate, so the descent runs over cells, of which there are at most
-``CELLS``, however many documents. A document's copies are its rate, rounded up or down by a seeded uniform of its id.
+every document posteriors. Nonnegative rates of documents are then fitted to the squared gaps between the expected tokens of each
+domain, sum of rate * tokens * posterior, and its target, which keeps the clean tokens whole. Rates start at 1 and follow the projected
+gradient: a document's rate is max(0, 1 + sum of posterior * pull over the domains), so of all rates that reach the targets it is the one
+nearest to 1. Each step is one distributed aggregate (the totals reached and their curvature, nine numbers) over cells of documents with the same bins, of which
+there are at most ``CELLS``, however many documents; the step is scaled by the curvature and halved until the objective falls.
+A document's copies are its rate, rounded up or down by a seeded uniform of its id.
 
 Word lists are fitted on at most about ``sample`` labelled documents; the counts of the classifier, the cells and totals cover all.
 
 Edge cases: null and empty texts have no tokens and the first bins. Null ids are one id to the uniform. Labels that are null, or of
-unknown documents, are ignored; a document labelled twice is toxic, else low, if one label says so. Without labels the posteriors are the
-uniform prior. Repeated rows are decided alike. Extra columns are passed through by ``mix``, but for those named like its own, which replace them.
+unknown documents, are ignored; a document labelled twice is toxic, else low, if one label says so. Without labelled documents the
+posteriors are the uniform prior and all rates 1. Targets that no rates reach are approached to the least squares, and ``Fit.met`` says so. Repeated rows are decided alike. Extra
+columns are passed through by ``mix``, but for those named like its own, which replace them; ``chosen`` keeps every column as it is.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 from functools import reduce
 from operator import add
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,8 +88,8 @@ def featured(documents: DataFrame, lists: dict[str, list[str]], keep: list[str])
     return rows.select("_keep", "tokens", *[b.cast("int").alias(c) for c, b in bins.items()])
 
 
-def classifier(features: DataFrame, labelled: DataFrame) -> dict[str, Column]:
-    """Posterior of each domain as an expression over the bins, from counts over all labelled rows."""
+def classifier(features: DataFrame, labelled: DataFrame) -> tuple[dict[str, Column], int]:
+    """Posterior of each domain as an expression over the bins, from counts over all labelled rows; and their number."""
     joined = features.join(labelled, "doc_id")
     counts = joined.select("domain", F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).alias("bin")) for c in BINS])).alias("x")).groupBy("domain", "x.feature", "x.bin").agg(F.count(F.lit(1)).alias("n")).collect()  # at most 78 rows
     n = {(r["domain"], r["feature"], r["bin"]): r["n"] for r in counts}
@@ -96,71 +101,104 @@ def classifier(features: DataFrame, labelled: DataFrame) -> dict[str, Column]:
             log_p[d] = log_p[d] + F.element_at(F.lit([math.log((n.get((d, c, b), 0) + 0.5) / (size[d] + 0.5 * bins)) for b in range(bins)]), F.col(c) + 1)
     top = F.greatest(*log_p.values())
     parts = {d: F.exp(x - top) for d, x in log_p.items()}
-    return {d: p / reduce(add, parts.values()) for d, p in parts.items()}
+    return {d: p / reduce(add, parts.values()) for d, p in parts.items()}, sum(size.values())
 
 
-def fit_rates(cells: DataFrame, weights: dict[str, float], steps: int = 2000, max_rate: float = 4.0) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
-    """Adds ``rate`` to ``cells`` (tokens, p_<domain>), at most ``CELLS`` rows; also the targets and the totals reached.
+@dataclass(frozen=True)
+class Fit:
+    """The pull of each domain, the targets, the expected tokens that the rates reach, and whether these are within the tolerance of every target."""
 
-    The budget is that of which the clean target is all expected clean tokens, so a scarce domain takes rates above 1 and does not
-    shrink the others; without clean tokens it is the largest of which no domain's target exceeds its expected tokens.
-    The gradient is scaled by each domain's curvature, the sum of tokens * posterior^2, and divided by the number of domains, so
-    that no step overshoots; each is projected onto [0, max_rate]. It ends at the targets, or where the rates stand still: at the
-    least sum of squared gaps over curvature.
+    pull: dict[str, float]
+    target: dict[str, float]
+    reached: dict[str, float]
+    met: bool
+    steps: int
+
+    def rate(self, posterior: dict[str, Column]) -> Column:
+        return F.greatest(F.lit(0.0), reduce(add, [posterior[d] * x for d, x in self.pull.items()], F.lit(1.0)))
+
+
+def targets(there: dict[str, float], weights: dict[str, float]) -> dict[str, float]:
+    """Tokens wanted of each domain: so many that the clean target is all expected clean tokens.
+
+    A scarce domain takes rates above 1 and does not shrink the others. Without clean tokens it is the largest budget of which no target exceeds what is there.
     """
-    totals = lambda df, r: {d: float(x or 0.0) for d, x in zip(DOMAINS, df.agg(*[F.sum(r * F.col("tokens") * F.col(f"p_{d}")) for d in DOMAINS]).first(), strict=True)}
-    there = totals(cells, F.lit(1.0))
-    bend = {d: max(1.0, float(x or 0.0)) for d, x in zip(DOMAINS, cells.agg(*[F.sum(F.col("tokens") * F.col(f"p_{d}") ** 2) for d in DOMAINS]).first(), strict=True)}
-    share = {d: weights.get(d, 0.0) / sum(weights.values()) for d in DOMAINS}
-    clean = DOMAINS[0]
+    share, clean = {d: weights.get(d, 0.0) / sum(weights.values()) for d in DOMAINS}, DOMAINS[0]
     if share[clean] > 0 and there[clean] > 0:
         budget = there[clean] / share[clean]
     else:
         budget = min([there[d] / share[d] for d in DOMAINS if share[d] > 0 and there[d] > 0], default=0.0)
-    target = {d: share[d] * budget for d in DOMAINS}
-    of = lambda c, d: c[f"p_{d}"].cast("double")
-    zero = F.array(*[F.lit(0.0)] * len(DOMAINS))
-
-    def reached(rates: Column) -> Column:
-        parts = F.zip_with(rates, "cells", lambda r, c: F.struct((r * c["tokens"]).alias("t"), c.alias("c")))
-        return F.aggregate(parts, zero, lambda s, x: F.array(*[s[i] + x["t"] * of(x["c"], d) for i, d in enumerate(DOMAINS)]))
+    return {d: share[d] * budget for d in DOMAINS}
 
-    def stepped(rates: Column, now: Column) -> Column:
-        slope = lambda c: reduce(add, [(now[i] - target[d]) / (len(DOMAINS) * bend[d]) * of(c, d) for i, d in enumerate(DOMAINS)])
-        return F.zip_with(rates, "cells", lambda r, c: F.least(F.lit(max_rate), F.greatest(F.lit(0.0), r - slope(c))))
 
-    def let(value: Column, then) -> Column:
-        return F.transform(F.array(value), then)[0]
+def fit_rates(cells: DataFrame, weights: dict[str, float], tolerance: float = 1e-4, steps: int = 60, ridge: float = 1e-7) -> Fit:
+    """Rates for ``cells`` (tokens, p_<domain>), at most ``CELLS`` rows, whose expected tokens come within ``tolerance`` of each target.
 
-    def step(state: Column) -> Column:
-        def move(now: Column) -> Column:
-            near = reduce(lambda x, y: x & y, [F.abs(now[i] - target[d]) < 1e-4 * max(1.0, there[d]) for i, d in enumerate(DOMAINS)])
-            moved = let(stepped(state["rates"], now), lambda r: F.struct(r.alias("rates"), (F.array_max(F.zip_with(r, state["rates"], lambda x, y: F.abs(x - y))) < 1e-7).alias("done")))
-            return F.when(near, F.struct(state["rates"].alias("rates"), F.lit(True).alias("done"))).otherwise(moved)
-
-        return F.when(state["done"], state).otherwise(let(reached(state["rates"]), move))
-
-    # The cells are few, so that the steps are one expression over their array instead of a job each.
-    packed = cells.agg(F.array_sort(F.collect_list(F.struct(*cells.columns))).alias("cells"))
-    first = F.struct(F.transform("cells", lambda c: F.lit(1.0)).alias("rates"), (F.size("cells") == 0).alias("done"))
-    solved = packed.select("cells", F.aggregate(F.sequence(F.lit(1), F.lit(steps)), first, lambda state, _: step(state))["rates"].alias("rates"))
-    rated = solved.select(F.explode(F.arrays_zip("cells", "rates")).alias("x")).select("x.cells.*", F.round("x.rates", 9).alias("rate"))
-    rated = materialize(rated)
-    return rated, target, totals(rated, F.col("rate"))
-
-
-def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int = 17, keep: list[str] | None = None) -> DataFrame:
-    """``keep`` (all columns by default) with tokens, p_<domain>, rate and copies for every row of ``documents``."""
-    keep = documents.columns if keep is None else keep
+    ``ridge`` weighs the distance of the rates from 1 against the squared gaps, so that targets out of reach still have one nearest solution.
+    """
+    p = np.array([f"p_{d}" for d in DOMAINS])
+    k = len(DOMAINS)
+
+    def at(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
+        """Sum of tokens * rate^2, the tokens reached and their curvature where rates are positive."""
+        rate = F.greatest(F.lit(0.0), reduce(add, [F.col(c) * float(x) for c, x in zip(p, pull, strict=True)], F.lit(1.0)))
+        mass = F.when(rate > 0, F.col("tokens").cast("double")).otherwise(0.0)
+        sums = [F.sum(F.col("tokens") * rate * rate), *[F.sum(F.col("tokens") * rate * F.col(c)) for c in p], *[F.sum(mass * F.col(a) * F.col(b)) for a in p for b in p]]
+        got = np.array([x or 0.0 for x in cells.agg(*[x.alias(f"x{i}") for i, x in enumerate(sums)]).first()])  # one row
+        return got[0], got[1 : k + 1], got[k + 1 :].reshape(k, k)
+
+    pull = np.zeros(k)
+    energy, reached, curve = at(pull)
+    want = targets(dict(zip(DOMAINS, reached, strict=True)), weights)
+    goal = np.array([want[d] for d in DOMAINS])
+    soft = ridge * np.maximum(1.0, reached)
+    worth = lambda energy, pull: energy / 2 - goal @ pull + (soft * pull * pull).sum() / 2  # noqa: E731  convex in the pull
+    close = lambda reached: bool((np.abs(reached - goal) <= tolerance * np.maximum(1.0, goal)).all())
+    step = 0
+    while step < steps and not close(reached):
+        step += 1
+        gradient = reached - goal + soft * pull
+        move = np.linalg.solve(curve + np.diag(soft), gradient)
+        now, size = worth(energy, pull), 1.0
+        while True:
+            trial = pull - size * move
+            energy, reached, curve = at(trial)
+            if worth(energy, trial) <= now - 1e-4 * size * (gradient @ move) or size < 1e-6:
+                break
+            size /= 2
+        still, pull = np.abs(trial - pull).max() < 1e-9, trial
+        if still:
+            break
+    return Fit(dict(zip(DOMAINS, pull.tolist(), strict=True)), want, dict(zip(DOMAINS, reached.tolist(), strict=True)), close(reached), step)
+
+
+def _rated(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int, keep: list[str]) -> tuple[DataFrame, Fit]:
+    """``_keep`` (a struct of ``keep``), tokens, p_<domain>, rate and copies of every row; and the fit."""
     labelled = materialize(_labelled(labels))
     lists = word_lists(documents, labelled)
     narrow = materialize(featured(documents, lists, ["doc_id"]).select("_keep.doc_id", "tokens", *BINS))
-    posterior = classifier(narrow, labelled)
+    posterior, known = classifier(narrow, labelled)
     cells = narrow.groupBy(*BINS).agg(F.sum("tokens").alias("tokens"))
-    cells = materialize(cells.select(*BINS, "tokens", *[p.alias(f"p_{d}") for d, p in posterior.items()]).coalesce(4))
-    rated = fit_rates(cells, weights)[0].drop("tokens")
+    cells = materialize(cells.select("tokens", *[p.alias(f"p_{d}") for d, p in posterior.items()]).coalesce(1))  # at most CELLS rows
+    fit = fit_rates(cells, weights) if known else Fit(dict.fromkeys(DOMAINS, 0.0), {}, {}, False, 0)
     rows = narrow.withColumn("_keep", F.struct("doc_id")) if keep == ["doc_id"] else featured(documents, lists, keep)
+    rows = rows.select("_keep", "tokens", *[p.alias(f"p_{d}") for d, p in posterior.items()]).withColumn("rate", fit.rate({d: F.col(f"p_{d}") for d in DOMAINS}))
     uniform = F.pmod(F.xxhash64(F.lit(seed), "_keep.doc_id"), F.lit(1 << 30)) / float(1 << 30)
-    rows = rows.join(F.broadcast(rated), list(BINS))  # at most CELLS rows
-    made = {"tokens", "rate", "copies", *[f"p_{d}" for d in DOMAINS]}
-    return rows.select(*[F.col("_keep")[c].alias(c) for c in keep if c not in made], "tokens", *[f"p_{d}" for d in DOMAINS], "rate", F.greatest(F.lit(0), F.ceil(F.col("rate") - uniform)).cast("int").alias("copies"))
+    return rows.withColumn("copies", F.greatest(F.lit(0), F.ceil(F.col("rate") - uniform)).cast("int")), fit
+
+
+def mix(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int = 17, keep: list[str] | None = None) -> DataFrame:
+    """``keep`` (all columns by default) with tokens, p_<domain>, rate, copies and met for every row of ``documents``.
+
+    ``met`` says whether the expected tokens are within the tolerance of every target.
+    """
+    keep = documents.columns if keep is None else keep
+    rows, fit = _rated(documents, labels, weights, seed, keep)
+    made = ["tokens", *[f"p_{d}" for d in DOMAINS], "rate", "copies"]
+    return rows.select(*[F.col("_keep")[c].alias(c) for c in keep if c not in (*made, "met")], *made, F.lit(fit.met).alias("met"))
+
+
+def chosen(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int = 17) -> DataFrame:
+    """The rows of ``documents``, columns as they are, of which the rates ask for a copy; each once."""
+    rows, _ = _rated(documents, labels, weights, seed, documents.columns)
+    return rows.filter("copies > 0").select(*[F.col("_keep")[c].alias(c) for c in documents.columns])

@@ -61,7 +61,7 @@ def op9_url_markov(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), WEIGHTS, keep=["doc_id"])
-    return mixed.select("doc_id", "tokens", *[F.round(f"p_{d}", 6).alias(f"p_{d}") for d in mixing.DOMAINS], F.round("rate", 6).alias("rate"), "copies")
+    return mixed.select("doc_id", "tokens", *[F.round(f"p_{d}", 6).alias(f"p_{d}") for d in mixing.DOMAINS], F.round("rate", 6).alias("rate"), "copies", "met")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
