@@ -36,14 +36,37 @@ def crc_bucket(doc_id: Column, n: int) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut lineage with a reliable checkpoint in the folder that the cluster shares.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``; a temporary one only for a local master, as in tests."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+    return tempfile.mkdtemp(prefix="loomery-")
 
-    The folder comes from ``spark.checkpoint.dir``; only where that is unset, as in tests, a
-    temporary one is made.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the folder that the cluster shares."""
+    sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomery-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+#: A key is hot with more than this share of all rows, so there are at most as many hot keys as its inverse.
+HOT_SHARE = 1e-4
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, n: str, total: int, how: str = "inner", least: int = 500, share: float = HOT_SHARE) -> DataFrame:
+    """``rows`` joined with ``keyed`` (one row for each ``key``, with its number ``n`` of rows) without a task for each hot key.
+
+    Keys of over ``share`` of the ``total`` rows (and over ``least``) are broadcast, 1 / share of them at most; the others are shuffled.
+    """
+    bound = max(least, total * share)
+    hot = materialize(keyed.filter(F.col(n) > bound))
+    if not hot.take(1):
+        return rows.join(keyed.drop(n), key, how)
+    few = F.broadcast(hot.drop(n))  # at most 1 / share rows
+    cold = rows.join(few.select(key), key, "left_anti").join(keyed.filter(F.col(n) <= bound).drop(n), key, how)
+    return rows.join(few, key).select(cold.columns).unionByName(cold)

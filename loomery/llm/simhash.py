@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import materialize
+from .common import join_hot, materialize
 
 PIECE = 1 << 20
 TILE = 256
@@ -82,17 +82,27 @@ def fingerprints(documents: DataFrame, shingle: int = 4, seed: int = 42) -> Data
 
 def forest(fp: np.ndarray, radius: int) -> np.ndarray:
     """For each fingerprint (int64, distinct) the smallest one of its component within this set."""
-    n = fp.size
-    pops = np.bitwise_count(fp.view(np.uint64))
+    label = tiled_components(fp.view(np.uint64)[:, None], radius)
+    least = np.full(fp.size, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, fp)
+    return least[label]
+
+
+def tiled_components(bits: np.ndarray, radius: int) -> np.ndarray:
+    """For each row of ``bits`` (fingerprints of one or more words of 64 bits) the number of its component by links of at most ``radius`` bits.
+
+    The rows are sorted by population count and compared in tiles; tile pairs whose counts differ beyond the radius are skipped.
+    """
+    n, words = bits.shape
+    pops = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
     order = np.argsort(pops, kind="stable")
-    fp, pops = fp[order], pops[order].astype(np.int64)
-    bits, label = fp.view(np.uint64), np.arange(n)
+    bits, pops, label = np.ascontiguousarray(bits[order].T), pops[order], np.arange(n)
     for i in range(0, n, TILE):
-        a = bits[i : i + TILE]
         for j in range(i, n, TILE):
             if pops[j] - pops[min(i + TILE, n) - 1] > radius:
                 break  # population counts only grow from here
-            near = np.bitwise_count(a[:, None] ^ bits[None, j : j + TILE]) <= radius
+            unlike = sum(np.bitwise_count(bits[w, i : i + TILE, None] ^ bits[w, None, j : j + TILE]).astype(np.uint16) for w in range(words))
+            near = unlike <= radius
             near &= label[i : i + TILE, None] != label[None, j : j + TILE]
             while near.any():
                 x, y = np.nonzero(near)
@@ -103,10 +113,8 @@ def forest(fp: np.ndarray, radius: int) -> np.ndarray:
                     to = to[to]
                 label = to[label]
                 near &= label[i : i + TILE, None] != label[None, j : j + TILE]
-    least = np.full(n, np.iinfo(np.int64).max)
-    np.minimum.at(least, label, fp)
     out = np.empty(n, dtype=np.int64)
-    out[order] = least[label]
+    out[order] = label
     return out
 
 
@@ -180,17 +188,19 @@ def _tile_pairs(rows: DataFrame, radius: int, tile_rows: int) -> DataFrame:
 def connected_components(edges: DataFrame) -> DataFrame:
     """(node, root), root the smallest node of the component, for the nodes of ``edges`` (a, b); singles and roots may be absent.
 
-    Alternates the large-star and small-star contractions until the edges stay as they are.
+    Alternates the large-star and small-star contractions until the edges stay as they are. A node of very many edges is no task of its own.
     """
     state = lambda e: tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     e = materialize(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     was = state(e)
+    n = F.count(F.lit(1)).alias("n")
     while was[0]:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
-        large = both.join(least, "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+        least = both.groupBy("a").agg(F.min("b").alias("m"), n).withColumn("m", F.least("a", "m"))
+        large = join_hot(both, least, "a", "n", 2 * was[0], least=1 << 20).filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        least = large.groupBy("a").agg(F.min("b").alias("m"), n)
+        joined = join_hot(large, least, "a", "n", 2 * was[0], least=1 << 20)
+        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).filter("a <> b").unionByName(least.select("a", F.col("m").alias("b"))).distinct()
         e = materialize(small)
         now = state(e)
         if now == was:
@@ -202,11 +212,17 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def near_duplicates(documents: DataFrame, radius: int = 4, shingle: int = 4, seed: int = 42, bucket_rows: int = 1 << 15) -> DataFrame:
     """doc_id, fp and component_id for every row of ``documents``."""
     rows = materialize(fingerprints(documents, shingle, seed))
-    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = connected_components(links(distinct, radius, bucket_rows))
-    of = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    least = of.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rows.join(of.join(least, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
+    total = rows.count()
+    roots = materialize(connected_components(links(distinct.select("fp"), radius, bucket_rows)))
+    # Only fingerprints of components of two and more have a root other than themselves.
+    linked = distinct.join(roots.filter("node <> root"), F.col("fp") == F.col("node")).select("fp", "least", "n", "root")
+    heads = distinct.join(roots.select(F.col("root").alias("fp")).distinct(), "fp").select("fp", "least", "n", F.col("fp").alias("root"))
+    members = materialize(linked.unionByName(heads))
+    by_root = members.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size"))
+    of = join_hot(members, by_root, "root", "size", total).select("fp", "component_id")
+    keyed = distinct.join(of, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"), "n")
+    return join_hot(rows, keyed, "fp", "n", total).select("doc_id", "fp", "component_id")
 
 
 def hex16(fp: Column) -> Column:
