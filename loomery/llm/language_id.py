@@ -7,7 +7,8 @@ regression is fitted on a sample of at most about ``per_language`` rows of each
 Edge cases: a null text, or one without a letter, is ``und`` with score 0. Rows with a null
 language or a null id are never learned from; a null id counts as not held out. Repeated rows are
 predicted one by one. Without training rows every prediction is ``und``. Texts of any length are
-read whole, in slices. Columns beyond ``doc_id``, ``text`` and ``lang`` are ignored.
+read whole, in slices. Columns beyond ``doc_id``, ``text`` and ``lang`` are passed through; ``predict`` replaces those
+named ``lang_pred`` or ``score``, ``recognised`` keeps them.
 """
 
 from __future__ import annotations
@@ -176,17 +177,34 @@ def predict_text(model: LanguageModel, text: str | None) -> tuple[str, float]:
     return model.languages[best], float(p[best])
 
 
+def _scored(batch: pa.RecordBatch, at: int, model: LanguageModel) -> tuple[pa.Array, pa.Array]:
+    made = [predict_text(model, t.as_py()) for t in batch.column(at)]
+    return pa.array([a for a, _ in made], pa.string()), pa.array([b for _, b in made], pa.float64())
+
+
 def predict(documents: DataFrame, model: LanguageModel) -> DataFrame:
-    """All columns of ``documents`` with ``lang_pred`` and ``score``; only ``text`` is looked at."""
+    """All columns of ``documents`` with ``lang_pred`` and ``score``, which replace columns of these names; only ``text`` is looked at."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     names = [c for c in documents.columns if c not in ("lang_pred", "score")]
     rows = documents.select(*names)
     schema = rows.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        model = shared.value
         for batch in batches:
-            made = [predict_text(model, t.as_py()) for t in batch.column(names.index("text"))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([a for a, _ in made], pa.string()), pa.array([b for _, b in made], pa.float64())], [*names, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *_scored(batch, names.index("text"), shared.value)], [*names, "lang_pred", "score"])
 
     return rows.mapInArrow(score, schema)
+
+
+def recognised(documents: DataFrame, model: LanguageModel, least: float) -> DataFrame:
+    """The rows of ``documents``, columns as they are, whose language is known with a probability of ``least`` or more."""
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+    at = documents.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            spoken, score = _scored(batch, at, shared.value)
+            good = [a != UND and b >= least for a, b in zip(spoken.to_pylist(), score.to_pylist(), strict=True)]
+            yield batch.filter(pa.array(good, pa.bool_()))
+
+    return documents.mapInArrow(keep, documents.schema)

@@ -168,8 +168,9 @@ def test_mixing(spark, odd, empty):
     rows = mixing.mix(docs, labels, queries.WEIGHTS, keep=["doc_id"]).collect()
     assert len(rows) == docs.count() and all(r["rate"] >= 0 and r["copies"] in (int(r["rate"]), int(r["rate"]) + 1) for r in rows)
     reached = {d: sum(r["rate"] * r["tokens"] * r[f"p_{d}"] for r in rows) for d in mixing.DOMAINS}
+    assert all(r["met"] for r in rows)
     for d, w in queries.WEIGHTS.items():
-        assert abs(reached[d] / sum(reached.values()) - w) < 0.02
+        assert abs(reached[d] / sum(reached.values()) / w - 1) < 1e-3
     assert mixing.mix(odd, labels.limit(0), queries.WEIGHTS).count() == odd.count() and mixing.mix(empty, labels, queries.WEIGHTS).count() == 0
 
 
@@ -184,17 +185,3 @@ def test_secrets(spark, odd, empty):
         assert list(secrets.candidates(text)) == [m.span() for m in secrets.CANDIDATE.finditer(text)]
 
 
-def test_pipeline_stages(spark):
-    import corpus_pipeline as p
-
-    docs, d = table(spark, D, "documents"), D
-    for name, stage in p.STAGES[:-1]:
-        out = stage(spark, docs, d)
-        assert out.columns == docs.columns
-        kept = {r["doc_id"] for r in out.select("doc_id").collect()}
-        if name == "simhash_dedup":
-            assert kept == {r["doc_id"] for r in simhash.near_duplicates(docs).collect() if r["doc_id"] == r["component_id"]}
-        if name == "decontamination":
-            assert kept == {r["doc_id"] for r in decontamination.decontaminate(docs, table(spark, d, "benchmark")).filter("not contaminated").collect()}
-        docs = docs.filter(F.col("doc_id").isin(list(kept)))
-    assert p.STAGES[-1][1](spark, docs, d).count() == docs.count()
