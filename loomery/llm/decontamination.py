@@ -3,17 +3,17 @@
 Texts become words, words become hashes of ``K`` consecutive words, and of every ``WINDOW - K + 1``
 consecutive hashes the least is kept (its first place, noted when it changes). Two texts that share ``WINDOW`` words
 share such a fingerprint, so none is missed. Fingerprints of documents meet those of the benchmark in a join;
-each hit is extended, word by word, to the windows around it, so no hash collision counts.
+each hit is extended to the windows around it, which are looked up among the benchmark's distinct windows and compared word by
+word, so no hash collision counts. A window that many items share is looked up once; its items are added at the end.
 
 Items of fewer than ``WINDOW`` words are one window: for each such length that occurs, all runs of
 that many words are hashed, joined and compared in the same way.
 
-Up to ``inline_marks`` fingerprints of the benchmark are a filter inside the scan of a document, so other documents send
-one narrow row on. Up to ``broadcast_rows`` they are broadcast; beyond that the same join shuffles the
-documents' fingerprints with the few words around them.
+Up to ``inline_marks`` fingerprints of the benchmark are a filter inside the scan of a document. Up to ``broadcast_rows`` they, and the windows,
+are broadcast; beyond that the same joins shuffle the documents' fingerprints with the few words around them.
 
 Edge cases: null and empty texts have no words: they are never hit, and such items have no windows. Repeated
-documents get the same row each; repeated item ids count once, null ids never. Extra columns
+documents get the same row each; repeated item ids count once, null ids never as items, though their windows hit. Extra columns
 are ignored. With an empty benchmark nothing is hit.
 """
 
@@ -74,47 +74,54 @@ def with_fingerprints(rows: DataFrame, lengths: list[int], known: list[int] | No
     return rows.withColumn("marks", marks)
 
 
-def benchmark_marks(benchmark: DataFrame) -> tuple[DataFrame, list[int]]:
-    """(fp, item_id, n, item_back, item_near) of the benchmark, and the lengths of its short items."""
-    items = materialize(benchmark.select("item_id", words_of(F.col("text")).alias("words")).filter(F.size("words") > 0))
+def benchmark_windows(benchmark: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, list[int]]:
+    """Fingerprints (fp), distinct windows (n, gram, window), their items (n, gram, window, item), and the lengths of short items."""
+    items = materialize(benchmark.select(F.col("item_id").cast("string").alias("item"), words_of(F.col("text")).alias("words")).filter(F.size("words") > 0))
     lengths = sorted(r["n"] for r in items.select(F.size("words").alias("n")).filter(F.col("n") < WINDOW).distinct().collect())  # at most WINDOW - 1 numbers
-    of = []
+    fps = None
     for n in [WINDOW, *lengths]:
         own = items.filter(F.size("words") >= n if n == WINDOW else F.size("words") == n)
-        marked = with_fingerprints(own, [] if n == WINDOW else [n], None)
-        marked = marked.select("item_id", F.explode_outer("marks").alias("x")).filter(F.col("x").isNotNull())
-        of.append(marked.select("x.fp", "item_id", F.lit(n).alias("n"), F.col("x.back").alias("item_back"), F.col("x.near").alias("item_near")))
-    out = of[0]
-    for more in of[1:]:
-        out = out.unionByName(more)
-    return materialize(out.distinct()), lengths
+        # Outer here and below: for an inner one Spark makes the marks once more to filter on their number.
+        marks = with_fingerprints(own, [] if n == WINDOW else [n], None).select(F.explode_outer("marks").alias("x")).filter("x is not null").select("x.fp")
+        fps = marks if fps is None else fps.unionByName(marks)
+    n = F.least(F.size("words"), F.lit(WINDOW))
+    at = F.explode(F.sequence(F.lit(1), F.size("words") - n + 1))
+    windows = items.select("item", "words", n.alias("n"), at.alias("i")).select("item", "n", F.slice("words", F.col("i"), F.col("n")).alias("window"))
+    windows = materialize(windows.select("n", F.xxhash64("window").alias("gram"), "window", "item").distinct())
+    return materialize(fps.distinct()), windows.select("n", "gram", "window").distinct(), windows, lengths
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, inline_marks: int = 20_000, broadcast_rows: int = 1_000_000) -> DataFrame:
     """For every row of ``documents``: doc_id, n_words, n_hit, n_items, items_sha256 and contaminated."""
-    theirs, lengths = benchmark_marks(benchmark)
-    n_theirs = theirs.count()
-    known = [r["fp"] for r in theirs.select("fp").distinct().collect()] if n_theirs <= inline_marks else None
-    docs = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    docs = with_fingerprints(docs, lengths, known).select("doc_id", "text_hash", F.size("words").alias("n_words"), "marks")
-    # Outer: documents without marks stay, and Spark doesn't make the marks once more to filter on their number.
-    ours = docs.select("doc_id", "text_hash", "n_words", F.posexplode_outer("marks").alias("nth", "x"))
-    ours = ours.select("doc_id", "text_hash", "n_words", "nth", F.coalesce("x.fp", "text_hash").alias("fp"), "x.place", "x.back", "x.near")
-    # One row for each fingerprint, so that rows of documents keep their number; as many items as the benchmark has for it.
-    theirs = theirs.groupBy("fp").agg(F.collect_list(F.struct("item_id", "n", "item_back", "item_near")).alias("items"))
-    met = ours.join(F.broadcast(theirs) if n_theirs <= broadcast_rows else theirs, "fp", "left")
-
-    def span(item: Column, d: int, n: int) -> Column:
-        """The window of n words that starts d before the place, if the item's words there are the same."""
-        own, other = (F.slice(near, F.greatest(F.lit(1), back - d + 1), F.lit(n)) for near, back in ((F.col("near"), F.col("back")), (item["item_near"], item["item_back"])))
-        same = (item["n"] == n) & (F.col("back") >= d) & (item["item_back"] >= d) & (F.size(own) == n) & (own == other)
-        return F.when(same, F.struct((F.col("place") - d).alias("s"), (F.col("place") - d + n).alias("e"), item["item_id"].cast("string").alias("item")))
-
-    found = F.flatten(F.transform("items", lambda item: F.array_compact(F.array(*[span(item, d, WINDOW) for d in range(SPAN)], *[span(item, 0, n) for n in lengths]))))
-    met = met.select("doc_id", "text_hash", "n_words", "nth", F.when(F.col("items").isNotNull() & F.col("near").isNotNull(), found).alias("found"))
-    rows = met.groupBy("doc_id", "text_hash").agg(F.first("n_words").cast("long").alias("n_words"), F.count_if(F.coalesce("nth", F.lit(0)) == 0).cast("int").alias("copies"), F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.when(F.size("found") > 0, F.col("found")))))).alias("found"))
+    fps, windows, of_items, lengths = benchmark_windows(benchmark)
+    n_fps, n_windows = fps.count(), windows.count()
+    known = [r["fp"] for r in fps.collect()] if n_fps <= inline_marks else None
+    few = lambda df, n: F.broadcast(df) if n <= broadcast_rows else df  # noqa: E731  bounded by broadcast_rows
+    key = ["doc_id", F.xxhash64("text").alias("text_hash")]
+    docs = with_fingerprints(documents.select(*key, words_of(F.col("text")).alias("words")), lengths, known)
+    marks = docs.select("doc_id", "text_hash", F.explode_outer("marks").alias("x")).filter("x is not null").select("doc_id", "text_hash", "x.fp", "x.place", "x.back", "x.near")
+    if known is None:
+        marks = marks.join(few(fps, n_fps), "fp", "left_semi")
+
+    def span(d: int, n: int) -> Column:
+        """The window of n words that starts d before the place."""
+        own = F.slice("near", F.greatest(F.lit(1), F.col("back") - d + 1), F.lit(n))
+        return F.when((F.col("back") >= d) & (F.size(own) == n), F.struct((F.col("place") - d).alias("s"), F.lit(n).alias("n"), own.alias("window")))
+
+    spans = F.array_compact(F.array(*[span(d, WINDOW) for d in range(SPAN)], *[span(0, n) for n in lengths]))
+    spans = marks.select("doc_id", "text_hash", F.explode_outer(spans).alias("x")).filter("x is not null").select("doc_id", "text_hash", "x.s", "x.n", F.xxhash64("x.window").alias("gram"), "x.window")
+    hits = materialize(spans.join(few(windows, n_windows), ["n", "gram", "window"]).select("doc_id", "text_hash", "s", "n", "gram", "window").distinct())
+
+    # Sets, not lists: copies of a document add nothing, and are dropped before the shuffle.
+    places = hits.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set(F.struct("s", (F.col("s") + F.col("n")).alias("e")))).alias("places"))
     zero = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
-    covered = F.aggregate("found", zero, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["end"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end")))["n"]
-    items = F.array_sort(F.array_distinct(F.array_compact(F.transform("found", lambda x: x["item"]))))
-    rows = rows.select("doc_id", "n_words", covered.cast("long").alias("n_hit"), items.alias("items"), F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    covered = F.aggregate("places", zero, lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(x["s"], a["end"]))).alias("n"), F.greatest(a["end"], x["e"]).alias("end")))["n"]
+    met = hits.select("doc_id", "text_hash", "n", "gram", "window").distinct().join(few(of_items, n_windows), ["n", "gram", "window"])
+    items = met.groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    base = documents.select(*key, F.size(words_of(F.col("text"))).cast("long").alias("n_words")).groupBy("doc_id", "text_hash").agg(F.first("n_words").alias("n_words"), F.count(F.lit(1)).alias("copies"))
+    same = lambda df, p: (F.col("doc_id").eqNullSafe(F.col(f"{p}_id"))) & (F.col("text_hash") == F.col(f"{p}_hash"))
+    named = lambda df, p: df.withColumnsRenamed({"doc_id": f"{p}_id", "text_hash": f"{p}_hash"})
+    rows = base.join(named(places.select("doc_id", "text_hash", covered.cast("long").alias("n_hit")), "p"), same(base, "p"), "left").join(named(items, "i"), same(base, "i"), "left")
+    found = F.coalesce("items", F.array().cast("array<string>"))
+    rows = rows.select("doc_id", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), found.alias("items"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))).alias("copy"))
     return rows.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))

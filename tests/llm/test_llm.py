@@ -80,6 +80,10 @@ def test_decontamination_sql_and_edges(spark, odd, empty):
         assert len(rows) == odd.count()
         by = {r["doc_id"]: r for r in rows}
         assert by[5]["n_hit"] == 3000 * 4 and by[5]["n_items"] == 1 and by[8]["contaminated"] and by[8]["n_items"] == 0 and not by[0]["contaminated"] and by[0]["n_words"] == 0
+    shared = spark.createDataFrame([(i, "p q r s t u v w x y z " + f"own{i} " * 12) for i in range(50)], "item_id long, text string")
+    hot = spark.createDataFrame([(7, "p q r s t u v w x y z")] * 30 + [(None, None)] * 5, "doc_id long, text string")
+    found = decontamination.decontaminate(hot, shared).collect()
+    assert len(found) == 35 and sorted({(r["n_hit"], r["n_items"]) for r in found}) == [(0, 0), (11, 50)]
     assert decontamination.decontaminate(empty, bench).count() == 0
     assert not any(r["contaminated"] for r in decontamination.decontaminate(odd, bench.limit(0)).collect())
 
@@ -131,6 +135,20 @@ def test_nearest(spark):
     assert nearest.search(v.limit(0), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_nearest_repeats_ties_and_clashes(spark):
+    rng = np.random.default_rng(2)
+    x = {i: rng.normal(size=8).round(1).tolist() for i in range(1, 60)}
+    rows = [(0, [1.0] * 8)] * 40 + [(20, [2.0] * 8), (20, [1.0] * 8), (61, x[1]), (62, x[1]), *x.items()]
+    df = spark.createDataFrame([(i, e, 0.5, 7, 1) for i, e in rows if i != 20 or e[0] < 3], "vec_id long, embedding array<double>, score double, list int, chunk int")
+    got = {}
+    for r in nearest.search(df, F.col("vec_id") % 20 == 0, chunk=5, lists=3, recall=1.0, reserve=1000).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    for q in (0, 20, 40):
+        ask = np.array(min(e for i, e in rows if i == q))
+        best = sorted((-float((ask * np.array(e)).sum()), i) for i, e in rows if i != q)[:20]
+        assert [(i, -s) for s, i in best] == [(i, s) for _, i, s in sorted(got[q])]
+
+
 def test_language_held_out(spark, odd, empty):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     got = queries.op3_language_id(spark, "/root/testdata/sf0.01").join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").collect()
