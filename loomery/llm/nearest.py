@@ -7,13 +7,13 @@ the k-th best found so far: candidates that the hypothesis test rejects are aban
 is left is ranked by the exact inner product of the original vectors in double precision.
 
 Centroids are fitted on at most ``sample`` vectors; every vector is indexed. A list longer than
-``chunk`` vectors is split over several tasks. A query probes so many of its nearest lists that, for ``trials`` queries
+``chunk`` vectors is split over several tasks, and so are the queries that ask for one list. A query probes so many of its nearest lists that, for ``trials`` queries
 compared with brute force, they hold the share ``recall`` of the true neighbours; and more until they hold ``reserve`` candidates.
 
 Edge cases: vectors that are null, empty, zero or hold null or non-finite components take no part, nor
 do vectors of another than the most frequent length (ties: the shorter). Ties go to the smaller id.
-Repeated ids are candidates of their own, except that no query meets its own id. Empty tables
-give an empty result.
+A repeated id is a candidate as often as it occurs, but asks once (of different vectors under it the least one), and no
+query meets its own id. Other columns are ignored. Empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -47,22 +47,28 @@ def exact_products(x: np.ndarray, q: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1)
 
 
-def scan(blocks: np.ndarray, queries: np.ndarray, k: int, epsilon: float = EPSILON) -> Iterator[np.ndarray]:
-    """For each query the indices of rows of ``blocks`` that the tests don't reject as one of the k nearest."""
+def scan(blocks: np.ndarray, queries: np.ndarray, k: int, own: list[np.ndarray], epsilon: float = EPSILON) -> Iterator[np.ndarray]:
+    """For each query the indices of rows of ``blocks`` that the tests don't reject as one of the k nearest, without its ``own`` rows."""
     n, d = blocks.shape
-    if n <= k:
-        yield from (np.arange(n) for _ in queries)
+    if not n:
+        yield from (np.arange(0) for _ in queries)
         return
     head = blocks[:, :BLOCK]
     norms, scale = (head * head).sum(axis=1), (blocks[0] ** 2).sum()
     for part in range(0, len(queries), 256):
         some = queries[part : part + 256]
         starts = np.maximum(0.0, norms - 2 * some[:, :BLOCK] @ head.T + (some[:, :BLOCK] ** 2).sum(axis=1)[:, None])
-        for query, start in zip(some, starts, strict=True):
+        for query, start, mine in zip(some, starts, own[part : part + 256], strict=True):
+            start[mine] = np.inf
+            if n - mine.size <= k:
+                yield np.flatnonzero(np.isfinite(start))
+                continue
             slack = 1e-12 * (scale + (query**2).sum())  # so that rounding parts no ties
             likely = np.argpartition(start, min(n, 3 * k) - 1)[: min(n, 3 * k)]
+            likely = likely[np.isfinite(start[likely])]
             bound = np.partition(((blocks[likely] - query) ** 2).sum(axis=1), k - 1)[k - 1] * (1 + 1e-9) + slack
-            alive, partial = np.arange(n), start
+            alive = np.flatnonzero(np.isfinite(start))
+            partial = start[alive]
             for seen in range(BLOCK, d + BLOCK, BLOCK):
                 at = min(d, seen)
                 keep = partial <= (bound * (at / d) * (1 + epsilon / math.sqrt(at)) ** 2 if at < d else bound)
@@ -79,8 +85,9 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
     v = materialize(clean(vectors))
     about = v.agg(F.count(F.lit(1)).alias("n"), F.max(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x * x)).alias("m"), F.max(F.size("embedding")).alias("d")).first()
     n, d = about["n"], about["d"] or 1
-    # The square root keeps both the centroids and the mean list short; the cap keeps the broadcast below 4096 * (d + 1) doubles.
-    lists = lists or max(1, min(4096, round(math.sqrt(n) / 3)))
+    # The square root keeps both the centroids and the mean list short; the bound keeps the broadcast below 64 MB.
+    lists = lists or max(1, min((64 << 20) // (8 * (d + 1)), 1 << 14, round(math.sqrt(n) / 3)))
+    sample = max(sample, 4 * lists)
     top = about["m"] or 0.0
     rotation = np.linalg.qr(np.random.default_rng(3).normal(size=(d + 1, d + 1)))[0]
 
@@ -93,7 +100,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
         rng = np.random.default_rng(5)
         c = x[rng.choice(len(x), min(lists, len(x)), replace=False)]
         for _ in range(8):
-            near = ((c * c).sum(axis=1) - 2 * x @ c.T).argmin(axis=1)
+            near = np.concatenate([((c * c).sum(axis=1) - 2 * x[i : i + 4096] @ c.T).argmin(axis=1) for i in range(0, len(x), 4096)])
             total, size = np.zeros_like(c), np.bincount(near, minlength=len(c))
             np.add.at(total, near, x)
             c = np.where(size[:, None] > 0, total / np.maximum(size, 1)[:, None], c)
@@ -154,22 +161,33 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, recall: float = 0.
             at = np.array([r[0] for r in rows])
             yield pd.DataFrame({"query_id": b["vec_id"].to_numpy()[at], "q": b["embedding"].to_numpy()[at], "list": [r[1] for r in rows], "chunk": [r[2] for r in rows]})
 
-    queries = v.filter(is_query).mapInPandas(probe, f"query_id {kind}, q array<double>, list int, chunk int")
+    # One query for each id, however often it is repeated: of different vectors under an id the least asks.
+    asking = v.filter(is_query).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
+    queries = materialize(asking.mapInPandas(probe, f"query_id {kind}, q array<double>, list int, chunk int"))
+    # Both sides of a list are split: its vectors into chunks, those who ask for it into turns of about as many.
+    asked = np.zeros_like(sizes)
+    for r in queries.filter("chunk = 0").groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect():  # one row for each list
+        asked[r["list"]] = r["n"]
+    turns = F.element_at(F.lit(np.maximum(1, -(-asked // chunk)).tolist()), F.col("list") + 1)
+    queries = queries.withColumn("turn", F.pmod(F.xxhash64("query_id"), turns).cast("int"))
+    index = index.withColumn("turn", F.explode(F.sequence(F.lit(0), (turns - 1).cast("int"))))
 
     def visit(members: pd.DataFrame, asks: pd.DataFrame) -> pd.DataFrame:
         empty = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         if not len(members) or not len(asks):
             return empty
         x, ids = np.stack(members["embedding"].to_numpy()), members["vec_id"].to_numpy()
-        blocks, qs = lift(x, False), np.stack(asks["q"].to_numpy())
+        blocks, qs, names = lift(x, False), np.stack(asks["q"].to_numpy()), asks["query_id"].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        low, high = (np.searchsorted(ids[order], names, side=side) for side in ("left", "right"))
         found = []
-        for q, own, near in zip(qs, asks["query_id"].to_numpy(), scan(blocks, lift(qs, True), k + 1), strict=True):
-            near = near[ids[near] != own]
+        for q, own, near in zip(qs, names, scan(blocks, lift(qs, True), k, [order[a:b] for a, b in zip(low, high, strict=True)]), strict=True):
             score = exact_products(x[near], q)
             best = np.lexsort((ids[near], -score))[:k]
             found.append((np.full(best.size, own), ids[near][best], score[best]))
         return pd.DataFrame({"query_id": np.concatenate([f[0] for f in found]), "vec_id": np.concatenate([f[1] for f in found]), "score": np.concatenate([f[2] for f in found])})
 
-    found = index.groupBy("list", "chunk").cogroup(queries.groupBy("list", "chunk")).applyInPandas(visit, f"query_id {kind}, vec_id {kind}, score double")
+    cell = ["list", "chunk", "turn"]
+    found = index.groupBy(*cell).cogroup(queries.groupBy(*cell)).applyInPandas(visit, f"query_id {kind}, vec_id {kind}, score double")
     rank = F.row_number().over(W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
