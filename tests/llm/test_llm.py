@@ -180,6 +180,38 @@ def test_urls(spark):
     assert (got[0]["host"], got[0]["path"], got[10]["host"], got[10]["path"]) == ("a.com", "/x", "q.com", "") and got[8]["score"] == got[9]["score"]
 
 
+def test_url_scores_by_brute_force(spark):
+    from collections import Counter
+    from math import log
+
+    pages = spark.createDataFrame([(i, u, 1.0, "x") for i, u in enumerate([f"http://{h}.{t}/{p}/{i}" for i in range(3) for h in ("aa", "bird", "cc", "dog9", "eel") for t in ("com", "net", "org") for p in ("es", "en")] + ["http://z.com/" + "long/" * 2000, "nothing", None, ""])], "page_id long, url string, score double, host string")
+    rows = url_filter.with_rule(pages)
+    scored, _, _ = url_filter.scores(rows)
+    seen = scored.collect()
+    n = url_filter.ORDER
+    pad = lambda u: "\x02" * n + re.sub("[0-9]", "0", u.lower()) + "\x03"
+    model = {}
+    for v in ("allow", "block"):
+        taught = [pad(r["url"]) for r in seen for _ in range(r["n"]) if r["by_rule"] == v and not r["held"]]
+        model[v] = [Counter(t[i - k : i + 1] for t in taught for i in range(n, len(t))) for k in range(n + 1)]
+
+    def p(v, run):
+        out = 1 / url_filter.ALPHABET
+        for k in range(n + 1):
+            own = [c for g, c in model[v][k].items() if g[:-1] == run[n - k : n]]
+            if own:
+                out = (model[v][k][run[n - k :]] + len(own) * out) / (sum(own) + len(own))
+        return out
+
+    for r in seen[:12]:
+        t = pad(r["url"])
+        own = [log(p("allow", t[i - n : i + 1])) - log(p("block", t[i - n : i + 1])) for i in range(n, min(len(t), 200))]
+        if len(t) <= 200:
+            assert abs(r["score"] - sum(own) / len(own)) < 1e-8
+    ways = [sorted(map(tuple, url_filter.judge(pages, broadcast_rows=b).collect())) for b in (300_000, 0)]
+    assert ways[0] == ways[1] and len(ways[0]) == 94 and url_filter.judge(pages.limit(0)).count() == 0
+
+
 def test_mixing(spark, odd, empty):
     sf = "/root/testdata/sf0.01"
     docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
