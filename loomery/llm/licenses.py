@@ -5,22 +5,26 @@ looked at with the words around it. A rule is an anchor word, a pattern for the
 after it, a priority (1 is best) and a confidence. Detections are ordered by place, longer first; one whose
 interval lies within an earlier one's of the same or better priority is suppressed.
 
+The rules are the hand-written sentences and glued names of ``signatures``, and for every family of names below the usual wordings: grants, versions,
+identifiers, expressions of identifiers, and bare names after a grant. How many words around an anchor are looked at follows from the longest rule.
+
 Everything stays in the row of its document: no shuffle, no join.
 
 Edge cases: null and empty texts have no words and no labels, score 0. Repeated rows are scanned one by
-one. Extra columns are ignored. Work on a text grows with its words, and with the square of its detections only in copying the kept ones.
+one. Extra columns are ignored. Work on a text grows with its words: detections are compared only with those of anchors that can reach them.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from . import signatures as S
 from .common import words_of
 
-LEFT, RIGHT = 14, 8
 #: Phrases whose places are always reported.
 BASE = (("cc-by", ("cc", "by")), ("gpl", ("general", "public", "license")), ("reserved", ("all", "rights", "reserved")))
 #: Label, pattern of the name before the word "license", identifier as words, acronym.
@@ -96,6 +100,12 @@ def rules() -> list[Rule]:
             out.append(Rule(label, anchor, f"{begin}{GRANT}{name} $", "", 2, 0.95))
             out.append(Rule(label, anchor, f"{begin}{name} $", "", 3, 0.8))
         out.append(Rule(label, "identifier", f"{begin}spdx license $", f"^ {identifier}(?: [0-9]+)*{end}", 1, 0.99))
+        out.append(Rule(label, "identifier", f"{begin}spdx license $", f"^(?: [^ ]+){{1,8}}? (?:or|and|with) {identifier}(?: [0-9]+)*{end}", 2, 0.9))
+        first, *rest = identifier.split()
+        after = "".join(f" {w}" for w in rest)
+        out.append(Rule(label, first, f"{begin}{GRANT}$", f"^{after}(?: version| v)?(?: [0-9]+)*{end}", 2, 0.9))
+        if rest:
+            out.append(Rule(label, first, "", f"^{after}{end}", 3, 0.7))
         if acronym:
             out.append(Rule(label, acronym, "", f"^{VERSION}{end}", 2, 0.9))
             out.append(Rule(label, acronym, f"{begin}{GRANT}(?:gnu )?$", "", 2, 0.9))
@@ -105,6 +115,10 @@ def rules() -> list[Rule]:
         out.append(Rule(f"cc-{term}", "cc", f"{begin}{GRANT}$", f"^ {spoken}{end}", 1, 0.97))
         out.append(Rule(f"cc-{term}", "cc", "", f"^ {spoken}{end}", 3, 0.7))
         out.append(Rule(f"cc-{term}", "commons", f"{begin}creative $", f"^ {words}(?: [0-9]+)*{end}", 1, 0.97))
+    for label, phrase in S.BODIES:
+        left, anchor, right = (x.strip() for x in re.fullmatch(r"(.*?)\*([a-z0-9]+)\*(.*)", phrase).groups())
+        out.append(Rule(label, anchor, f"{begin}{left} $" if left else "", f"^ {right}{end}" if right else "", 1 if label != "warranty" else 3, 0.98 if label != "warranty" else 0.6))
+    out += [Rule(label, anchor, "", "", 2, 0.85) for label, anchor in S.GLUED]
     out.append(Rule("cc0", "cc0", "", "", 2, 0.9))
     out.append(Rule("unlicense", "unlicense", "", "", 2, 0.9))
     out.append(Rule("public-domain", "domain", f"{begin}(?:released into|dedicated to|placed in|in) the public $", "", 2, 0.85))
@@ -114,6 +128,12 @@ def rules() -> list[Rule]:
     return out
 
 
+def reach(patterns: list[str]) -> int:
+    """At least as many words as any of the patterns can match, for repeats of numbers with a few to spare."""
+    bounded = [re.sub(r"\(\?: ?\[\^ \]\+ ?\)\{\d,(\d)\}\??", lambda m: " " * int(m[1]), p) for p in patterns]
+    return max(p.count(" ") for p in bounded) + 4
+
+
 def _spaces(text: Column) -> Column:
     return F.length(text) - F.length(F.replace(text, F.lit(" "), F.lit("")))
 
@@ -122,7 +142,9 @@ def scan(documents: DataFrame, signatures: list[Rule] | None = None) -> DataFram
     """doc_id, n_words, base (label and start of each fixed phrase) and kept (start, end, label, tier, confidence, matched text of each detection left)."""
     signatures = rules() if signatures is None else signatures
     anchors = sorted({r.anchor for r in signatures} | {"cc", "license", "reserved"})
-    table = F.array(*[F.struct(F.lit(r.label).alias("label"), F.lit(r.anchor).alias("anchor"), F.lit(r.left).alias("left"), F.lit(r.right).alias("right"), F.lit(r.tier).alias("tier"), F.lit(r.confidence).alias("confidence")) for r in signatures])
+    before_n, after_n = reach([r.left for r in signatures]), reach([r.right for r in signatures])
+    row = lambda r: F.struct(F.lit(r.label).alias("label"), F.lit(r.left).alias("left"), F.lit(r.right).alias("right"), F.lit(r.tier).alias("tier"), F.lit(r.confidence).alias("confidence"))
+    by_anchor = F.create_map(*[x for a in sorted({r.anchor for r in signatures}) for x in (F.lit(a), F.array(*[row(r) for r in signatures if r.anchor == a]))])
     w = F.col("words")
     rows = documents.select("doc_id", words_of(F.col("text")).alias("words"))
     places = F.filter(F.sequence(F.lit(0), F.size(w) - 1), lambda i: F.get(w, i).isin(anchors))
@@ -135,12 +157,13 @@ def scan(documents: DataFrame, signatures: list[Rule] | None = None) -> DataFram
         return found.when((at(0) == "reserved") & (i >= 2) & (at(-1) == "rights") & (at(-2) == "all"), F.struct(F.lit("reserved").alias("label"), (i - 2).alias("start")))
 
     def around(i: Column) -> Column:
-        before = F.least(i, F.lit(LEFT))
-        left, right = F.array_join(F.slice(w, i - before + 1, before), " "), F.array_join(F.slice(w, i + 2, F.lit(RIGHT)), " ")
+        before = F.least(i, F.lit(before_n))
+        left, right = F.array_join(F.slice(w, i - before + 1, before), " "), F.array_join(F.slice(w, i + 2, F.lit(after_n)), " ")
         return F.struct(i.alias("at"), F.get(w, i).alias("word"), F.when(left != "", F.concat(left, F.lit(" "))).otherwise("").alias("left"), F.when(right != "", F.concat(F.lit(" "), right)).otherwise("").alias("right"))
 
     def detections(c: Column) -> Column:
-        fits = F.filter(table, lambda r: (r["anchor"] == c["word"]) & F.rlike(c["left"], r["left"]) & F.rlike(c["right"], r["right"]))
+        own = F.coalesce(F.try_element_at(by_anchor, c["word"]), F.array().cast("array<struct<label:string,left:string,right:string,tier:int,confidence:double>>"))
+        fits = F.filter(own, lambda r: F.rlike(c["left"], r["left"]) & F.rlike(c["right"], r["right"]))
 
         def one(r: Column) -> Column:
             left, right = F.call_function("regexp_extract", c["left"], r["left"], F.lit(0)), F.call_function("regexp_extract", c["right"], r["right"], F.lit(0))
@@ -150,17 +173,18 @@ def scan(documents: DataFrame, signatures: list[Rule] | None = None) -> DataFram
         return F.transform(fits, one)
 
     rows = rows.withColumn("base", F.filter(F.transform("places", base_at), lambda b: b.isNotNull())).withColumn("near", F.transform("places", around))
-    rows = rows.withColumn("found", F.array_sort(F.flatten(F.transform("near", detections))))
     kind = "array<struct<start:int,minus_end:int,tier:int,label:string,end:int,confidence:double,matched:string>>"
-    none = F.struct(*[F.lit(0).alias(f"m{t}") for t in (1, 2, 3)], F.array().cast(kind).alias("kept"))
+    rows = rows.withColumn("found", F.filter(F.transform("near", lambda c: F.array_sort(detections(c))), lambda x: F.size(x) > 0))
+    far = before_n + after_n
 
-    def step(a: Column, x: Column) -> Column:
-        # m1, m2, m3: how far detections of priority 1, 2 or 3 and better have reached so far
-        reach = F.when(x["tier"] == 1, a["m1"]).when(x["tier"] == 2, a["m2"]).otherwise(a["m3"])
-        more = [F.when(x["tier"] <= t, F.greatest(a[f"m{t}"], x["end"])).otherwise(a[f"m{t}"]).alias(f"m{t}") for t in (1, 2, 3)]
-        return F.struct(*more, F.when(x["end"] <= reach, a["kept"]).otherwise(F.concat(a["kept"], F.array(x))).alias("kept"))
+    def alive(x: Column, k: Column) -> Column:
+        """Not inside a detection of the same or better priority that comes first, by the anchors at most ``far`` words away."""
+        low = F.greatest(F.lit(0), k - far)
+        others = F.flatten(F.slice("found", low + 1, F.lit(2 * far + 1)))
+        return ~F.exists(others, lambda y: (y < x) & (y["end"] >= x["end"]) & (y["tier"] <= x["tier"]))
 
-    kept = F.when(F.size("found") > 0, F.aggregate("found", none, step)["kept"]).otherwise(F.array().cast(kind))
+    kept = F.array_sort(F.flatten(F.transform("found", lambda xs, k: F.filter(xs, lambda x: alive(x, k)))))
+    kept = F.when(F.size("found") > 0, F.array_distinct(kept)).otherwise(F.array()).cast(kind)
     return rows.select("doc_id", F.size(w).cast("long").alias("n_words"), "base", kept.alias("kept"))
 
 

@@ -103,6 +103,40 @@ def test_license_base_places(spark, odd, empty):
     assert licenses.digest(licenses.scan(empty)).count() == 0 and len(licenses.rules()) > 200
 
 
+def test_license_texts_without_a_name(spark):
+    texts = {
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated": "mit",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided": "bsd",
+        "Licensed under the terms and conditions of the do what the fuck you want to public license": "wtfpl",
+        "SPDX-License-Identifier: MIT OR Apache-2.0": "apache,mit",
+        "Released under GPLv2 or LGPLv3.": "gpl-2.0,lgpl-3.0",
+        "available under the Apache 2.0 terms; licensed under BSD 3-Clause": "apache,bsd-3-clause",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "a boost for the ruby trade and python snakes under licence": "",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: set(r["labels"].split(",")) for r in licenses.digest(licenses.scan(docs)).collect()}
+    assert all(set(want.split(",")) <= got[i] for i, want in enumerate(texts.values())) and got[7] == {""}
+
+
+def test_license_suppression_by_brute_force(spark):
+    """Which detections survive, by all pairs; and a text of very many notices."""
+    notices = "Licensed under the Apache License, Version 2.0. MIT license. GNU Lesser General Public License version 2.1 or later. All rights reserved. cc by 4.0 x "
+    docs = spark.createDataFrame([(1, notices * 3), (2, notices * 400)], "doc_id long, text string")
+    kept = {r["doc_id"]: r["kept"] for r in licenses.scan(docs).collect()}
+    text, found = " ".join(words(notices * 3)) + " ", set()
+    for rule in licenses.rules():
+        for m in re.finditer(rf"(?<![^ ]){rule.anchor}(?![^ ])", text):
+            left, right = re.search(rule.left, text[: m.start()]), re.search(rule.right, text[m.end() :].rstrip())
+            if left and right:
+                a = text[: left.start() if rule.left else m.start()].count(" ")
+                b = text[: m.start()].count(" ") + 1 + (right.group(0).count(" ") if rule.right else 0)
+                found.add((a, -b, rule.tier, rule.label, b))
+    alive = [x for x in found if not any(y < x and y[4] >= x[4] and y[2] <= x[2] for y in found)]
+    assert sorted((k["start"], -k["end"], k["tier"], k["label"], k["end"]) for k in kept[1]) == sorted(alive)
+    assert len(kept[2]) > 400 * 4
+
+
 def test_sharding(spark, odd, empty):
     docs = table(spark, "/root/testdata/sf0.01", "documents")
     rows = sharding.shard(docs, 16, range_rows=50).collect()
