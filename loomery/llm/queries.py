@@ -17,7 +17,7 @@ WEIGHTS = {"clean": 0.86, "low": 0.12, "toxic": 0.02}
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     held = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
     found = secrets.scan(table(spark, sf_dir, "documents"), learn=~held)
-    return found.select("doc_id", "start", "stop", "kind", F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), F.round("score", 9).alias("score"), "secret")
+    return found.select("doc_id", "start", "stop", "kind", F.sha2(F.col("candidate").cast("binary"), 256).alias("candidate_sha256"), "evidence", F.round("score", 9).alias("score"), "secret")
 
 
 def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
