@@ -64,8 +64,26 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", *[F.round(f"p_{d}", 6).alias(f"p_{d}") for d in mixing.DOMAINS], F.round("rate", 6).alias("rate"), "copies", "met")
 
 
+def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The places of op6's fixed phrases, which SQL can express."""
+    return op6_license_rules(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Host, path and deciding rule of every page, as op9 finds them."""
+    return url_filter.with_rule(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", F.col("by_rule").alias("rule_verdict"))
+
+
+def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows, slots and sizes of op7's shards: the law, and that no row is lost."""
+    rows = op7_stratified_interleave(spark, sf_dir)
+    shards = rows.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("first_slot"), F.max("slot").alias("last_slot"), F.count_distinct("slot").alias("slots"))
+    total = rows.agg(F.sum("size").alias("total_size"))
+    return shards.crossJoin(F.broadcast(total))  # one row of totals for each shard
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_adaptive_scan, op3_language_id, op4_simhash, op5_toxicity_cnn, op6_license_rules, op7_stratified_interleave, op8_winnowing, op9_url_markov, op10_soft_mixing)
+    found = (op1_secret_scan, op2_adaptive_scan, op3_language_id, op4_simhash, op5_toxicity_cnn, op6_license_rules, op7_stratified_interleave, op8_winnowing, op9_url_markov, op10_soft_mixing, license_base_places, url_rules, shard_law)
     return {f.__name__: f for f in found}
 
 
@@ -86,5 +104,33 @@ from d left join pos using (rid) left join it using (rid)
 """
 
 
+BASE_SQL = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+p as (select *, list_filter(range(1, len(w) + 1), lambda i: w[i] = 'cc' and w[i + 1] = 'by') as cc,
+             list_filter(range(1, len(w) + 1), lambda i: w[i] = 'general' and w[i + 1] = 'public' and w[i + 2] = 'license') as gp,
+             list_filter(range(1, len(w) + 1), lambda i: w[i] = 'all' and w[i + 1] = 'rights' and w[i + 2] = 'reserved') as re from d),
+q as (select *, list_concat(list_concat(cc, gp), re) as a from p)
+select doc_id, cast(len(w) as bigint) as n_words, cast(len(a) as bigint) as n_base, cast(list_min(a) - 1 as bigint) as first_word, cast(list_max(a) - 1 as bigint) as last_word,
+       concat_ws(',', case when len(cc) > 0 then 'cc-by' end, case when len(gp) > 0 then 'gpl' end, case when len(re) > 0 then 'reserved' end) as base_labels
+from q
+"""
+URL_SQL = f"""
+with u as (select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) end as rest from pages),
+h as (select page_id, coalesce(translate(regexp_extract(rest, '^([^/?#]*)', 1), '{UPPER}', '{LOWER}'), '') as host, coalesce(regexp_extract(rest, '^[^/?#]*([^?#]*)', 1), '') as path from u)
+select page_id, host, path,
+  case when ('.' || host) like '%.www.example.com' and path like '/en/%' then 'www.example.com/en/' when ('.' || host) like '%.example.com' and path like '/en/%' then 'example.com/en/'
+       when ('.' || host) like '%.net' and path like '/es/%' then 'net/es/' when ('.' || host) like '%.net' and path like '/fr/%' then 'net/fr/' when ('.' || host) like '%.com' and path like '/%' then 'com/' end as rule,
+  case rule when 'www.example.com/en/' then 'allow' when 'com/' then 'allow' when 'example.com/en/' then 'block' when 'net/es/' then 'block' when 'net/fr/' then 'block' end as rule_verdict
+from h
+"""
+SHARD_SQL = """
+with t as (select count(*) as n, sum(coalesce(strlen(text), 0) + 1) as total_size from documents),
+s as (select cast(unnest(range(16)) as int) as shard)
+select shard, cast((n * (shard + 1) + 15) // 16 - (n * shard + 15) // 16 as bigint) as n, cast(0 as bigint) as first_slot, cast((n * (shard + 1) + 15) // 16 - (n * shard + 15) // 16 - 1 as bigint) as last_slot,
+       cast((n * (shard + 1) + 15) // 16 - (n * shard + 15) // 16 as bigint) as slots, cast(total_size as bigint) as total_size
+from s, t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_winnowing": OP8_SQL}
+    return {"op8_winnowing": OP8_SQL, "license_base_places": BASE_SQL, "url_rules": URL_SQL, "shard_law": SHARD_SQL}

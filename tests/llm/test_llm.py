@@ -153,6 +153,59 @@ def test_sharding(spark, odd, empty):
     assert sharding.shard(odd, 4).count() == odd.count() and sharding.shard(empty, 4).count() == 0
 
 
+def test_sql_twins(spark):
+    sf = "/root/testdata/sf0.01"
+    con = duckdb.connect()
+    for t in ("documents", "pages"):
+        con.execute(f"create view {t} as select * from '{sf}/{t}.parquet'")
+    for name in ("license_base_places", "url_rules", "shard_law"):
+        got, want = queries.queries()[name](spark, sf), con.sql(queries.oracle_sql()[name])
+        assert got.columns == want.columns and sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want.fetchall())), name
+
+
+def test_sharding_by_brute_force(spark):
+    """Ranks within sources, fractions and cuts, with the seeded hashes taken from Spark."""
+    docs = table(spark, D, "documents")
+    h = F.xxhash64(F.lit(13), "doc_id").alias("h"), F.xxhash64(F.lit(13), "source").alias("o")
+    rows = [r.asDict() for r in docs.select("doc_id", "source", *h).collect()]
+    upper = lambda x: ((x % 2**64) >> 33) / 2**31
+    for source in {r["source"] for r in rows}:
+        # ranges of hashes are ranked as unsigned numbers of 31 bits first, then as signed ones
+        own = sorted((r for r in rows if r["source"] == source), key=lambda r: (int(upper(r["h"]) * 64), r["h"], r["doc_id"]))
+        for i, r in enumerate(own):
+            r["place"] = (i + 1 - upper(r["o"])) / len(own)
+    rows.sort(key=lambda r: (min(63, max(0, int(r["place"] * 64))), r["place"], r["h"]))
+    want = {r["doc_id"]: at * 16 // len(rows) for at, r in enumerate(rows)}
+    assert {r["doc_id"]: r["shard"] for r in sharding.shard(docs, 16).collect()} == want
+
+
+def test_language_features_and_predictions_by_brute_force(spark):
+    docs = table(spark, D, "documents")
+    model = language_id.train(docs, F.lit(True), bits=10, per_language=60)
+    texts = [r["text"] for r in docs.collect()]
+
+    def grams(t):
+        out = {}
+        codes = [ord(c) for c in t.lower()]
+        for n in language_id.ORDERS:
+            for i in range(len(codes) - n + 1):
+                h = (n * 0x9E3779B1 + sum(codes[i + j] * int(language_id.MULTIPLIERS[j]) for j in range(n))) % 2**32 >> 22
+                out[h] = out.get(h, 0) + 1
+        return out
+
+    seen = [grams(t) for t in texts]
+    for term in range(0, 1024, 97):
+        df = sum(term in g for g in seen)
+        assert abs(model.idf[term] - (np.log((1 + len(texts)) / (1 + df)) + 1)) < 1e-9
+    for t, g in list(zip(texts, seen, strict=True))[:40]:
+        v = {k: (1 + np.log(c)) * model.idf[k] for k, c in g.items()}
+        norm = np.sqrt(sum(x * x for x in v.values()))
+        z = (sum(x / norm * model.weights[k] for k, x in v.items()) + model.bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        got = language_id.predict_text(model, t)
+        assert got[0] == model.languages[int(p.argmax())] and abs(got[1] - p.max()) < 1e-6
+
+
 def test_nearest(spark):
     v = table(spark, "/root/testdata/sf0.01", "embeddings")
     bad = spark.createDataFrame([(10**6, None), (10**6 + 20, []), (10**6 + 40, [0.0] * 64), (10**6 + 60, [float("nan")] * 64), (10**6 + 80, [None] * 64), (10**6 + 100, [1.0])], "vec_id long, embedding array<float>")
