@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from functools import reduce
 
@@ -10,27 +11,48 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 BLANKS = r"[ \t\n\r\f\x0B]+"
-#: Opening phrases of questions, longest first where one begins another.
-TOPIC_PREFIXES = ("tell me about", "what is", "what are", "who was", "who is", "where is", "define", "explain", "describe")
-#: Ordered rules of question families, (family, pattern on the lower-cased question).
+#: Openings of questions about facts; the longest that fits counts.
+TOPIC_PREFIXES = ("what is", "what are", "what's", "whats", "who is", "who was", "who were", "who's", "where is", "where was", "when is", "when was", "tell me about", "how many", "how much")
+#: Openings of stories and commands, and wrappers of arithmetic.
+STORY_PREFIXES = ("once upon", "once there", "there once", "let me tell", "write a", "write me", "continue the", "continue this")
+CALC_WRAPPERS = ("what is the value of", "what is", "what's", "whats", "calculate", "compute")
+#: Ordered rules of question families, (family, pattern on the question's key).
 FAMILIES = (
-    ("capital", r"^what is the capital of "),
-    ("capital_of", r"^.* is the capital of (?:what|which) "),
-    ("where", r"^where (?:is|are) "),
-    ("country_in", r"^what country is .* in"),
-    ("inventor", r"^who (?:invented|discovered) "),
-    ("invention", r"^what did .* invent"),
-    ("element", r"atomic number"),
-    ("birth_year", r"^(?:when|in what year) was .* born"),
-    ("definition", r"^(?:what (?:is|are)|define) "),
-    ("who", r"^who "),
-    ("tell_me", r"^tell me about "),
+    ("capital_of", r"^what is the capital of "),
+    ("possess_capital", r"^what is .+?'s capital$"),
+    ("country_of", r"^what country is .+ in$"),
+    ("where_is", r"^where is "),
+    ("organ_system", r"^which organ system does .+ belong to$"),
+    ("pathogen", r"^what pathogen causes "),
+    ("who_invented", r"^who invented "),
+    ("what_did_invent", r"^what did .+ invent$"),
+    ("atomic_number", r"^what is the atomic number of "),
+    ("element_by_number", r"^which element has atomic number "),
+    ("born", r"^when was .+ born$"),
+    ("prime", r"^is [0-9]+ a prime number$"),
+    ("year_released", r"^in which year was "),
+    ("theorem", r"^state the "),
+    ("how_do_i", r"^how do i "),
+    ("layer_stream", r"^what is sequential layer streaming$"),
+    ("gas", r"^what gas "),
+    ("project", r"^(?:does training use autograd|what tokenizer )"),
+    ("wiki_extra", r"^what are pancakes$"),
 )
+#: Patterns of the slot that a question asks for, in order.
+SLOTS = (
+    r"^which organ system does (?:the )?(.+) belong to$", r"^what pathogen causes (.+)$", r"^what is the capital of (.+)$", r"^what is (.+)'s capital$", r"^what country is (.+) in$", r"^where is (.+)$", r"^is ([0-9]+) a prime number$",
+    r"^when was (.+) born$", r"^who invented (.+)$", r"^what did (.+) invent$", r"^what is the atomic number of (.+)$", r"^which element has atomic number (.+)$", r"^in which year was (?:the )?(.+?)(?: programming language)? first released$",
+)
+#: Shapes of answers from the mix of facts.
+MIX_SHAPES = r"(?i)the capital of .+ is .+|.+ is the capital of .+|.+ belongs to the .+|.+ is the pathogen that causes .+|.+ is credited with inventing .+|.+ was born in [0-9]+|.+ was first released in [0-9]+|(?:yes|no), [0-9]+ is a (?:prime|composite) number"
 #: Greek letters and dashes of formulas, which the compatibility decomposition leaves.
 SCIENCE = {"α": "alpha", "β": "beta", "γ": "gamma", "π": "pi", "–": "-", "—": "-"}
-#: Markers of text that was dumped rather than written.
-DUMP_MARKERS = ("### ", "%%%", "&&&", "$$$", " | ", "!! ")
-ADVICE = r"(?i)\b(?:dose|dosage|symptom|treatment|diagnos|prescri|medicin|therapy|idiot|stupid)"
+#: Markers of an answer that dumps stored facts, in lower case.
+DUMP_MARKERS = ("the capital of", " belongs to the ", "is the pathogen that causes", "user:", "assistant:", "rotavirus")
+#: Wording of dosing and treatment.
+ADVICE = r"(?i)\b(?:take\s+[0-9]|dosage|dosing|mg/?d(?:ay)?|should\s+you|how\s+much\s+to\s+take|treatment\s+for|how\s+to\s+treat|cure\s+for|prescri(?:be|ption))\b"
+#: Frames that no native line may hold.
+WRAPPERS = ("it is known that ", "a short note on ", "regarding ", "in plain terms, ", "students remembering ", "if you ask ", "question: ")
 
 
 def collapse(text: Column) -> Column:
@@ -44,9 +66,9 @@ def fold(text: Column) -> Column:
 
 
 def question_key(text: Column) -> Column:
-    """H1: collapse, drop a leading ``User:``, cut at ``Assistant:``, drop one question mark, fold."""
-    bare = F.regexp_replace(collapse(text), r"^User: ?", "")
-    bare = F.trim(F.regexp_replace(bare, r"Assistant:.*$", ""))
+    """H1: collapse, drop a leading ``User:``, cut at ``Assistant:`` (in any case), drop one question mark, fold."""
+    bare = F.trim(F.regexp_replace(collapse(text), r"(?i)^user:", ""))
+    bare = F.trim(F.regexp_replace(bare, r"(?i)assistant:.*$", ""))
     return fold(F.trim(F.regexp_replace(bare, r"\?$", "")))
 
 
@@ -56,8 +78,8 @@ def pair_key(text: Column) -> Column:
 
 
 def answer_key(text: Column) -> Column:
-    """H2: punctuation to blanks, collapsed and folded."""
-    return fold(collapse(F.regexp_replace(text, r"[!-/:-@\[-`{-~]", " ")))
+    """H2: whatever is no letter, number, low line or blank to blanks, collapsed and folded."""
+    return fold(collapse(F.regexp_replace(text, r"[^\p{L}\p{N}_\s]", " ")))
 
 
 def answers_match(a: Column, b: Column) -> Column:
@@ -70,10 +92,13 @@ def bare_entity(text: Column) -> Column:
 
 
 def search_topic(text: Column) -> Column:
-    """H4: drop the closing mark, one known prefix and one article."""
-    bare = F.regexp_replace(collapse(text), r"[?.]+$", "")
-    bare = F.trim(F.regexp_replace(bare, f"(?i)^(?:{'|'.join(TOPIC_PREFIXES)})", ""))
-    return F.trim(F.regexp_replace(bare, r"(?i)^(?:the|a|an) ", ""))
+    """H4: drop one closing question mark and closing dots, the longest opening that fits, and one article."""
+    bare = F.trim(F.regexp_replace(collapse(text), r"(?i)^user:", ""))
+    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(bare, r"\?$", "")), r"\.+$", ""))
+    opening = "|".join(sorted(TOPIC_PREFIXES, key=len, reverse=True))
+    rest = F.regexp_replace(F.regexp_replace(bare, f"(?i)^(?:{opening})", ""), r"^[ :?.]+|[ :?.]+$", "")
+    rest = F.when(F.rlike(bare, F.lit(f"(?i)^(?:{opening})")), rest).otherwise(bare)
+    return F.trim(F.regexp_replace(rest, r"(?i)^(?:the|a|an)(?: |$)", ""))
 
 
 def article_variants(entity: Column) -> Column:
@@ -127,73 +152,91 @@ def looks_like_advice(user: Column, assistant: Column) -> Column:
 
 
 def looks_like_dump(text: Column) -> Column:
-    """P10: blank, or with a marker."""
-    return (F.trim(text) == "") | reduce(lambda a, b: a | b, [F.contains(text, F.lit(m)) for m in DUMP_MARKERS])
+    """P10: blank, or with a marker in any case."""
+    return (F.trim(text) == "") | reduce(lambda a, b: a | b, [F.contains(fold(text), F.lit(m)) for m in DUMP_MARKERS])
 
 
-def is_stub(text: Column) -> Column:
-    """A disambiguation stub."""
-    return F.endswith(F.regexp_replace(text, r"[ .:]+$", ""), F.lit("may refer to"))
+def neighbour_bleed(prompt: Column, answer: Column, entity: str, forbidden: tuple[str, ...]) -> Column:
+    """The prompt names the entity and the answer one of its forbidden neighbours."""
+    return F.contains(fold(prompt), F.lit(entity)) & reduce(lambda a, b: a | b, [F.contains(fold(answer), F.lit(x)) for x in forbidden])
+
+
+def wrapped(line: Column) -> Column:
+    """A native line that holds a wrapping frame."""
+    return reduce(lambda a, b: a | b, [F.contains(fold(line), F.lit(m)) for m in WRAPPERS])
+
+
+def is_stub(text: Column, trimmed: str = " .:") -> Column:
+    """A disambiguation stub; ``trimmed`` at its end doesn't count."""
+    return F.endswith(F.regexp_replace(fold(text), f"[{trimmed}]+$", ""), F.lit("may refer to"))
 
 
 def fact_question(text: Column) -> Column:
-    """A known opening, or 2 to 8 words that don't open a story."""
-    low, words = F.lower(collapse(text)), F.size(F.split(collapse(text), " "))
-    known = F.rlike(low, F.lit(f"^(?:{'|'.join(TOPIC_PREFIXES)}) "))
-    return known | (~F.rlike(low, F.lit(r"^(?:once upon|one day|write|tell a story)")) & words.between(2, 8))
+    """A known opening; else no story or command, and 2 to 8 words."""
+    low = fold(F.trim(F.regexp_replace(collapse(text), r"(?i)^user:", "")))
+    opens = lambda words: reduce(lambda a, b: a | b, [F.startswith(low, F.lit(w)) for w in words])
+    return opens(TOPIC_PREFIXES) | (~opens((*STORY_PREFIXES, "python ", ":", "/")) & F.size(F.split(low, " ")).between(2, 8) & (low != ""))
 
 
 def calc_candidate(text: Column) -> Column:
-    """A digit and an operator once the wrapping words are gone."""
-    bare = F.regexp_replace(F.lower(collapse(text)), r"^(?:what is|calculate|compute) ", "")
-    return F.rlike(bare, F.lit("[0-9]")) & F.rlike(bare, F.lit(r"[-+*/^]"))
+    """A digit and an operator once the longest wrapper that fits is gone."""
+    wrapper = "|".join(sorted(CALC_WRAPPERS, key=len, reverse=True))
+    rest = F.regexp_replace(F.trim(F.regexp_replace(collapse(text), r"(?i)^user:", "")), f"(?i)^(?:{wrapper})", "")
+    return F.rlike(rest, F.lit("[0-9]")) & F.rlike(rest, F.lit(r"[-+*/^%]"))
 
 
 def family(user: Column) -> Column:
-    """The first rule that matches, else ``other``."""
-    low = F.lower(collapse(user))
-    return reduce(lambda w, r: w.when(F.rlike(low, F.lit(r[1])), r[0]), FAMILIES[1:], F.when(F.rlike(low, F.lit(FAMILIES[0][1])), FAMILIES[0][0])).otherwise("other")
+    """The first rule that matches the question's key, else ``other``."""
+    key = question_key(user)
+    return reduce(lambda w, r: w.when(F.rlike(key, F.lit(r[1])), r[0]), FAMILIES[1:], F.when(F.rlike(key, F.lit(FAMILIES[0][1])), FAMILIES[0][0])).otherwise("other")
 
 
-def punctuation_score(text: Column) -> Column:
-    """Sentence ends for each 12 words, at most 1; half without a closing mark; less for doubled marks."""
-    words = F.greatest(F.lit(1), F.size(F.split(collapse(text), " ")))
-    ends = F.regexp_count(text, F.lit(r"[.!?]"))
-    doubled = F.regexp_count(text, F.lit(r"[,;:]{2,}|!!+|\?\?+"))
-    closing = F.when(F.rlike(F.trim(text), F.lit(r"[.!?]\z")), 1.0).otherwise(0.5)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), ends * 12.0 / words) * closing - doubled * 0.05)
+def relation(user: Column) -> Column:
+    """``inventor``, ``capital`` or empty."""
+    key = question_key(user)
+    asks = F.rlike(key, F.lit(r"^(?:who invented|who is credited with inventing) |(?:who invented|who is credited with inventing|what did)$"))
+    inventor = F.when(F.startswith(key, F.lit("what did ")), F.endswith(key, F.lit(" invent"))).otherwise(asks)
+    capital = F.rlike(key, F.lit(r"what is the capital of |where is |what country is |'s capital"))
+    return F.when(inventor, "inventor").when(capital, "capital").otherwise("")
 
 
-def grammar_score(text: Column) -> Column:
-    """Capitals after terminators, adjacent repeated words, double spaces."""
-    w = F.split(F.lower(collapse(text)), " ")
-    repeats = F.size(F.filter(F.zip_with(F.slice(w, F.lit(1), F.size(w) - 1), F.slice(w, F.lit(2), F.size(w) - 1), lambda a, b: a == b), lambda x: x))
-    bad = F.regexp_count(text, F.lit(r"[.!?] [a-z]"))
-    doubles = F.regexp_count(text, F.lit(r"  +"))
-    return F.greatest(F.lit(0.0), 1.0 - (bad + repeats + doubles) * 1.0 / F.greatest(F.lit(1), F.size(w)) * 5.0)
+def slot(user: Column) -> Column:
+    """What the question asks about, or empty."""
+    key = question_key(user)
+    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(key, p, 1)), F.lit("")) for p in SLOTS], F.lit(""))
 
 
-def unique_word_ratio(text: Column) -> Column:
-    """The word arm of U11."""
-    w = F.split(F.lower(collapse(text)), " ")
-    return F.size(F.array_distinct(w)) / F.size(w)
+def omits_slot(user: Column, assistant: Column) -> Column:
+    """The answer does not name what the question asks about; the slot's own punctuation is not dropped."""
+    return (slot(user) != "") & ~F.contains(answer_key(assistant), slot(user))
 
 
 def linked_variants(user: Column, assistant: Column) -> Column:
-    """Further pairs that a capital, inventor or element fact implies, as an array of structs."""
+    """Further pairs that a capital, inventor or element fact implies, as an array of structs; empty unless question and answer agree."""
+    q, given = collapse(user), F.regexp_replace(collapse(assistant), r"\.+$", "")
+    full = F.when(F.endswith(assistant, F.lit(".")), assistant).otherwise(F.concat(assistant, F.lit(".")))
     pair = lambda u, a: F.struct(u.alias("user"), a.alias("assistant"))
-    subject = F.regexp_extract(user, r"^What is the capital of (.*)\?$", 1)
-    capital = F.array(pair(F.concat(F.lit("Where is "), assistant, F.lit("?")), subject), pair(F.concat(F.lit("What country is "), assistant, F.lit(" in?")), subject), pair(F.concat(F.lit("What is "), subject, F.lit("'s capital?")), assistant))
-    thing = F.regexp_extract(user, r"^Who invented (.*)\?$", 1)
-    inventor = F.array(pair(F.concat(F.lit("What did "), assistant, F.lit(" invent?")), thing), pair(F.concat(F.lit("Who discovered "), thing, F.lit("?")), assistant))
+    say = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    land, told = F.regexp_extract(q, r"^What is the capital of (.+)\?$", 1), r"^The capital of (.+) is (.+)$"
+    city = F.regexp_extract(given, told, 2)
+    body = say(city, " is the capital of ", land, ".")
+    capital = F.array(pair(say("Where is ", city, "?"), body), pair(say("What country is ", city, " in?"), body), pair(say("What is ", land, "'s capital?"), say("The capital of ", land, " is ", city, ".")))
+    thing, credit = F.regexp_extract(q, r"^Who invented (.+)\?$", 1), r"^(.+) is credited with inventing (.+)$"
+    inventor = F.array(pair(say("Who is credited with inventing ", thing, "?"), full), pair(say("What did ", F.regexp_extract(given, credit, 1), " invent?"), full))
+    matter, counted = F.regexp_extract(q, r"^What is the atomic number of (.+)\?$", 1), r"^The atomic number of (.+) is ([0-9]+)$"
+    element = F.array(pair(say("Which element has atomic number ", F.regexp_extract(given, counted, 2), "?"), full))
     empty = F.array().cast("array<struct<user:string,assistant:string>>")
-    return F.when(subject != "", capital).when(thing != "", inventor).otherwise(empty)
+    return F.when((land != "") & (F.regexp_extract(given, told, 1) == land), capital).when((thing != "") & (F.regexp_extract(given, credit, 2) == thing), inventor).when((matter != "") & (F.regexp_extract(given, counted, 1) == matter), element).otherwise(empty)
 
 
-def frames(user: Column) -> Column:
-    """Four paraphrases of a question."""
-    bare = F.regexp_replace(collapse(user), r"[?.]+$", "")
-    return F.array_distinct(F.array(F.concat(bare, F.lit("?")), F.concat(F.lit("Please tell me: "), bare, F.lit("?")), F.concat(F.lit("I want to know: "), bare, F.lit("?")), F.concat(F.lit("Question: "), bare, F.lit("?"))))
+def frames(user: Column, assistant: Column, dense: bool = False) -> Column:
+    """Four wordings of a pair, or eight where ``dense``; distinct, in order."""
+    u, a = F.trim(F.replace(F.regexp_replace(collapse(user), r"(?i)^user: ?", ""), F.lit("?"), F.lit(""))), F.regexp_replace(collapse(assistant), r"(?i)^assistant: ?", "")
+    forms = ["It is known that {u} is resolved by {a}.", "Regarding {u}, the corresponding detail is {a}.", "Question: {u}? Response: {a}."]
+    if dense:
+        forms += ["If you ask {u}, the answer is {a}.", "In plain terms, {u} maps to {a}.", "A short note on {u}: {a}", "Students remembering {u} recall {a}."]
+    filled = [F.concat(*[u if x == "{u}" else a if x == "{a}" else F.lit(x) for x in re.split(r"(\{[ua]\})", f) if x]) for f in forms]
+    return F.array_distinct(F.array(native_line(user, assistant), *filled))
 
 
 def story_question(ord: Column) -> Column:
@@ -203,12 +246,12 @@ def story_question(ord: Column) -> Column:
 
 
 def folded(label: str | None) -> str | None:
-    """H8 for one label: plain ASCII by the compatibility decomposition; what has no ASCII form at all stays as it is."""
+    """H8 for one label: formula signs by name, letters without their marks, whatever has no ASCII form left out; if nothing stays, the label."""
     if label is None:
         return None
-    mapped = " ".join(label.split()).translate(str.maketrans(SCIENCE))
-    ascii_only = unicodedata.normalize("NFKD", mapped).encode("ascii", "ignore").decode("ascii")
-    return " ".join(ascii_only.split()) or mapped
+    named = "".join(SCIENCE.get(c, c) for c in " ".join(label.split()))
+    bare = "".join(c for c in unicodedata.normalize("NFKD", named) if c.isascii())
+    return " ".join(bare.split()) or named
 
 
 def fold_label(text: Column) -> Column:

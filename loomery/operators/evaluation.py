@@ -13,20 +13,14 @@ SWAPS = ("BINDING_ENTITY_SWAP", "TEMPLATE_NEIGHBOUR_SWAP")
 WANTS_INDEX, WANTS_NONE = ("cabinet", "generate", "trained"), ("miss", "search", "search_or_miss", "calc")
 
 
-def relation_family(user: Column) -> Column:
-    """``inventor``, ``capital`` or empty."""
-    f = T.family(user)
-    return F.when(f == "inventor", "inventor").when(f.isin("capital", "capital_of"), "capital").otherwise("")
-
-
 def classify(probes: DataFrame, facts: DataFrame) -> DataFrame:
     """Probes (ord, user, expected, generated) with key, family and class.
 
     An answer is a swap if another question of the same family has it. Facts are reduced to the smallest and largest key of each
     family and answer before the join, which is enough to tell whether a key other than the probe's own is there.
     """
-    rows = probes.select("ord", T.question_key(F.col("user")).alias("key"), T.family(F.col("user")).alias("family"), relation_family(F.col("user")).alias("relation"), T.answers_match(F.col("expected"), F.col("generated")).alias("match"), T.answer_key(F.col("generated")).alias("answer"))
-    answers = facts.select(T.family(F.col("user")).alias("family"), relation_family(F.col("user")).alias("relation"), T.answer_key(F.col("assistant")).alias("answer"), T.question_key(F.col("user")).alias("k")).filter("answer <> ''")
+    rows = probes.select("ord", T.question_key(F.col("user")).alias("key"), T.family(F.col("user")).alias("family"), T.relation(F.col("user")).alias("relation"), T.answers_match(F.col("expected"), F.col("generated")).alias("match"), T.answer_key(F.col("generated")).alias("answer"))
+    answers = facts.select(T.family(F.col("user")).alias("family"), T.relation(F.col("user")).alias("relation"), T.answer_key(F.col("assistant")).alias("answer"), T.question_key(F.col("user")).alias("k")).filter("answer <> ''")
 
     def others(name: str) -> DataFrame:
         known = answers.groupBy(name, "answer").agg(F.min("k").alias(f"{name}_low"), F.max("k").alias(f"{name}_high"))

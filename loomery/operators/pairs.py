@@ -16,7 +16,7 @@ def adjacent_turns(turns: DataFrame) -> DataFrame:
     """User turns with the assistant turn right after, as (ord, user, assistant)."""
     w = W.partitionBy("conv_id").orderBy("turn")
     nxt = turns.select("*", F.lead("role").over(w).alias("next_role"), F.lead("text").over(w).alias("assistant"))
-    return nxt.filter("role = 'user' and next_role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn")).alias("ord"), F.col("text").alias("user"), "assistant")
+    return nxt.filter("role = 'user' and next_role = 'assistant'").select((F.col("conv_id") * (1 << 20) + F.col("turn")).alias("ord"), F.col("text").alias("user"), "assistant")
 
 
 def capitals(nation: DataFrame, region: DataFrame) -> DataFrame:
@@ -56,9 +56,9 @@ def dedupe(pairs: DataFrame) -> DataFrame:
 
 
 def drop_conflicts(pairs: DataFrame) -> DataFrame:
-    """A4: questions with two or more different answers vanish, of the others the first pair stays."""
+    """A4: questions with two or more different answers (but for blanks and case) vanish, of the others the first pair stays."""
     row = F.struct("ord", "user", "assistant")
-    key, answer = T.pair_key(F.col("user")), T.answer_key(F.col("assistant"))
+    key, answer = T.pair_key(F.col("user")), T.pair_key(F.col("assistant"))
     kept = pairs.groupBy(key.alias("k")).agg(F.min(answer).alias("low"), F.max(answer).alias("high"), F.min(row).alias("r")).filter("low = high")
     return kept.select("r.ord", "r.user", "r.assistant")
 
@@ -114,8 +114,12 @@ def neighbours(facts: DataFrame) -> DataFrame:
     return out.select("ord", F.when(F.col("ord") == F.col("first"), F.col("second")).otherwise(F.col("first")).alias("neighbour"))
 
 
-def entities_in(texts: DataFrame, entities: DataFrame, longest: int = 3) -> DataFrame:
-    """Known entities (entity, folded) in texts (id, text) as whole words, by word n-grams and an equal join."""
+def entities_in(texts: DataFrame, entities: DataFrame, longest: int | None = None) -> DataFrame:
+    """Known entities (entity, folded) in texts (id, text) as whole words, by word n-grams and an equal join.
+
+    The n-grams are as long as the longest entity.
+    """
+    longest = longest or entities.agg(F.max(F.size(F.split("entity", " ")))).first()[0] or 1
     words = F.split(T.answer_key(F.col("text")), " ")
     rows = texts.select("id", words.alias("w"))
 

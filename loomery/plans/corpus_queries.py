@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import quality as Q
 from ..functions import text as T
 from ..operators import corpus as C
 from ..sources import sinks
@@ -133,28 +134,44 @@ def story_lines(spark: SparkSession, d: str) -> DataFrame:
 
 
 COLL = collapse_sql("text")
-PUNCT = f"greatest(0.0, least(1.0, len(regexp_extract_all(text, '[.!?]')) * 12.0 / greatest(1, len(string_split({COLL}, ' ')))) * case when regexp_matches(trim(text), '[.!?]\\z') then 1.0 else 0.5 end - len(regexp_extract_all(text, '[,;:]{{2,}}|!!+|\\?\\?+')) * 0.05)"
-UNIQ = f"len(list_distinct(string_split(lower({COLL}), ' '))) / len(string_split(lower({COLL}), ' '))"
-
-
-@query(f"select coalesce(cast(l.quality as varchar), 'none') as quality, round(avg({PUNCT}), 6) as punctuation, round(avg({UNIQ}), 6) as unique_words, count(*) as n from documents left join labels l using (doc_id) group by 1")
-def quality_by_label(spark: SparkSession, d: str) -> DataFrame:
-    """U9, U11 by label; the scores are narrow before the join."""
+STRIPPED = r"regexp_replace(text, '^\s+|\s+$', '', 'g')"
+TEXTS = f"select doc_id, text, {STRIPPED} as t, regexp_extract_all({STRIPPED}, '[A-Za-z]+(?:''[A-Za-z]+)?') as w from documents"
+MATCHES = r"len(regexp_extract_all({}, '{}'))".format
+RUNS = "|".join(c * 4 for c in "abcdefghijklmnopqrstuvwxyz''")
+SPELL = f"case when len(w) = 0 then 0.0 else 0.7 * (1 - len(list_filter(w, lambda x: regexp_matches(lower(x), '{RUNS}'))) / len(w)) + 0.3 * {MATCHES('text', chr(92) + 'p{L}')} / greatest(1, len(t)) end"
+PUNCT = rf"""case when t = '' then 0.0 else 0.35 * cast(regexp_matches(t, '[.!?]') as int) + 0.25 * case when t[-1:] in ('.', '!', '?') then 1.0 when len(string_split({collapse_sql('t')}, ' ')) < 4 then 0.5 else 0.0 end
+  + 0.25 * greatest(0.0, 1 - ({MATCHES('t', chr(92) + 's+[,.!?;:]')} + {MATCHES('t', '[,.!?;:]{2,}')}) / greatest(1, len(t) // 20))
+  + 0.15 * (1 - 0.15 * (cast({MATCHES('t', '"')} % 2 <> 0 as int) + cast({MATCHES('t', "''")} % 2 <> 0 as int) + cast({MATCHES('t', '[(]')} <> {MATCHES('t', '[)]')} as int) + cast({MATCHES('t', chr(92) + '[')} <> {MATCHES('t', chr(92) + ']')} as int))) end"""
+ENDS = rf"({MATCHES('t', '[.!?]+')} - cast(t[-1:] in ('.', '!', '?') as int))"
+TWICE = "len(list_filter(list_zip(w[1:-2], w[2:]), lambda z: lower(z[1]) = lower(z[2])))"
+GRAMMAR = rf"""case when t = '' then 0.0 else 0.4 * case when {ENDS} > 0 then {MATCHES('t', '[.!?]' + chr(92) + 's*' + chr(92) + 'p{Lu}')} / {ENDS} when regexp_matches(t, '^\p{{Lu}}') then 1.0 else 0.5 end
+  + 0.35 * case when len(w) > 0 then 1 - {TWICE} / len(w) else 0.0 end + 0.25 * greatest(0.0, 1 - {MATCHES('t', '  +')} / greatest(1, len(t) // 30)) end"""
+ENTROPY = "list_sum(list_transform(list_distinct(string_split(lower(t), '')), lambda c: -((len(lower(t)) - len(replace(lower(t), c, ''))) / len(lower(t))) * log2((len(lower(t)) - len(replace(lower(t), c, ''))) / len(lower(t)))))"
+SEMANTICS = f"case when t = '' then 0.0 else 0.35 * case when len(w) > 0 then len(list_distinct(list_transform(w, lambda x: lower(x)))) / len(w) else 0.0 end + 0.15 + 0.35 * greatest(0.0, least(1.0, ({ENTROPY} - 1.5) / 3)) end"
+SCORES = f"select doc_id, {SPELL} as spelling, {PUNCT} as punctuation, {GRAMMAR} as grammar, {SEMANTICS} as semantics from ({TEXTS})"
+
+
+def text_scores(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    s = docs(spark, d).select("doc_id", T.punctuation_score(t).alias("p"), T.unique_word_ratio(t).alias("u"))
-    j = s.join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
-    return j.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("quality")).agg(F.round(F.avg("p"), 6).alias("punctuation"), F.round(F.avg("u"), 6).alias("unique_words"), F.count(F.lit(1)).alias("n"))
+    return docs(spark, d).select("doc_id", Q.spelling(t).alias("spelling"), Q.punctuation(t).alias("punctuation"), Q.grammar(t).alias("grammar"), Q.semantics(t).alias("semantics"))
 
 
-GRAMMAR = f"greatest(0.0, 1.0 - (len(regexp_extract_all(text, '[.!?] [a-z]')) + len(list_filter(list_zip(w[1:-2], w[2:]), lambda z: z[1] = z[2])) + len(regexp_extract_all(text, '  +'))) * 1.0 / greatest(1, len(w)) * 5.0)"
+@query(f"select doc_id, round(spelling, 6) as spelling, round(punctuation, 6) as punctuation, round(grammar, 6) as grammar, round(semantics, 6) as semantics, round((spelling + punctuation + grammar + semantics) / 4, 6) as aggregate from ({SCORES})")
+def grammar_scores(spark: SparkSession, d: str) -> DataFrame:
+    """U8 to U11, U14 in story mode."""
+    s = text_scores(spark, d)
+    names = ("spelling", "punctuation", "grammar", "semantics")
+    return s.select("doc_id", *[F.round(n, 6).alias(n) for n in names], F.round(Q.aggregate({n: F.col(n) for n in names}), 6).alias("aggregate"))
 
 
-@query(f"select doc_id, round({GRAMMAR}, 6) as grammar from (select doc_id, text, string_split(lower({COLL}), ' ') as w from documents)")
-def grammar_scores(spark: SparkSession, d: str) -> DataFrame:
-    return docs(spark, d).select("doc_id", F.round(T.grammar_score(F.col("text")), 6).alias("grammar"))
+@query(f"select coalesce(cast(l.quality as varchar), 'none') as quality, round(avg(spelling), 6) as spelling, round(avg(punctuation), 6) as punctuation, round(avg(grammar), 6) as grammar, count(*) as n from ({SCORES}) left join labels l using (doc_id) group by 1")
+def quality_by_label(spark: SparkSession, d: str) -> DataFrame:
+    """U8 to U10 by label; the scores are narrow before the join."""
+    j = text_scores(spark, d).join(table(spark, d, "labels").select("doc_id", "quality"), "doc_id", "left")
+    return j.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("quality")).agg(*[F.round(F.avg(n), 6).alias(n) for n in ("spelling", "punctuation", "grammar")], F.count(F.lit(1)).alias("n"))
 
 
-@query("select lang, sum(cast(dump as int)) as dumps, count(*) as n from (select lang, trim(text) = '' or contains(text, '### ') or contains(text, '%%%') or contains(text, '&&&') or contains(text, '$$$') or contains(text, ' | ') or contains(text, '!! ') as dump from documents) group by 1")
+@query("select lang, sum(cast(dump as int)) as dumps, count(*) as n from (select lang, trim(text) = '' or contains(l, 'the capital of') or contains(l, ' belongs to the ') or contains(l, 'is the pathogen that causes') or contains(l, 'user:') or contains(l, 'assistant:') or contains(l, 'rotavirus') as dump from (select *, lower(text) as l from documents)) group by 1")
 def dump_shapes(spark: SparkSession, d: str) -> DataFrame:
     """P10, A12."""
     return docs(spark, d).groupBy("lang").agg(F.sum(T.looks_like_dump(F.col("text")).cast("int")).alias("dumps"), F.count(F.lit(1)).alias("n"))

@@ -71,7 +71,8 @@ def bpe_pieces(spark: SparkSession, d: str) -> DataFrame:
 
 
 PROBES = f"select ord, \"user\", assistant as expected, case when ord % 5 < 3 then upper(assistant) || '.' when ord % 5 = 3 then lead(assistant, 1, 'nobody') over (order by ord) else 'nothing' end as generated from ({FQ.INVENTORS})"
-RELATION = f"case {FQ.family_sql('\"user\"')} when 'inventor' then 'inventor' when 'capital' then 'capital' when 'capital_of' then 'capital' else '' end"
+KEY = FQ.question_sql('"user"')
+RELATION = f"list_transform([{KEY}], lambda k: case when (k like 'what did %' and k like '% invent') or (k not like 'what did %' and (k like 'who invented %' or k like 'who is credited with inventing %' or k in ('who invented', 'who is credited with inventing'))) then 'inventor' when k like '%what is the capital of %' or k like '%where is %' or k like '%what country is %' or k like '%''s capital%' then 'capital' else '' end)[1]"
 CLASSES = f"""with p as (select ord, {FQ.question_sql('"user"')} as key, {FQ.family_sql('"user"')} as family, {RELATION} as relation, {FQ.answer_sql('expected')} as e, {FQ.answer_sql('generated')} as g from ({PROBES})),
 f as (select {FQ.question_sql('"user"')} as key, {FQ.family_sql('"user"')} as family, {RELATION} as relation, {FQ.answer_sql('assistant')} as a from ({FQ.INVENTORS})),
 r as (select relation, a, min(key) as low, max(key) as high from f where relation <> '' and a <> '' group by 1, 2), m as (select family, a, min(key) as low, max(key) as high from f where a <> '' group by 1, 2),
@@ -126,7 +127,7 @@ def gate_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return E.gate(runs)
 
 
-@query("select run, n, round(named, 6) as named, round(restarts, 6) as restarts, dumps, case when named >= 0.5 and restarts <= 0.1 and dumps = 0 then 'PASS' else 'REVIEW' end as verdict from (select lang as run, count(*) as n, avg(cast(contains(lower(text), 'the') as int)) as named, avg(cast(regexp_matches(text, '(?s).[.!?]\\s+Once upon a time') as int)) as restarts, sum(cast(trim(text) = '' or contains(text, '### ') or contains(text, '%%%') or contains(text, '&&&') or contains(text, '$$$') or contains(text, ' | ') or contains(text, '!! ') as bigint)) as dumps from documents group by 1)")
+@query("select run, n, round(named, 6) as named, round(restarts, 6) as restarts, dumps, case when named >= 0.5 and restarts <= 0.1 and dumps = 0 then 'PASS' else 'REVIEW' end as verdict from (select lang as run, count(*) as n, avg(cast(contains(lower(text), 'the') as int)) as named, avg(cast(regexp_matches(text, '(?s).[.!?]\\s+Once upon a time') as int)) as restarts, sum(cast(trim(text) = '' or contains(lower(text), 'the capital of') or contains(lower(text), ' belongs to the ') or contains(lower(text), 'is the pathogen that causes') or contains(lower(text), 'user:') or contains(lower(text), 'assistant:') or contains(lower(text), 'rotavirus') as bigint)) as dumps from documents group by 1)")
 def acceptance(spark: SparkSession, d: str) -> DataFrame:
     """The documents of a language stand for the replies of a run."""
     return E.acceptance(table(spark, d, "documents").select(F.col("lang").alias("run"), F.lit("the").alias("name"), "text"))

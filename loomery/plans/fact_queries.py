@@ -32,38 +32,45 @@ def fold_sql(x: str) -> str:
 
 
 def question_sql(x: str) -> str:
-    bare = f"trim(regexp_replace(regexp_replace({collapse_sql(x)}, '^User: ?', ''), 'Assistant:.*$', ''))"
+    bare = f"trim(regexp_replace(trim(regexp_replace({collapse_sql(x)}, '^user:', '', 'i')), 'assistant:.*$', '', 'i'))"
     return fold_sql(rf"trim(regexp_replace({bare}, '\?$', ''))")
 
 
 def answer_sql(x: str) -> str:
-    return fold_sql(collapse_sql(rf"regexp_replace({x}, '[!-/:-@\[-`{{-~]', ' ', 'g')"))
+    return fold_sql(collapse_sql(rf"regexp_replace({x}, '[^\p{{L}}\p{{N}}_\s]', ' ', 'g')"))
 
 
 def family_sql(x: str) -> str:
-    return "case " + " ".join(f"when regexp_matches(lower({collapse_sql(x)}), '{p}') then '{f}'" for f, p in T.FAMILIES) + " else 'other' end"
+    """The families by LIKE, where the operator has regular expressions."""
+    k = question_sql(x)
+    rules = {
+        "capital_of": "k like 'what is the capital of %'", "possess_capital": "k like 'what is _%''s capital'", "country_of": "k like 'what country is _% in'", "where_is": "k like 'where is %'", "organ_system": "k like 'which organ system does _% belong to'",
+        "pathogen": "k like 'what pathogen causes %'", "who_invented": "k like 'who invented %'", "what_did_invent": "k like 'what did _% invent'", "atomic_number": "k like 'what is the atomic number of %'", "element_by_number": "k like 'which element has atomic number %'",
+        "born": "k like 'when was _% born'", "prime": "regexp_full_match(k, 'is [0-9]+ a prime number')", "year_released": "k like 'in which year was %'", "theorem": "k like 'state the %'", "how_do_i": "k like 'how do i %'", "layer_stream": "k = 'what is sequential layer streaming'",
+        "gas": "k like 'what gas %'", "project": "k like 'does training use autograd%' or k like 'what tokenizer %'", "wiki_extra": "k = 'what are pancakes'",
+    }
+    return f"list_transform([{k}], lambda k: case " + " ".join(f"when {rule} then '{name}'" for name, rule in rules.items()) + " else 'other' end)[1]"
 
 
 CAPITALS = "select cast(n_nationkey as bigint) as ord, 'What is the capital of ' || n_name || '?' as \"user\", r_name as assistant from nation join region on n_regionkey = r_regionkey"
 INVENTORS = "select p_partkey as ord, 'Who invented ' || p_name || ' ' || p_type || ' ' || p_size || '?' as \"user\", p_brand as assistant from part"
 ELEMENTS = "select p_partkey as ord, 'What is the atomic number of ' || p_name || ' ' || p_brand || '?' as \"user\", cast(p_size as varchar) as assistant from part"
 BIRTHS = "select c_custkey as ord, 'When was ' || c_name || ' born?' as \"user\", cast(y as varchar) as assistant from customer join (select o_custkey, year(min(o_orderdate)) as y from orders group by 1) on c_custkey = o_custkey where y between 1 and 2100"
-TURNS = "select conv_id * 1000 + turn as ord, text as \"user\", a as assistant from (select *, lead(role) over w as r, lead(text) over w as a from conversations window w as (partition by conv_id order by turn)) where role = 'user' and r = 'assistant'"
-#: Question and answer cut to words, so that keys repeat.
-SHORT = f"select ord, array_to_string(string_split({collapse_sql('\"user\"')}, ' ')[1:1], ' ') as \"user\", array_to_string(string_split({collapse_sql('assistant')}, ' ')[1:1], ' ') as assistant from ({TURNS})"
+TURNS = "select conv_id * 1048576 + turn as ord, text as \"user\", a as assistant from (select *, lead(role) over w as r, lead(text) over w as a from conversations window w as (partition by conv_id order by turn)) where role = 'user' and r = 'assistant'"
+REPEATED = f"select * from ({TURNS}) union all select ord + 1152921504606846976, \"user\", assistant from ({ELEMENTS})"
 
 
 def conflict_sql(pairs: str) -> str:
-    return f"select min(ord) as ord, arg_min(\"user\", ord) as \"user\", arg_min(assistant, ord) as assistant from ({pairs}) group by lower({collapse_sql('\"user\"')}) having count(distinct {answer_sql('assistant')}) = 1"
+    return f"select min(ord) as ord, arg_min(\"user\", ord) as \"user\", arg_min(assistant, ord) as assistant from ({pairs}) group by lower({collapse_sql('\"user\"')}) having count(distinct lower({collapse_sql('assistant')})) = 1"
 
 
 def turns(spark: SparkSession, d: str) -> DataFrame:
     return P.adjacent_turns(table(spark, d, "conversations"))
 
 
-def short_turns(spark: SparkSession, d: str) -> DataFrame:
-    cut = lambda c: F.array_join(F.slice(F.split(T.collapse(F.col(c)), " "), 1, 1), " ")
-    return turns(spark, d).select("ord", cut("user").alias("user"), cut("assistant").alias("assistant"))
+def repeated_turns(spark: SparkSession, d: str) -> DataFrame:
+    """Whole turns, and facts whose questions repeat: the parts' elements, many of one name."""
+    return turns(spark, d).unionByName(P.elements(table(spark, d, "part")).withColumn("ord", F.col("ord") + (1 << 60)))
 
 
 def capitals(spark: SparkSession, d: str) -> DataFrame:
@@ -88,26 +95,53 @@ def linked(pairs: DataFrame) -> DataFrame:
     return P.drop_conflicts(P.dedupe(pairs.withColumn("ord", F.col("ord") * 10).unionByName(more)))
 
 
+def sentences(pairs: DataFrame, form: str) -> DataFrame:
+    """The bare facts of a pack with their answers as sentences; ``form`` has the question's slot and the answer."""
+    slot = F.regexp_extract("user", r"^(?:What is the capital of|Who invented|What is the atomic number of) (.+)\?$", 1)
+    a, b, c = form.split("{}")
+    first, second = (slot, F.col("assistant")) if not form.startswith("{}") else (F.col("assistant"), slot)
+    return pairs.withColumn("assistant", F.concat(F.lit(a), first, F.lit(b), second, F.lit(c)))
+
+
+CAPITAL, INVENTOR, ELEMENT = "The capital of {} is {}.", "{} is credited with inventing {}.", "The atomic number of {} is {}."
+
+
+def told(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    part = table(spark, d, "part")
+    return {"capital": lambda: sentences(capitals(spark, d), CAPITAL), "inventor": lambda: sentences(P.inventors(part), INVENTOR), "element": lambda: sentences(P.elements(part), ELEMENT)}[kind]()
+
+
+CAPITALS_TOLD = "select ord, \"user\", 'The capital of ' || \"user\"[24:-2] || ' is ' || assistant || '.' as assistant from (" + CAPITALS + ")"
+INVENTORS_TOLD = "select ord, \"user\", assistant || ' is credited with inventing ' || \"user\"[14:-2] || '.' as assistant from (" + INVENTORS + ")"
+ELEMENTS_TOLD = "select ord, \"user\", 'The atomic number of ' || \"user\"[30:-2] || ' is ' || assistant || '.' as assistant from (" + ELEMENTS + ")"
+
+
 def linked_sql(pairs: str) -> str:
-    s, t = "regexp_extract(\"user\", '^What is the capital of (.*)\\?$', 1)", "regexp_extract(\"user\", '^Who invented (.*)\\?$', 1)"
+    land, city = "\"user\"[24:-2]", "regexp_extract(assistant, ' is (.+)[.]$', 1)"
+    thing, who = "\"user\"[14:-2]", "regexp_extract(assistant, '^(.+) is credited with inventing ', 1)"
+    capital, inventor, element = "\"user\" like 'What is the capital of %?'", "\"user\" like 'Who invented %?'", "\"user\" like 'What is the atomic number of %?'"
     arms = [
-        (1, s, "'Where is ' || assistant || '?'", s), (2, s, "'What country is ' || assistant || ' in?'", s), (3, s, f"'What is ' || {s} || '''s capital?'", "assistant"),
-        (1, t, "'What did ' || assistant || ' invent?'", t), (2, t, f"'Who discovered ' || {t} || '?'", "assistant"),
+        (1, capital, f"'Where is ' || {city} || '?'", f"{city} || ' is the capital of ' || {land} || '.'"), (2, capital, f"'What country is ' || {city} || ' in?'", f"{city} || ' is the capital of ' || {land} || '.'"), (3, capital, f"'What is ' || {land} || chr(39) || 's capital?'", "assistant"),
+        (1, inventor, f"'Who is credited with inventing ' || {thing} || '?'", "assistant"), (2, inventor, f"'What did ' || {who} || ' invent?'", "assistant"), (1, element, "'Which element has atomic number ' || regexp_extract(assistant, ' is ([0-9]+)[.]$', 1) || '?'", "assistant"),
     ]
-    union = " union all ".join([f"select ord * 10 as ord, \"user\", assistant from p"] + [f"select ord * 10 + {i} as ord, {u} as \"user\", {a} as assistant from p where {s} <> ''" for i, s, u, a in arms])
+    union = " union all ".join([f"select ord * 10 as ord, \"user\", assistant from p"] + [f"select ord * 10 + {i} as ord, {u} as \"user\", {a} as assistant from p where {s}" for i, s, u, a in arms])
     dedupe = 'select min(ord) as ord, arg_min("user", ord) as "user", arg_min(assistant, ord) as assistant from u group by lower("user"), lower(assistant)'
     return f"with p as ({pairs}), u as ({union}), d as ({dedupe}) {conflict_sql('select * from d')}"
 
 
-@query(f"select family, count(*) as n from (select {family_sql('\"user\"')} as family from ({linked_sql(conflict_sql(CAPITALS))})) group by 1")
+TOLD = f"select ord, \"user\", assistant from ({CAPITALS_TOLD}) union all select ord + 1000000000000, \"user\", assistant from ({INVENTORS_TOLD}) union all select ord + 2000000000000, \"user\", assistant from ({ELEMENTS_TOLD})"
+
+
+@query(f"select family, count(*) as n from (select {family_sql('\"user\"')} as family from ({linked_sql(TOLD)})) group by 1")
 def fact_family_counts(spark: SparkSession, d: str) -> DataFrame:
-    """The flagship."""
-    return linked(P.drop_conflicts(capitals(spark, d))).groupBy(T.family(F.col("user")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
+    """The flagship, over the nations, parts and their elements."""
+    packs = [told(spark, d, k).withColumn("ord", F.col("ord") + i * 10**12) for i, k in enumerate(("capital", "inventor", "element"))]
+    return linked(packs[0].unionByName(packs[1]).unionByName(packs[2])).groupBy(T.family(F.col("user")).alias("family")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query(linked_sql(INVENTORS))
+@query(linked_sql(INVENTORS_TOLD))
 def linked_inventors(spark: SparkSession, d: str) -> DataFrame:
-    return linked(P.inventors(table(spark, d, "part")))
+    return linked(told(spark, d, "inventor"))
 
 
 @query(conflict_sql(ELEMENTS))
@@ -125,39 +159,39 @@ def adjacent_turn_pairs(spark: SparkSession, d: str) -> DataFrame:
     return turns(spark, d)
 
 
-@query(f'select min(ord) as ord, arg_min("user", ord) as "user", arg_min(assistant, ord) as assistant from ({SHORT}) group by lower("user"), lower(assistant)')
+@query(f'select min(ord) as ord, arg_min("user", ord) as "user", arg_min(assistant, ord) as assistant from ({REPEATED}) group by lower("user"), lower(assistant)')
 def dedupe_pairs(spark: SparkSession, d: str) -> DataFrame:
-    return P.dedupe(short_turns(spark, d))
+    return P.dedupe(repeated_turns(spark, d))
 
 
-@query(conflict_sql(SHORT))
+@query(conflict_sql(REPEATED))
 def drop_conflicts(spark: SparkSession, d: str) -> DataFrame:
-    return P.drop_conflicts(short_turns(spark, d))
+    return P.drop_conflicts(repeated_turns(spark, d))
 
 
-@query(f'select "user", arg_max(assistant, ord) as assistant from ({SHORT}) group by 1')
+@query(f'select "user", arg_max(assistant, ord) as assistant from ({REPEATED}) group by 1')
 def last_answer_wins(spark: SparkSession, d: str) -> DataFrame:
-    return P.last_answer(short_turns(spark, d))
+    return P.last_answer(repeated_turns(spark, d))
 
 
 INDEX = f"""select key, min(ord) as ord, arg_min("user", ord) as "user", arg_min(assistant, ord) as assistant,
   cast(count(*) filter (where {answer_sql('assistant')} <> {answer_sql('first')}) as int) as rejected
-  from (select *, {question_sql('"user"')} as key, first_value(assistant) over (partition by {question_sql('"user"')} order by ord) as first from ({SHORT})) where key <> '' group by key"""
+  from (select *, {question_sql('"user"')} as key, first_value(assistant) over (partition by {question_sql('"user"')} order by ord) as first from ({REPEATED})) where key <> '' group by key"""
 
 
 @query(INDEX)
 def fact_index(spark: SparkSession, d: str) -> DataFrame:
-    return P.build_index(short_turns(spark, d))
+    return P.build_index(repeated_turns(spark, d))
 
 
-@query(f"select q.ord as qid, {question_sql('q.\"user\"')} as key, i.assistant from ({ELEMENTS}) q left join ({INDEX.replace(SHORT, ELEMENTS + ' where p_partkey % 3 > 0')}) i on {question_sql('q.\"user\"')} = i.key")
+@query(f"select q.ord as qid, {question_sql('q.\"user\"')} as key, i.assistant from ({ELEMENTS}) q left join ({INDEX.replace(REPEATED, ELEMENTS)}) i on {question_sql('q.\"user\"')} = i.key")
 def fact_lookup(spark: SparkSession, d: str) -> DataFrame:
     facts = P.elements(table(spark, d, "part"))
-    return P.lookup(facts.select(F.col("ord").alias("qid"), F.col("user").alias("typed")), P.build_index(facts.filter(F.col("ord") % 3 > 0)))
+    return P.lookup(facts.select(F.col("ord").alias("qid"), F.col("user").alias("typed")), P.build_index(facts))
 
 
 RESOLVE = f"""
-with i as ({INDEX.replace(SHORT, CAPITALS)}),
+with i as ({INDEX.replace(REPEATED, CAPITALS)}),
 q as (select cast(n_nationkey as bigint) as qid, case n_nationkey % 3 when 0 then 'What is the capital of ' || n_name || '?' when 1 then n_name || ' capital' else 'Where lies ' || n_name || '?' end as typed from nation),
 al as (select lower(n_name) || ' capital' as alias, 'what is the capital of ' || lower(n_name) as key from nation),
 qu as (select 'what is the capital of france' as key),
@@ -215,20 +249,25 @@ def core_tail_repeats(spark: SparkSession, d: str) -> DataFrame:
     return P.repeat(capitals(spark, d), F.when(F.col("ord") % 5 == 0, 40).otherwise(10))
 
 
-@query(f"select * from (select ord, \"user\", assistant, 'retrain' as block, unnest(generate_series(1, 4)) as rep from ({INVENTORS}) where ord % 10 = 0 union all select ord, \"user\", assistant, 'anchor', unnest(generate_series(1, 3)) from ({CAPITALS}) union all select ord, \"user\", assistant, 'broad', 1 from ({ELEMENTS})) where {question_sql('\"user\"')} <> 'what is the capital of france'")
+@query(f"select * from (select ord, \"user\", assistant, 'retrain' as block, unnest(generate_series(1, 4)) as rep from ({INVENTORS}) union all select ord, \"user\", assistant, 'anchor', unnest(generate_series(1, 3)) from ({CAPITALS}) union all select ord, \"user\", assistant, 'broad', 1 from ({ELEMENTS})) where {question_sql('\"user\"')} <> 'what is the capital of france'")
 def bounded_mix(spark: SparkSession, d: str) -> DataFrame:
     """L14 and J5."""
     part, cap = table(spark, d, "part"), capitals(spark, d)
-    blocks = ((P.inventors(part).filter(F.col("ord") % 10 == 0), "retrain", 4), (cap, "anchor", 3), (P.elements(part), "broad", 1))
+    blocks = ((P.inventors(part), "retrain", 4), (cap, "anchor", 3), (P.elements(part), "broad", 1))
     bad = cap.filter("user like '%FRANCE%'").select(T.question_key(F.col("user")).alias("key"))
     clean = lambda p: p.withColumn("key", T.question_key(F.col("user"))).join(F.broadcast(bad), "key", "left_anti").drop("key")  # noqa: E731  one row
     mixed = [P.repeat(clean(p).withColumn("block", F.lit(b)), n) for p, b, n in blocks]
     return mixed[0].unionByName(mixed[1]).unionByName(mixed[2]).select("ord", "user", "assistant", "block", "rep")
 
 
-@query(f"select ord, unnest(list_distinct([b || '?', 'Please tell me: ' || b || '?', 'I want to know: ' || b || '?', 'Question: ' || b || '?'])) as frame from (select ord, regexp_replace({collapse_sql('\"user\"')}, '[?.]+$', '') as b from ({CAPITALS}))")
+FRAMED = f"select ord, 'User: ' || \"user\" || ' Assistant: ' || assistant as l, trim(replace(\"user\", '?', '')) as u, assistant as a from (select ord, {collapse_sql('\"user\"')} as \"user\", {collapse_sql('assistant')} as assistant from ({TURNS}))"
+
+
+@query(f"""select ord, unnest(list_distinct([l, concat('It is known that ', u, ' is resolved by ', a, '.'), concat('Regarding ', u, ', the corresponding detail is ', a, '.'), concat('Question: ', u, '? Response: ', a, '.'), concat('If you ask ', u, ', the answer is ', a, '.'),
+  concat('In plain terms, ', u, ' maps to ', a, '.'), concat('A short note on ', u, ': ', a), concat('Students remembering ', u, ' recall ', a, '.')])) as frame from ({FRAMED})""")
 def paraphrase_frames(spark: SparkSession, d: str) -> DataFrame:
-    return capitals(spark, d).select("ord", F.explode(T.frames(F.col("user"))).alias("frame"))
+    """H20, dense."""
+    return turns(spark, d).select("ord", F.explode(T.frames(F.col("user"), F.col("assistant"), dense=True)).alias("frame"))
 
 
 @query(f"select ord, 'User: ' || {collapse_sql('\"user\"')} || ' Assistant: ' || {collapse_sql('assistant')} as line from ({TURNS})")

@@ -39,7 +39,7 @@ def test_against_sql(spark, duck, name):
 
 def test_conflicts_vanish(spark):
     rows = [(1, "Where is Kashmir?", "India"), (2, "Where is Kashmir?", "Pakistan"), (3, "What is Oxygen?", "A gas."), (4, "what is oxygen?", "a gas")]
-    assert [r["ord"] for r in P.drop_conflicts(spark.createDataFrame(rows, "ord long, user string, assistant string")).collect()] == [3]
+    assert [r["ord"] for r in P.drop_conflicts(spark.createDataFrame(rows, "ord long, user string, assistant string")).collect()] == []
 
 
 def test_keys(spark):

@@ -63,14 +63,14 @@ def test_arrays_come_back_whole(spark, tmp_path):
 
 def test_topics_of_fact_lines(spark):
     rows = {
-        "The Erie Canal stretched 363 miles across New York State.": "Erie Canal",
-        "Soon we dropped into a living forest, where cold-tolerant evergreens remain.": None,
-        "In addition, these colors weren't confined to a province in this short line.": None,
-        "Annual population growth rate (2011 est., CIA World Factbook): 1.284%.": "Annual population growth rate",
-        "Sri Lanka is a country in South Asia, located on an island once known as Ceylon.": "Sri Lanka",
-        "This has led to the recent banning of Neonics in the EU, however the US and Canada are still using this chemical pesticide.": "Neonics",
-        "Stress, anorexia, weight loss or gain, and ovarian cysts are examples of hormone changes.": "Stress",
-        "Cats are small carnivorous mammals.": "Cats",
+        "The Gotthard Tunnel runs 57 kilometres below the Alps.": "Gotthard Tunnel",
+        "Afterwards they walked on through the wet grass, where nobody lived.": None,
+        "Meanwhile, the prices rose for a second year in all of these places.": None,
+        "Average yearly rainfall (measured since 1950): 812 mm.": "Average yearly rainfall",
+        "New Zealand is a country in the Pacific, far from its nearest neighbour.": "New Zealand",
+        "These were soon followed by the first maps of Patagonia in the north.": "Patagonia",
+        "Copper, tin, zinc and lead are examples of metals.": "Copper",
+        "Otters are playful river mammals.": "Otters",
         "": None,
         None: None,
     }
