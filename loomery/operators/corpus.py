@@ -65,17 +65,31 @@ def strided(docs: DataFrame, n: int) -> DataFrame:
     return _numbered(docs).filter(F.col("nth") % stride == 0).filter(F.col("nth") < stride * n).select("doc_id", "nth")
 
 
-def _numbered(docs: DataFrame, width: int = 1024) -> DataFrame:
+def ranges(docs: DataFrame, width: int = 64) -> Column:
+    """The number of the range in which a ``doc_id`` lies, of width * width ranges with about equal counts; null ids are in the first.
+
+    The bounds are approximate quantiles, so that sparse or clustered ids don't fill one range. They are compared in two steps.
+    """
+    n = width * width
+    shares = F.split(F.lit(",".join(str(i / n) for i in range(1, n))), ",").cast("array<double>")
+    marks = docs.agg(F.percentile_approx("doc_id", shares, 10 * n).alias("m")).first()["m"] or []
+    held = lambda a: F.split(F.lit(",".join(map(str, a)) or "0"), ",").cast("array<long>")
+    coarse = F.size(F.filter(held(marks[width - 1 :: width]), lambda m: m <= F.col("doc_id")))
+    fine = F.size(F.filter(F.slice(held(marks), coarse * width + 1, F.lit(width)), lambda m: m <= F.col("doc_id")))
+    return coarse * width + fine
+
+
+def _numbered(docs: DataFrame) -> DataFrame:
     """doc_id and its number from 0 in id order, by a two-level prefix sum."""
-    ids = docs.select("doc_id", F.floor(F.col("doc_id") / width).alias("block"))
+    ids = docs.select("doc_id", ranges(docs).alias("block"))
     blocks = ids.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
     blocks = blocks.select("block", (F.sum("n").over(W.orderBy("block")) - F.col("n")).alias("before"))
     return ids.withColumn("r", F.row_number().over(W.partitionBy("block").orderBy("doc_id"))).join(blocks, "block").select("doc_id", (F.col("before") + F.col("r") - 1).alias("nth"))
 
 
-def offsets(docs: DataFrame, tokens: Column, width: int = 1024) -> DataFrame:
+def offsets(docs: DataFrame, tokens: Column) -> DataFrame:
     """The offset of each document in the joined token stream, one token between documents. Two-level prefix sum."""
-    rows = docs.select("doc_id", F.floor(F.col("doc_id") / width).alias("block"), (tokens + 1).cast("long").alias("n"))
+    rows = docs.select("doc_id", ranges(docs).alias("block"), (tokens + 1).cast("long").alias("n"))
     blocks = rows.groupBy("block").agg(F.sum("n").alias("n"))
     blocks = blocks.select("block", (F.sum("n").over(W.orderBy("block")) - F.col("n")).alias("before"))
     inner = F.sum("n").over(W.partitionBy("block").orderBy("doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
@@ -83,8 +97,13 @@ def offsets(docs: DataFrame, tokens: Column, width: int = 1024) -> DataFrame:
 
 
 def prefix_sample(docs: DataFrame, budget: int) -> DataFrame:
-    """Documents by order until ``budget`` characters of the joined text, the last one cut."""
+    """Documents by order until ``budget`` characters of the joined text, the last one cut.
+
+    Each document takes a character at least, so a small budget bounds the rows that are broadcast and no text is shuffled.
+    """
     at = offsets(docs, F.length("text")).filter(F.col("start") < budget)
+    if budget <= 1 << 21:
+        at = F.broadcast(at)
     return docs.select("doc_id", "text").join(at, "doc_id").select("doc_id", F.substring("text", F.lit(1), F.least(F.lit(budget) - F.col("start"), F.col("stop") - F.col("start")).cast("int")).alias("text"))
 
 
@@ -98,9 +117,10 @@ def interleave(prose: DataFrame, facts: DataFrame, stride: int) -> DataFrame:
 
 
 def exclude_holdout(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """Documents without a line that is the text of a held-out item."""
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", T.collapse(F.col("line")).alias("text"))
-    hit = lines.join(held.select(T.collapse(F.col("text")).alias("text")).distinct(), "text").select("doc_id").distinct()
+    """Documents without a line that is the text of a held-out item. Lines meet by their 128-bit hashes, not whole."""
+    mark = lambda c: F.unhex(F.md5(T.collapse(c))).alias("mark")
+    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", mark(F.col("line")))
+    hit = lines.join(held.select(mark(F.col("text"))).distinct(), "mark").select("doc_id").distinct()
     return docs.join(hit, "doc_id", "left_anti")
 
 

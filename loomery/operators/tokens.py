@@ -8,13 +8,15 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import lru_cache
+from heapq import heappop, heappush
+from itertools import count
+from typing import NamedTuple
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .corpus import words
-
 
 def characters(text: Column) -> Column:
     return F.filter(F.split(text, ""), lambda c: c != "")
@@ -64,47 +66,72 @@ def load_vocabulary(spark: SparkSession, path: str) -> tuple[str, DataFrame]:
     return ("bpe" if "rank" in found.columns else "char"), found
 
 
-def read_merges(path: str) -> dict[tuple[str, str], int]:
-    """Ranks of the merges in a tokenizer's JSON file."""
+#: The pattern by which byte-level vocabularies part a text into words, each with the blank before it.
+PARTS = r"(?U)'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Merges(NamedTuple):
+    ranks: dict[tuple[str, str], int]
+    ids: dict[str, int]
+
+
+def read_merges(path: str) -> Merges:
+    """Ranks of the merges and ids of the pieces in a tokenizer's JSON file."""
     with open(path, encoding="utf-8") as f:
-        merges = json.load(f)["model"]["merges"]
-    return {tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m): i for i, m in enumerate(merges)}
+        model = json.load(f)["model"]
+    pairs = (tuple(m.split(" ", 1)) if isinstance(m, str) else tuple(m) for m in model["merges"])
+    return Merges({p: i for i, p in enumerate(pairs)}, model["vocab"])
+
+
+def byte_letters() -> list[str]:
+    """The letter of each byte: printable Latin-1 characters stand for themselves, the rest take what follows Latin-1, in order."""
+    shown, spare = {*range(33, 127), *range(161, 173), *range(174, 256)}, count(256)
+    return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
 def pieces_of(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
-    """T3 for one word: the lowest-ranked adjacent pair is merged everywhere, left to right, until none is known."""
-    parts = list(word)
-    while len(parts) > 1:
-        best = min(zip(parts, parts[1:], strict=False), key=lambda p: ranks.get(p, len(ranks)))
-        if best not in ranks:
-            break
-        merged, i = [], 0
-        while i < len(parts):
-            two = i + 1 < len(parts) and (parts[i], parts[i + 1]) == best
-            merged.append(parts[i] + parts[i + 1] if two else parts[i])
-            i += 2 if two else 1
-        parts = merged
-    return parts
-
-
-def word_pieces(distinct: DataFrame, ranks: dict[tuple[str, str], int], longest: int = 64) -> DataFrame:
-    """(word, pieces) of distinct words, so that each is merged once in the whole corpus.
-
-    Words beyond ``longest`` characters are merged in runs of that length, which bounds the work of one word.
+    """T3 for one word: the lowest-ranked adjacent pair is merged, the leftmost first, until none is known. A heap keeps long words cheap."""
+    parts, n, heap = list(word), len(word), []
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+
+    def offer(i: int) -> None:
+        j = after[i] if i >= 0 else n
+        if j < n and (rank := ranks.get((parts[i], parts[j]))) is not None:
+            heappush(heap, (rank, i, parts[i], parts[j]))
+
+    for i in range(n):
+        offer(i)
+    while heap:
+        _, i, left, right = heappop(heap)
+        j = after[i]
+        if j < n and parts[i] == left and parts[j] == right:  # else it was merged with another neighbour
+            parts[i], parts[j], after[i] = left + right, "", after[j]
+            if after[i] < n:
+                before[after[i]] = i
+            offer(before[i])
+            offer(i)
+    return [p for p in parts if p]
+
+
+def encode(docs: DataFrame, merges: Merges, cached: int = 1 << 18) -> DataFrame:
+    """(doc_id, n_words, n_chars, ids) of every document, whole, by byte-level merges; a null text has no words.
+
+    No shuffle: a task keeps the ids of the ``cached`` words it saw last. A piece without an id gives those of its characters.
     """
-    held = distinct.sparkSession.sparkContext.broadcast(ranks)  # as large as a vocabulary
+    held = docs.sparkSession.sparkContext.broadcast(merges)  # as large as a vocabulary
+    parts = F.coalesce(F.regexp_extract_all("text", F.lit(PARTS), F.lit(0)), F.array().cast("array<string>"))
 
-    def merge(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
-            cut = [[w[i : i + longest] for i in range(0, len(w), longest)] for w in f["word"]]
-            yield pd.DataFrame({"word": f["word"], "pieces": [[p for part in c for p in pieces_of(part, held.value)] for c in cut]})
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (ranks, ids), letters = held.value, byte_letters()
 
-    return distinct.select("word").mapInPandas(merge, "word string, pieces array<string>")
+        def ids_of(word: str) -> list[int]:
+            found = pieces_of("".join(letters[b] for b in word.encode()), ranks)
+            return [i for p in found for i in ([ids[p]] if p in ids else [ids[c] for c in p if c in ids])]
 
+        known = lru_cache(maxsize=cached)(ids_of)
+        for b in batches:
+            rows = [[i for w in words for i in (known(w) if len(w) < 64 else ids_of(w))] for words in b.column("words").to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_words", "n_chars")), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "n_words", "n_chars", "ids"])
 
-def piece_counts(docs: DataFrame, ranks: dict[tuple[str, str], int]) -> DataFrame:
-    """(doc_id, n_words, n_chars, n_pieces) of every document with words; a frequent word shuffles one row a document."""
-    per = docs.select("doc_id", F.explode(words(F.col("text"))).alias("word")).groupBy("doc_id", "word").agg(F.count(F.lit(1)).alias("n"))
-    sizes = word_pieces(per.select("word").distinct(), ranks).select("word", F.size("pieces").alias("k"))
-    n = F.col("n")
-    return per.join(sizes, "word").groupBy("doc_id").agg(F.sum(n).alias("n_words"), F.sum(n * F.char_length("word")).alias("n_chars"), F.sum(n * F.col("k")).alias("n_pieces"))
+    rows = docs.select(F.col("doc_id").cast("long"), F.size(parts).cast("long").alias("n_words"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), parts.alias("words"))
+    return rows.mapInArrow(merge, "doc_id long, n_words long, n_chars long, ids array<int>")

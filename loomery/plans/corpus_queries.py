@@ -109,21 +109,21 @@ def story_windows(spark: SparkSession, d: str) -> DataFrame:
     return C.windows(spans(spark, d), 64, 48)
 
 
-@query("select doc_id, start, array_to_string(list_resize(list_slice(ids, start + 1, start + 16), 16, 9999), ',') as x, array_to_string(list_resize(list_slice(ids, start + 2, start + 17), 16, -1), ',') as y from (select doc_id, ids, n, unnest(list_distinct(case when n - 17 <= 0 then [0] else list_append(generate_series(0, n - 17, 16), n - 17) end)) as start from (select doc_id, list_transform(" + WORDS + ", lambda w: length(w)) as ids, " + NTOK + " as n from documents) where n >= 17)")
+@query("select doc_id, start, array_to_string(list_resize(list_slice(ids, start + 1, least(start + 16, n - 1)), 16, 9999), ',') as x, array_to_string(list_resize(list_slice(ids, start + 2, start + 17), 16, -1), ',') as y from (select doc_id, ids, n, unnest(list_distinct(case when n - 17 <= 0 then [0] else list_append(generate_series(0, n - 17, 16), n - 17) end)) as start from (select doc_id, list_transform(" + WORDS + ", lambda w: length(w)) as ids, " + NTOK + " as n from documents) where n >= 2)")
 def window_materialization(spark: SparkSession, d: str) -> DataFrame:
-    """T11, with word lengths for token ids."""
+    """T11, with word lengths for token ids; short stories are one padded window."""
     rows = docs(spark, d).select("doc_id", F.transform(C.words(F.col("text")), F.length).alias("ids"))
     last = F.size("ids") - 17
-    starts = F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(16)), F.array(last)))
-    w = rows.filter(F.size("ids") >= 17).select("doc_id", "ids", F.explode(starts).alias("start"))
+    starts = F.when(last <= 0, F.array(F.lit(0))).otherwise(F.array_distinct(F.concat(F.sequence(F.lit(0), last, F.lit(16)), F.array(last))))
+    w = rows.filter(F.size("ids") >= 2).select("doc_id", "ids", F.explode(starts).alias("start"))
     x, y = C.window_arrays(F.col("ids"), F.col("start"), 16, 9999)
     return w.select("doc_id", F.col("start").cast("long").alias("start"), F.array_join(x, ",").alias("x"), F.array_join(y, ",").alias("y"))
 
 
-@query(f"with w as (select doc_id * 100000 + start as id from ({WINDOWS})) select id, (row_number() over (order by md5('3:1:' || id), id) - 1) // 32 as batch from w qualify batch < greatest(1, (select count(*) from w) // 32)")
+@query(f"with w as (select doc_id || ':' || start as id from ({WINDOWS})) select id, (row_number() over (order by md5('3:1:' || id), id) - 1) // 32 as batch from w qualify batch < greatest(1, (select count(*) from w) // 32)")
 def shuffled_batches(spark: SparkSession, d: str) -> DataFrame:
     """L20."""
-    w = C.windows(spans(spark, d), 64, 48).select((F.col("doc_id") * 100000 + F.col("start")).alias("id"))
+    w = C.windows(spans(spark, d), 64, 48).select(F.concat_ws(":", "doc_id", "start").alias("id"))
     return C.batches(w, 32, "3", 1, w.count())
 
 
@@ -205,7 +205,9 @@ def wrapped_stories(spark: SparkSession, d: str) -> DataFrame:
 
 @query(f"select w as word, count(*) as n, count(distinct doc_id) as docs from (select doc_id, unnest({WORDS}) as w from documents) group by 1")
 def word_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """T1, the word table of T2 and T3: counted per document first, so a frequent word shuffles one row a task."""
-    w = docs(spark, d).select("doc_id", F.explode(C.words(F.col("text"))).alias("word"))
-    per = w.groupBy("word", "doc_id").agg(F.count(F.lit(1)).alias("n"))
-    return per.groupBy("word").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("docs"))
+    """T1, the word table of T2 and T3. A word's first place in a document is marked in its row, so a frequent word shuffles one row a task."""
+    w = F.sort_array(C.words(F.col("text")))
+    before = F.concat(F.array(F.lit(None).cast("string")), w)
+    marked = F.zip_with(w, before, lambda x, p: F.struct(x.alias("word"), (~x.eqNullSafe(p)).cast("long").alias("first")))
+    rows = docs(spark, d).select(F.explode(marked).alias("w")).filter("w.word is not null").select("w.*")
+    return rows.groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.sum("first").alias("docs"))

@@ -64,10 +64,10 @@ def story_spans(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query()
-def bpe_pieces(spark: SparkSession, d: str) -> DataFrame:
-    """T3, A34, by the merges of a public vocabulary; tested against a plain loop."""
-    n = K.piece_counts(table(spark, d, "documents"), K.read_merges(MERGES))
-    return n.select("doc_id", "n_words", "n_chars", "n_pieces", F.round(F.col("n_chars") / F.col("n_pieces"), 6).alias("chars_per_piece"))
+def bpe_pieces(spark: SparkSession, d: str, path: str = MERGES) -> DataFrame:
+    """T3, A34, by a public vocabulary; tested against its own encoder on whole texts."""
+    e, n = K.encode(table(spark, d, "documents"), K.read_merges(path)), F.size("ids").cast("long")
+    return e.select("doc_id", "n_words", "n_chars", n.alias("n_pieces"), F.round(F.try_divide(F.col("n_chars"), n), 6).alias("chars_per_piece"), F.md5(F.array_join("ids", ",")).alias("ids_md5"))
 
 
 PROBES = f"select ord, \"user\", assistant as expected, case when ord % 5 < 3 then upper(assistant) || '.' when ord % 5 = 3 then lead(assistant, 1, 'nobody') over (order by ord) else 'nothing' end as generated from ({FQ.INVENTORS})"
@@ -100,21 +100,15 @@ def family_summary(spark: SparkSession, d: str) -> DataFrame:
     return E.family_summary(classified(spark, d))
 
 
-TYPED = "case n_nationkey % 3 when 0 then 'What is the capital of ' || n_name || '?' when 1 then n_name || ' capital' else 'Where lies ' || n_name || '?' end"
-
-
 @query(f"""select count(*) as n, count(*) filter (where label = 'ROUTE_OK') as route_ok, count(*) filter (where label = 'ROUTER_FALSE_MISS') as false_miss, count(*) filter (where label = 'ROUTER_FALSE_HIT') as false_hit,
   round(coalesce(avg(case when hit then cast(label = 'ROUTE_OK' as int) end), 1), 6) as router_precision, round(coalesce(avg(case when asked then cast(label = 'ROUTE_OK' as int) end), 1), 6) as router_recall
   from (select hit, asked, case when asked and hit then 'ROUTE_OK' when asked then 'ROUTER_FALSE_MISS' when hit then 'ROUTER_FALSE_HIT' else 'ROUTE_OK' end as label
-  from (select r.qid is not null as hit, n_nationkey % 3 < 2 as asked from nation left join ({FQ.RESOLVE}) r on n_nationkey = r.qid))""")
+  from (select r.qid is not null as hit, c_custkey % 3 < 2 as asked from customer left join ({FQ.RESOLVE}) r on c_custkey = r.qid))""")
 def router_evaluation(spark: SparkSession, d: str) -> DataFrame:
-    """U7, A13."""
-    nation = table(spark, d, "nation")
-    typed = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("What is the capital of "), "n_name", F.lit("?"))).when(F.col("n_nationkey") % 3 == 1, F.concat("n_name", F.lit(" capital"))).otherwise(F.concat(F.lit("Where lies "), "n_name", F.lit("?")))
-    key = F.concat(F.lit("what is the capital of "), F.lower("n_name"))
-    queries = nation.select(F.col("n_nationkey").cast("long").alias("qid"), typed.alias("typed"))
-    routed = E.route(queries, P.build_index(FQ.capitals(spark, d)), nation.select(F.concat(F.lower("n_name"), F.lit(" capital")).alias("alias"), key.alias("key")), nation.filter("n_name = 'FRANCE'").select(key.alias("key")))
-    asked = nation.select(F.col("n_nationkey").cast("long").alias("qid"), F.when(F.col("n_nationkey") % 3 < 2, "trained").otherwise("search_or_miss").alias("intent"), F.when(F.col("n_nationkey") % 3 < 2, key).alias("canonical"))
+    """A question for each customer."""
+    routed, known = E.route(*FQ.asked(spark, d)), F.col("c_custkey") % 3 < 2
+    key = F.concat(F.lit("what is the capital of "), F.lower("c_name"))
+    asked = table(spark, d, "customer").select(F.col("c_custkey").alias("qid"), F.when(known, "trained").otherwise("search_or_miss").alias("intent"), F.when(known, key).alias("canonical"))
     return E.router_summary(E.label_routes(routed.join(asked, "qid")))
 
 
@@ -161,4 +155,6 @@ def learned_keys(spark: SparkSession, d: str) -> DataFrame:
     """User turns as a stream, against the static keys of assistant turns."""
     known = table(spark, d, "conversations").filter("role = 'assistant'").select(T.question_key(F.col("text")).alias("key"))
     turns = S.table_stream(spark, d, "conversations").filter("role = 'user'").select(F.col("text").alias("user"))
-    return S.drain(S.learned(turns, known), "learned").select("key")
+    base = S.folder(spark, "learned")
+    S.learned(turns, known, f"{base}/rows", f"{base}/state").awaitTermination()
+    return spark.read.schema("key string").parquet(f"{base}/rows").select("key")

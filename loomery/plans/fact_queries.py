@@ -190,25 +190,37 @@ def fact_lookup(spark: SparkSession, d: str) -> DataFrame:
     return P.lookup(facts.select(F.col("ord").alias("qid"), F.col("user").alias("typed")), P.build_index(facts))
 
 
+SEATS = "select c_custkey as ord, 'What is the capital of ' || c_name || '?' as \"user\", n_name as assistant from customer join nation on c_nationkey = n_nationkey"
+
+
+def seats(spark: SparkSession, d: str) -> DataFrame:
+    """H15, kind capitals, for the customers' names, so that the pack grows."""
+    names = table(spark, d, "customer").select(F.col("c_custkey").alias("n_nationkey"), F.col("c_name").alias("n_name"), F.col("c_nationkey").alias("n_regionkey"))
+    return P.capitals(names, table(spark, d, "nation").select(F.col("n_nationkey").alias("r_regionkey"), F.col("n_name").alias("r_name")))
+
+
 RESOLVE = f"""
-with i as ({INDEX.replace(REPEATED, CAPITALS)}),
-q as (select cast(n_nationkey as bigint) as qid, case n_nationkey % 3 when 0 then 'What is the capital of ' || n_name || '?' when 1 then n_name || ' capital' else 'Where lies ' || n_name || '?' end as typed from nation),
-al as (select lower(n_name) || ' capital' as alias, 'what is the capital of ' || lower(n_name) as key from nation),
-qu as (select 'what is the capital of france' as key),
+with i as ({INDEX.replace(REPEATED, SEATS)}),
+q as (select c_custkey as qid, case c_custkey % 3 when 0 then 'What is the capital of ' || c_name || '?' when 1 then c_name || ' capital' else 'Where lies ' || c_name || '?' end as typed from customer),
+al as (select lower(c_name) || ' capital' as alias, 'what is the capital of ' || lower(c_name) as key from customer),
+qu as (select 'what is the capital of ' || lower(c_name) as key from customer where c_custkey % 101 = 5),
 c as (select qid, {question_sql('typed')} as k, 1 as prio, 'exact' as match_type from q union all select qid, al.key, 2, 'alias' from q join al on {question_sql('typed')} = alias)
 select qid, arg_min(match_type, prio) as match_type, arg_min(i.key, prio) as key, arg_min(assistant, prio) as assistant from c join i on c.k = i.key
 where i.key not in (select key from qu) and qid not in (select qid from q where {question_sql('typed')} in (select key from qu)) group by qid"""
 
 
+def asked(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """A typed question for each customer, the index, the aliases and the quarantine."""
+    c, qid, key = table(spark, d, "customer").withColumn("qid", F.col("c_custkey")), F.col("qid"), F.concat(F.lit("what is the capital of "), F.lower("c_name"))
+    typed = F.when(qid % 3 == 0, F.concat(F.lit("What is the capital of "), "c_name", F.lit("?"))).when(qid % 3 == 1, F.concat("c_name", F.lit(" capital"))).otherwise(F.concat(F.lit("Where lies "), "c_name", F.lit("?")))
+    aliases = c.select(F.concat(F.lower("c_name"), F.lit(" capital")).alias("alias"), key.alias("key"))
+    return c.select("qid", typed.alias("typed")), P.build_index(seats(spark, d)), aliases, c.filter("qid % 101 = 5").select(key.alias("key"))
+
+
 @query(RESOLVE)
 def resolution_cascade(spark: SparkSession, d: str) -> DataFrame:
     """J2 and S14."""
-    nation = table(spark, d, "nation")
-    typed = F.when(F.col("n_nationkey") % 3 == 0, F.concat(F.lit("What is the capital of "), "n_name", F.lit("?"))).when(F.col("n_nationkey") % 3 == 1, F.concat("n_name", F.lit(" capital"))).otherwise(F.concat(F.lit("Where lies "), "n_name", F.lit("?")))
-    queries = nation.select(F.col("n_nationkey").cast("long").alias("qid"), typed.alias("typed"))
-    aliases = nation.select(F.concat(F.lower("n_name"), F.lit(" capital")).alias("alias"), F.concat(F.lit("what is the capital of "), F.lower("n_name")).alias("key"))
-    quarantine = nation.filter("n_name = 'FRANCE'").select(F.concat(F.lit("what is the capital of "), F.lower("n_name")).alias("key"))
-    return P.resolve(queries, P.build_index(capitals(spark, d)), aliases, quarantine)
+    return P.resolve(*asked(spark, d))
 
 
 @query(f"with k as (select ord, {family_sql('\"user\"')} as f, {answer_sql('assistant')} as a from ({INVENTORS})) select ord, case when n1 = ord then n2 else n1 end as neighbour from (select ord, min(ord) over (partition by f, a) as n1, (list(ord) over (partition by f, a order by ord rows between unbounded preceding and unbounded following))[2] as n2 from k) where n2 is not null")
@@ -243,10 +255,12 @@ def family_round_robin(spark: SparkSession, d: str) -> DataFrame:
     return P.round_robin(all_facts(spark, d), 60)
 
 
-@query(f"select ord, \"user\", assistant, unnest(generate_series(1, case when ord % 5 = 0 then 40 else 10 end)) as rep from ({CAPITALS})")
+@query(f"select ord, \"user\", assistant, unnest(generate_series(1, case when ord in (select o_custkey from orders) then 40 else 10 end)) as rep from ({SEATS})")
 def core_tail_repeats(spark: SparkSession, d: str) -> DataFrame:
-    """L12, L13."""
-    return P.repeat(capitals(spark, d), F.when(F.col("ord") % 5 == 0, 40).otherwise(10))
+    """Customers with orders stand for the probe list."""
+    probed = table(spark, d, "orders").select(F.col("o_custkey").alias("ord")).distinct().withColumn("core", F.lit(True))
+    marked = seats(spark, d).join(probed, "ord", "left")
+    return P.repeat(marked, F.when(F.col("core"), 40).otherwise(10)).drop("core")
 
 
 @query(f"select * from (select ord, \"user\", assistant, 'retrain' as block, unnest(generate_series(1, 4)) as rep from ({INVENTORS}) union all select ord, \"user\", assistant, 'anchor', unnest(generate_series(1, 3)) from ({CAPITALS}) union all select ord, \"user\", assistant, 'broad', 1 from ({ELEMENTS})) where {question_sql('\"user\"')} <> 'what is the capital of france'")
@@ -299,8 +313,8 @@ def format_conversations(spark: SparkSession, d: str) -> DataFrame:
     return turns.select("conv_id", F.array_join(F.transform("turns", lambda x: x["t"]), " ").alias("line"))
 
 
-@query("select substr(sha256(string_agg(k, ',' order by k)), 1, 16) as block, count(*) as keys, f as family from (select distinct " + question_sql('"user"') + " as k, " + family_sql('"user"') + f" as f from ({CAPITALS})) group by f")
+@query("select conv_id, substr(sha256(string_agg(k, ',' order by k)), 1, 16) as block, count(*) as keys from (select distinct conv_id, " + question_sql("text") + " as k from conversations where role = 'user') where k <> '' group by conv_id")
 def block_ids(spark: SparkSession, d: str) -> DataFrame:
-    """H24."""
-    k = capitals(spark, d).select(T.question_key(F.col("user")).alias("k"), T.family(F.col("user")).alias("family")).distinct()
-    return k.groupBy("family").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ",").cast("binary"), 256), 1, 16).alias("block"), F.count(F.lit(1)).alias("keys"))
+    """The distinct questions of a conversation, which is one id and so one group."""
+    k = table(spark, d, "conversations").filter("role = 'user'").select("conv_id", T.question_key(F.col("text")).alias("k")).filter("k <> ''").distinct()
+    return k.groupBy("conv_id").agg(F.substring(F.sha2(F.array_join(F.array_sort(F.collect_list("k")), ",").cast("binary"), 256), 1, 16).alias("block"), F.count(F.lit(1)).alias("keys"))

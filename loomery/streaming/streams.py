@@ -25,8 +25,12 @@ RECORD = "typed_question string, canonical_question string, expected string, cla
 
 
 def folder(spark: SparkSession, name: str) -> str:
-    """A new folder below ``spark.checkpoint.dir``, or a temporary one where that is unset, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="loomery-")
+    """A new folder below ``spark.checkpoint.dir``; a temporary one only for a local master, as in tests."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.mkdtemp(prefix="loomery-")
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
@@ -55,7 +59,8 @@ def pend(stream: DataFrame, pending: str, checkpoint: str) -> StreamingQuery:
 
     def put(batch: DataFrame, i: int) -> None:
         keyed = batch.filter(F.col("classification").isin(*RETRAIN)).withColumn("key", T.question_key(F.coalesce("canonical_question", "typed_question"))).filter("key <> ''")
-        keyed.withColumn("ord", F.lit(i) * F.lit(1 << 40) + F.monotonically_increasing_id() % (1 << 40)).write.mode("overwrite").parquet(f"{pending}/batch={i}")
+        at = F.struct(F.lit(i).cast("long").alias("nth"), F.monotonically_increasing_id().alias("place"))
+        keyed.withColumn("ord", at).write.mode("overwrite").parquet(f"{pending}/batch={i}")
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
@@ -134,15 +139,30 @@ def live_runs(rows: DataFrame, ratio: float = 1.5, patience: int = 4, max_steps:
     return rows.groupBy("file").applyInPandasWithState(update, LIVE, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def learned(found: DataFrame, index: DataFrame) -> DataFrame:
-    """Pairs (user, assistant) of a stream whose key the index (key) doesn't hold, each key once."""
-    keyed = found.withColumn("key", T.question_key(F.col("user"))).filter("key <> ''")
-    return keyed.join(index.select("key"), "key", "left_anti").dropDuplicates(["key"])
+def learned(found: DataFrame, index: DataFrame, store: str, checkpoint: str) -> StreamingQuery:
+    """Pairs (user, ...) of a stream whose key neither the index (key) nor an earlier batch holds, each key once.
+
+    What was learned lies in ``store``, a folder a batch, and not in the state of the stream. A batch that runs twice reads only
+    the batches before it, so it writes the same keys again.
+    """
+    known = index.select("key")
+
+    def put(batch: DataFrame, i: int) -> None:
+        keyed = batch.withColumn("key", T.question_key(F.col("user"))).filter("key <> ''").dropDuplicates(["key"]).join(known, "key", "left_anti")
+        if i:
+            earlier = batch.sparkSession.read.schema("key string, batch long").parquet(store).filter(F.col("batch") < i)
+            keyed = keyed.join(earlier.select("key"), "key", "left_anti")
+        keyed.write.mode("overwrite").parquet(f"{store}/batch={i}")
+
+    return found.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def diagnose(turns: DataFrame, facts: DataFrame, all_turns: str, retrain: str, checkpoint: str) -> StreamingQuery:
-    """A record for each turn (typed, generated) with a known question; those that don't match go to ``retrain`` too."""
-    known = facts.select(T.question_key(F.col("user")).alias("key"), F.col("assistant").alias("expected"))
+    """A record for each turn (typed, generated) with a known question; those that don't match go to ``retrain`` too.
+
+    Facts (ord, user, assistant) that share a key count once, by their first answer.
+    """
+    known = P.build_index(facts).select("key", F.col("assistant").alias("expected"))
     scored = turns.withColumn("key", T.question_key(F.col("typed"))).join(known, "key").withColumn("match", F.coalesce(T.answers_match(F.col("expected"), F.col("generated")), F.lit(False)))
 
     def put(batch: DataFrame, i: int) -> None:

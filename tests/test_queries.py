@@ -53,6 +53,16 @@ def test_windows_end_with_the_story(spark):
     assert [(r["doc_id"], r["start"], r["width"]) for r in w] == [(1, 0, 3), (2, 0, 5), (2, 1, 5)]
 
 
+def test_offsets_of_sparse_ids(spark):
+    ids = [None, *range(50), *(10**12 + i * i for i in range(50)), 7, 7]
+    docs = spark.createDataFrame([(i, n % 5) for n, i in enumerate(ids)], "doc_id long, n long")
+    got = C.offsets(docs, F.col("n")).collect()
+    assert len(got) == len(ids) and sum(r["stop"] - r["start"] + 1 for r in got) == sum(n % 5 + 1 for n in range(len(ids)))
+    starts = sorted((r["start"], r["stop"], -1 if r["doc_id"] is None else r["doc_id"]) for r in got)
+    assert all(a[1] == b[0] and a[2] <= b[2] for a, b in zip(starts, starts[1:], strict=False))
+    assert C._numbered(docs.limit(0)).count() == 0
+
+
 def test_glued_json(spark, tmp_path):
     (tmp_path / "a.jsonl").write_text('{"user": "a", "assistant": "b"}{"query": {"user": "c"}, "response": {"assistant": "d"}}\nnot json\n')
     assert {(r["user"], r["assistant"]) for r in tables.pairs(spark, str(tmp_path / "a.jsonl")).collect()} == {("a", "b"), ("c", "d")}

@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from loomery.operators import evaluation as E
@@ -17,12 +18,26 @@ def test_pieces_follow_ranks():
     assert K.pieces_of("", ranks) == []
 
 
-def test_piece_counts_equal_a_plain_loop(spark):
-    ranks = {("t", "h"): 0, ("th", "e"): 1, ("a", "t"): 2}
-    texts = [(1, "the cat the hat"), (2, "x" * 150), (3, None), (4, " ")]
-    got = {r["doc_id"]: (r["n_words"], r["n_chars"], r["n_pieces"]) for r in K.piece_counts(spark.createDataFrame(texts, "doc_id long, text string"), ranks).collect()}
-    words = "the cat the hat".split()
-    assert got == {1: (4, 12, sum(len(K.pieces_of(w, ranks)) for w in words)), 2: (1, 150, 150)}
+def test_ids_equal_the_vocabulary_s_own_encoder(spark):
+    tokenizers = pytest.importorskip("tokenizers")
+    path = "/opt/tokenizers/byte_bpe_50k.json"
+    odd = ["", " ", "the cat  the\n\n hat", "x" * 5000, "don't we'll", "Straße 東京 😀😀 naïve", "a b\t\tc ", "12345 6.7e8 !!??", "ab" * 700 + " ba"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(-1 - i, t) for i, t in enumerate([*odd, None])], "doc_id long, text string"))
+    own = tokenizers.Tokenizer.from_file(path)
+    own.encode_special_tokens = True
+    want = {r["doc_id"]: own.encode(r["text"] or "", add_special_tokens=False).ids for r in docs.collect()}
+    assert {r["doc_id"]: list(r["ids"]) for r in K.encode(docs, K.read_merges(path)).collect()} == want
+
+
+def test_learned_keys_outlive_a_batch(spark, tmp_path):
+    source, store = str(tmp_path / "in"), str(tmp_path / "store")
+    index = spark.createDataFrame([("old",)], "key string")
+    schema = "user string, assistant string"
+    for pairs in ([("New?", "a"), ("new", "b"), ("Old?", "c")], [("NEW", "d"), ("Other?", "e"), ("", "f")]):
+        spark.createDataFrame(pairs, schema).coalesce(1).write.mode("append").parquet(source)
+        S.learned(spark.readStream.schema(schema).parquet(source), index, store, str(tmp_path / "offsets")).awaitTermination()
+    assert sorted((r["key"], r["batch"]) for r in spark.read.parquet(store).collect()) == [("new", 0), ("other", 1)]
 
 
 def test_special_tokens_and_unknown_characters(spark, tmp_path):
@@ -88,6 +103,6 @@ def test_live_runs_carry_state_between_batches(spark, tmp_path):
 def test_diagnostics_go_to_both_sinks(spark, tmp_path):
     source, paths = str(tmp_path / "in"), [str(tmp_path / n) for n in ("all", "retrain", "offsets")]
     spark.createDataFrame([("Who invented X?", "ann."), ("who invented x", "Bob"), ("unknown", "?")], "typed string, generated string").write.parquet(source)
-    facts = spark.createDataFrame([("Who invented X?", "Ann")], "user string, assistant string")
+    facts = spark.createDataFrame([(1, "Who invented X?", "Ann"), (2, "who invented x", "Ann")], "ord long, user string, assistant string")
     S.diagnose(spark.readStream.schema("typed string, generated string").parquet(source), facts, *paths).awaitTermination()
     assert (spark.read.parquet(paths[0]).count(), [r["generated"] for r in spark.read.parquet(paths[1]).collect()]) == (2, ["Bob"])
