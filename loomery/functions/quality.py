@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def _clamp(x: Column) -> Column:
     return F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is computed once a row; inside a lambda its expression would be computed for each element."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -66,7 +73,8 @@ def grammar(text: Column) -> Column:
     total, good = _count(t, r"[.!?]++(?=\s*\S)"), _count(t, r"[.!?]++(?=\s*\p{Lu})")
     capitals = F.when(total > 0, good / total).when(F.rlike(t, F.lit(r"^\p{Lu}")), 1.0).otherwise(0.5)
     w = F.transform(words(t), F.lower)
-    twice = F.size(F.filter(F.transform(w, lambda x, i: (i > 0) & (x == F.get(w, i - 1))), lambda x: x))
+    before = F.concat(F.array(F.lit(None).cast("string")), w)
+    twice = F.size(F.filter(F.zip_with(w, before, lambda x, y: x == y), lambda x: x))
     said = F.when(F.size(w) > 0, 1.0 - twice / F.size(w)).otherwise(0.0)
     spacing = _clamp(1.0 - _count(t, "  +") / F.greatest(F.lit(1), F.floor(F.length(t) / 30)))
     return _scored(text, _clamp(0.4 * capitals + 0.35 * said + 0.25 * spacing))
@@ -84,11 +92,10 @@ def semantics(text: Column, prompt: Column | None = None) -> Column:
     cont = continuation(text, prompt)
     w, asked = F.transform(words(cont), F.lower), F.transform(words(prompt), F.lower)
     unique = F.when(F.size(w) > 0, F.size(F.array_distinct(w)) / F.size(w)).otherwise(0.0)
-    taken = F.size(F.filter(w, lambda x: F.array_contains(asked, x))) / F.size(w)
+    taken = _let(asked, lambda a: F.size(F.filter(w, lambda x: F.array_contains(a, x)))) / F.size(w)
     stick = F.when((F.size(asked) > 0) & (F.size(w) > 0), _clamp(1.0 - F.abs(taken - 0.15) / 0.85)).otherwise(0.5)
     low = F.lower(F.when(cont != "", cont).otherwise(strip(text)))
-    n = F.length(low)
-    shares = F.transform(F.array_distinct(F.split(low, "")), lambda c: (n - F.length(F.replace(low, c, F.lit("")))) / n)
+    shares = _let(low, lambda s: F.transform(F.array_distinct(F.split(s, "")), lambda c: (F.length(s) - F.length(F.replace(s, c, F.lit("")))) / F.length(s)))
     entropy = F.aggregate(F.filter(shares, lambda p: p > 0), F.lit(0.0), lambda a, p: a - p * F.log2(p))
     return _scored(text, _clamp(0.35 * unique + 0.30 * stick + 0.35 * _clamp((entropy - 1.5) / 3.0)))
 
@@ -123,7 +130,7 @@ def instruction_follow(text: Column, prompt: Column) -> Column:
     ends = _count(cont, "[.!?]+")
     one = 0.5 * F.when(ends <= 1, 1.0).when(ends == 2, 0.6).otherwise(0.2) + 0.4 * F.when(n.between(3, 40), 1.0).otherwise(0.4) + 0.1 * alone
     topic = F.array_distinct(F.filter(F.transform(words(prompt), F.lower), lambda x: ~x.isin(*PROMPT_WORDS)))
-    overlap = F.when(F.size(topic) > 0, F.size(F.filter(w, lambda x: F.array_contains(topic, x))) / F.size(topic)).otherwise(0.5)
+    overlap = F.when(F.size(topic) > 0, _let(topic, lambda t: F.size(F.filter(w, lambda x: F.array_contains(t, x)))) / F.size(topic)).otherwise(0.5)
     told = F.when(F.exists(w, lambda x: x.isin(*STORY_WORDS)), 1.0).otherwise(0.5)
     story = 0.35 * _clamp(overlap) + 0.3 * _clamp(n / 20.0) + 0.25 * told + 0.1 * alone
     talk = 0.55 * alone + 0.45 * F.when(n.between(2, 60), 1.0).otherwise(0.4)

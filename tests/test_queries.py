@@ -59,7 +59,7 @@ def test_offsets_of_sparse_ids(spark):
     got = C.offsets(docs, F.col("n")).collect()
     assert len(got) == len(ids) and sum(r["stop"] - r["start"] + 1 for r in got) == sum(n % 5 + 1 for n in range(len(ids)))
     starts = sorted((r["start"], r["stop"], -1 if r["doc_id"] is None else r["doc_id"]) for r in got)
-    assert all(a[1] == b[0] and a[2] <= b[2] for a, b in zip(starts, starts[1:], strict=False))
+    assert all(a[1] + 1 == b[0] and a[2] <= b[2] for a, b in zip(starts, starts[1:], strict=False))
     assert C._numbered(docs.limit(0)).count() == 0
 
 
