@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, language_id, licenses, mixing, nearest, secrets, sharding, simhash, toxicity, url_filter
-from .common import LOWER, UPPER, WORD, crc_bucket, table
+from . import decontamination, fill_middle, language_id, licenses, mixing, nearest, secrets, sharding, simhash, toxicity, url_filter
+from .common import LOWER, UPPER, WORD, crc_bucket, shared_folder, table
 
 #: Target shares of the mixture's tokens.
 WEIGHTS = {"clean": 0.86, "low": 0.12, "toxic": 0.02}
@@ -64,6 +65,11 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", *[F.round(f"p_{d}", 6).alias(f"p_{d}") for d in mixing.DOMAINS], F.round("rate", 6).alias("rate"), "copies", "met")
 
 
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frames = fill_middle.store(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}")
+    return fill_middle.transform(fill_middle.choose(frames), outputs=False)
+
+
 def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places of op6's fixed phrases, which SQL can express."""
     return op6_license_rules(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -83,7 +89,7 @@ def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_adaptive_scan, op3_language_id, op4_simhash, op5_toxicity_cnn, op6_license_rules, op7_stratified_interleave, op8_winnowing, op9_url_markov, op10_soft_mixing, license_base_places, url_rules, shard_law)
+    found = (op1_secret_scan, op2_adaptive_scan, op3_language_id, op4_simhash, op5_toxicity_cnn, op6_license_rules, op7_stratified_interleave, op8_winnowing, op9_url_markov, op10_soft_mixing, op12_fill_in_middle, license_base_places, url_rules, shard_law)
     return {f.__name__: f for f in found}
 
 
@@ -132,5 +138,17 @@ from s, t
 """
 
 
+OP12_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as u, sha256('42:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+k as (select *, len(u) as n, cast('0x' || h[1:8] as ubigint) % (len(u) + 1) as x, cast('0x' || h[9:16] as ubigint) % (len(u) + 1) as y,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or cast('0x' || h[17:24] as ubigint) % 100 >= 50 then 'plain'
+             when cast('0x' || h[25:32] as ubigint) % 100 < 80 then 'spm' else 'psm' end as form from d),
+c as (select doc_id, t, n, form, array_to_string(u[1:least(x, y)], '') as p, array_to_string(u[least(x, y) + 1:greatest(x, y)], '') as m, array_to_string(u[greatest(x, y) + 1:], '') as s from k)
+select doc_id, cast(n as bigint) as n, form, cast(case when form <> 'plain' then length(p) end as bigint) as prefix_chars, cast(case when form <> 'plain' then length(m) end as bigint) as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || p || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || p || '<M>' || m end) as output_sha256, sha256(t) as restored_sha256
+from c
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_winnowing": OP8_SQL, "license_base_places": BASE_SQL, "url_rules": URL_SQL, "shard_law": SHARD_SQL}
+    return {"op8_winnowing": OP8_SQL, "license_base_places": BASE_SQL, "url_rules": URL_SQL, "shard_law": SHARD_SQL, "op12_fill_in_middle": OP12_SQL}
