@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontamination, fill_middle, language_id, licenses, mixing, nearest, secrets, sharding, simhash, toxicity, url_filter
+from . import decontamination, fill_middle, language_id, licenses, line_quality, mixing, nearest, prefix_trie, secrets, sharding, simhash, toxicity, url_filter
 from .common import LOWER, UPPER, WORD, crc_bucket, shared_folder, table
 
 #: Target shares of the mixture's tokens.
@@ -65,11 +65,22 @@ def op10_soft_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "tokens", *[F.round(f"p_{d}", 6).alias(f"p_{d}") for d in mixing.DOMAINS], F.round("rate", 6).alias("rate"), "copies", "met")
 
 
+def op11_line_field(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    held = crc_bucket(F.col("doc_id"), 5) == 0
+    model = line_quality.train(documents, table(spark, sf_dir, "labels"), ~held)
+    return line_quality.predict(documents, model).select("doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= line_quality.CUT).cast("int").alias("predicted"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = fill_middle.store(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/frames-{uuid.uuid4().hex}")
     return fill_middle.transform(fill_middle.choose(frames), outputs=False)
 
 
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.trie(table(spark, sf_dir, "conversations"))
+
+
 def license_base_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The places of op6's fixed phrases, which SQL can express."""
     return op6_license_rules(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -89,7 +100,7 @@ def shard_law(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_secret_scan, op2_adaptive_scan, op3_language_id, op4_simhash, op5_toxicity_cnn, op6_license_rules, op7_stratified_interleave, op8_winnowing, op9_url_markov, op10_soft_mixing, op12_fill_in_middle, license_base_places, url_rules, shard_law)
+    found = (op1_secret_scan, op2_adaptive_scan, op3_language_id, op4_simhash, op5_toxicity_cnn, op6_license_rules, op7_stratified_interleave, op8_winnowing, op9_url_markov, op10_soft_mixing, op11_line_field, op12_fill_in_middle, op13_prefix_trie, license_base_places, url_rules, shard_law)
     return {f.__name__: f for f in found}
 
 
@@ -150,5 +161,23 @@ from c
 """
 
 
+#: crc32 of the id's decimal digits, bit by bit.
+_CRC = "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(cast(conv_id as varchar), ''), lambda c: cast(ascii(c) as bigint))), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1)))), 4294967295)"
+OP13_SQL = f"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text, row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) - 1 as pos from conversations where conv_id is not null),
+c as (select conv_id, {_CRC} % 6 as h from (select distinct conv_id from t)),
+b as (select c.conv_id, 0 as own, t.pos, t.role, t.text from c join t on t.conv_id = c.conv_id - c.conv_id % 100 and t.pos < h union all select t.conv_id, 1, t.pos, t.role, t.text from t join c on t.conv_id = c.conv_id and t.pos >= h),
+l as (select conv_id, list(md5(length(role) || ':' || role || text) order by own, pos) as ks, list(length(text) order by own, pos) as ns from b group by conv_id),
+p as (select c.conv_id, coalesce(ks, []) as ks, coalesce(ns, []) as ns from c left join l using (conv_id)),
+m as (select conv_id, d, ks[1:d] as key, case when d > 0 then ns[d] else 0 end as n, d = len(ks) as ends from (select *, unnest(range(0, len(ks) + 1)) as d from p)),
+v as (select d, key, min(conv_id) as conv_id, count(*) as n_convs, any_value(n) as n, coalesce(string_agg(cast(conv_id as varchar), ',' order by conv_id) filter (where ends), '') as who from m group by d, key),
+k as (select d - 1 as d, key[1:d - 1] as key, count(*) as n_children from v where d > 0 group by all),
+f as (select v.*, coalesce(n_children, 0) as n_children from v left join k on v.d = k.d and v.key = k.key),
+s as (select key[1:a] as key, a as d, count(*) filter (where n_children = 0) as n_leaves, sum((n_convs - 1) * n) as saved_tokens from (select *, unnest(range(0, d + 1)) as a from f) group by all)
+select f.conv_id, cast(f.d as bigint) as depth, u.conv_id as parent_conv_id, f.n_convs, cast(f.n_children as bigint) as n_children, cast(n_leaves as bigint) as n_leaves, cast(saved_tokens as bigint) as saved_tokens, sha256(f.who) as ends_sha256
+from f join s on f.d = s.d and f.key = s.key left join v u on u.d = f.d - 1 and u.key = f.key[1:f.d - 1]
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op8_winnowing": OP8_SQL, "license_base_places": BASE_SQL, "url_rules": URL_SQL, "shard_law": SHARD_SQL, "op12_fill_in_middle": OP12_SQL}
+    return {"op8_winnowing": OP8_SQL, "license_base_places": BASE_SQL, "url_rules": URL_SQL, "shard_law": SHARD_SQL, "op12_fill_in_middle": OP12_SQL, "op13_prefix_trie": OP13_SQL}
