@@ -127,9 +127,9 @@ def acceptance(spark: SparkSession, d: str) -> DataFrame:
     return E.acceptance(table(spark, d, "documents").select(F.col("lang").alias("run"), F.lit("the").alias("name"), "text"))
 
 
-@query(RQ.SQL["run_decisions"])
+@query(RQ.decisions_sql())
 def live_decisions(spark: SparkSession, d: str) -> DataFrame:
-    """Events as a stream, equal to ``run_decisions``."""
+    """Events as a stream, with the decisions of the batch operator."""
     loss = F.when(F.col("event_id") % 7 != 0, F.col("value"))
     rows = S.table_stream(spark, d, "events").select(F.col("event_type").alias("file"), F.col("event_id").alias("ord"), (F.col("event_id") % 700).alias("step"), loss.alias("loss"))
     return S.drain(S.live_runs(rows), "live").select("file", "run", "ord", "step", "action")

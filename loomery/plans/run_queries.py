@@ -78,13 +78,19 @@ def exponential_mean(spark: SparkSession, d: str) -> DataFrame:
     return r6(R.ema(runs(spark, d), 0.3), "ema")
 
 
-@query(f"""with m as (select *, loss > 1.5 * quantile_cont(loss, 0.5) over (w rows between 4 preceding and current row) as spike,
-  loss is not null and (min(loss) over (w rows between unbounded preceding and 1 preceding) is null or loss < min(loss) over (w rows between unbounded preceding and 1 preceding)) as better, row_number() over w as nth
-  from ({RUNS}) window w as (partition by file, run order by ord)),
-b as (select *, coalesce(max(case when better then nth end) over (partition by file, run order by ord rows between unbounded preceding and 1 preceding), 0) as best_at from m)
-select file, run, ord, step, case when loss is null then 'non_finite' when spike then 'spike' when step >= 600 then 'max_steps' when best_at > 0 and nth - 1 - best_at >= 4 then 'early_stop' when better then 'promote' else 'continue' end as action from b""")
+def decisions_sql(arms: str = "") -> str:
+    return f"""with m as (select *, quantile_cont(loss, 0.5) over (w rows between 4 preceding and current row) as med, min(loss) over (w rows between unbounded preceding and 1 preceding) as best, row_number() over w as nth
+  from ({RUNS}) where loss is not null window w as (partition by file, run order by ord)),
+b as (select *, best is null or loss < best as better from m), c as (select *, coalesce(max(case when better then nth end) over (partition by file, run order by ord rows between unbounded preceding and 1 preceding), 0) as best_at from b)
+select file, run, ord, step, case when med > 0 and loss > 1.5 * med then 'spike' when step >= 600 then 'max_steps' {arms} when nth - 1 - best_at >= 4 then 'early_stop' when better then 'promote' else 'continue' end as action from c
+union all select file, run, ord, step, 'non_finite' from ({RUNS}) where loss is null"""
+
+
+@query(decisions_sql("when step * 2.0 >= 1100 then 'max_wall' when (ord % 10) / 10.0 < 0.2 and step >= 300 then 'remix'"))
 def run_decisions(spark: SparkSession, d: str) -> DataFrame:
-    return R.decide(runs(spark, d))
+    """W13, with the wall clock and the exact share derived from step and place."""
+    rows = runs(spark, d).withColumns({"wall": F.col("step") * 2.0, "exact": (F.col("ord") % 10) / 10.0})
+    return R.decide(rows, max_wall=1100, remix_below=0.2, remix_after=300)
 
 
 @query(f"select file, min(loss) as min, max(loss) as max, round(avg(loss), 6) as mean, arg_min(loss, ord) as first, arg_max(loss, ord) as last, count(loss) as n from ({ROWS}) where loss is not null group by 1")
@@ -92,18 +98,22 @@ def finite_stats(spark: SparkSession, d: str) -> DataFrame:
     return r6(R.finite_stats(rows(spark, d), "file"), "mean")
 
 
-LAST = f"select * from ({RUNS}) where loss is not null qualify row_number() over (partition by file, run order by ord desc) <= 20"
+SMOOTH = f"select *, avg(loss) over (partition by file, run order by ord rows between 2 preceding and 2 following) as mean, row_number() over (partition by file, run order by ord desc) as back from ({RUNS})"
+LAST = f"select * from ({SMOOTH}) where back <= 20 and mean is not null"
 
 
-@query(f"select file, run, count(*) as n, round(case when count(distinct step) > 1 then regr_slope(loss, step) end, 6) as slope, round(case when count(distinct step) > 1 then regr_intercept(loss, step) + regr_slope(loss, step) * 1000 end, 4) as forecast from ({LAST}) group by 1, 2")
+@query(f"select file, run, count(*) as n, round(case when count(distinct step) > 1 then regr_slope(mean, step) end, 6) as slope, round(case when count(distinct step) > 1 then regr_intercept(mean, step) + regr_slope(mean, step) * 1000 end, 4) as forecast from ({LAST}) group by 1, 2")
 def loss_forecast(spark: SparkSession, d: str) -> DataFrame:
+    """R1, over smoothed losses."""
     f = R.forecast(runs(spark, d), 20, 1000)
     return f.select("file", "run", "n", F.round("slope", 6).alias("slope"), F.round("forecast", 4).alias("forecast"))
 
 
-@query(f"select file, run, (step - 1) // 50 as bucket, round(avg(loss), 6) as mean_loss, count(*) as rows, max(step) as last_step from ({RUNS}) where step > 0 group by 1, 2, 3")
+@query(f"select file, run, (step - 1) // 50 as bucket, round(avg(loss), 6) as mean_loss, count(*) as rows, max(step) as last_step, round(avg(100 + ord % 50), 6) as mean_ms, round(count(*) * 4096 * 1000.0 / sum(100 + ord % 50), 6) as tok_s from ({RUNS}) where step > 0 group by 1, 2, 3")
 def interval_rollup(spark: SparkSession, d: str) -> DataFrame:
-    return r6(R.rollup(runs(spark, d).filter("step > 0"), 50), "mean_loss")
+    """A step's time derived from its place, 4096 tokens each."""
+    rows = runs(spark, d).filter("step > 0").withColumns({"ms": F.col("ord") % 50 + 100, "tokens": F.lit(4096).cast("long")})
+    return r6(R.rollup(rows, 50), "mean_loss", "mean_ms", "tok_s")
 
 
 @query(f"select file, run, n from (select file, run, count(*) as n from ({RUNS}) group by 1, 2 having count(*) >= 2) qualify row_number() over (partition by file order by (n >= 50) desc, n desc, run desc) = 1")
@@ -111,13 +121,17 @@ def richest_run(spark: SparkSession, d: str) -> DataFrame:
     return R.richest(runs(spark, d))
 
 
-@query(f"select file, run, arg_min(step, ord) as start_step, (min(row(loss, ord, step)))[3] as low_step, min(loss) as low_loss, arg_max(step, ord) as final_step from ({RUNS}) where loss is not null group by 1, 2")
+@query(f"""with k as (select *, stddev_pop(loss) over (partition by file, run order by ord rows between 24 preceding and current row) as spread from ({RUNS}) where loss is not null)
+select file, run, arg_min(step, ord) as start_step, arg_min(loss, ord) as start_loss, round(arg_min(spread, ord), 6) as start_spread, arg_max(step, ord) as final_step, arg_max(loss, ord) as final_loss, round(arg_max(spread, ord), 6) as final_spread,
+  (min(row(loss, ord, step, spread)))[3] as low_step, min(loss) as low_loss, round((min(row(loss, ord, step, spread)))[4], 6) as low_spread from k group by 1, 2""")
 def run_trajectory(spark: SparkSession, d: str) -> DataFrame:
-    return R.trajectory(runs(spark, d))
+    """R4."""
+    return r6(R.trajectory(runs(spark, d)), "start_spread", "low_spread", "final_spread")
 
 
-@query(f"select file, run, round(quantile_cont(loss, 0.05), 6) as low, round(quantile_cont(loss, 0.95), 6) as high from ({RUNS}) where loss is not null group by 1, 2 having count(*) >= 12")
+@query(f"select file, run, round(case when count(*) >= 12 then least(quantile_cont(loss, 0.05), arg_max(loss, ord)) else min(loss) end, 6) as low, round(case when count(*) >= 12 then greatest(quantile_cont(loss, 0.95), arg_max(loss, ord)) else max(loss) end, 6) as high from ({RUNS}) where loss is not null group by 1, 2")
 def percentile_band(spark: SparkSession, d: str) -> DataFrame:
+    """R3."""
     return r6(R.band(runs(spark, d)), "low", "high")
 
 
@@ -126,7 +140,7 @@ def run_perplexity(spark: SparkSession, d: str) -> DataFrame:
     return runs(spark, d).filter("loss is not null").groupBy("file", "run").agg(F.round(R.perplexity(F.avg("loss")), 3).alias("ppl"))
 
 
-@query(f"select file, run, step, case when d is null then 'baseline' when abs(d) < 0.02 then 'stable' when d < 0 then 'improving' else 'regressing' end as trend from (select *, loss - lag(loss) over (partition by file, run order by step) as d from ({RUNS}) where loss is not null)")
+@query(f"select file, run, step, case when d is null then 'baseline' when abs(d) < 0.02 then 'stable' when d < 0 then 'improving' else 'regressing' end as trend from (select *, loss - lag(loss) over (partition by file, run order by step, ord) as d from ({RUNS}) where loss is not null)")
 def checkpoint_trend(spark: SparkSession, d: str) -> DataFrame:
     return R.trend(runs(spark, d).filter("loss is not null"))
 
@@ -155,6 +169,15 @@ def retry_backoff(spark: SparkSession, d: str) -> DataFrame:
     return R.backoff(table(spark, d, "events").select(F.col("event_type").alias("key"), F.col("event_id").alias("ord"), "ts", (F.col("value") < 5).alias("failed")))
 
 
+@query("""with e as (select user_id as run, event_id as ord, event_type as kind, value from events), b as (select *, last_value(case when kind = 'purchase' then value end ignore nulls) over (partition by run order by ord rows between unbounded preceding and 1 preceding) as val_loss,
+  last_value(case when kind = 'purchase' then ord end ignore nulls) over (partition by run order by ord rows between unbounded preceding and 1 preceding) as decided_at from e) select run, ord, kind, value, val_loss, decided_at from b where kind <> 'purchase'""")
+def decision_overlay(spark: SparkSession, d: str) -> DataFrame:
+    """Each event of a user with the value and place of the last purchase before it, which stands for a run's decision."""
+    e = table(spark, d, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("ord"), F.col("event_type").alias("kind"), "value")
+    facts = e.filter("kind = 'purchase'").select("run", "ord", F.col("value").alias("val_loss"), F.col("ord").alias("decided_at"))
+    return R.as_of(e.filter("kind <> 'purchase'"), facts, ["run"], "val_loss", "decided_at")
+
+
 @query("select event_type as name, count(*) as n, round(sum(value), 3) as total, max(value) as largest, round(100 * sum(value) / sum(sum(value)) over (), 4) as share from events group by 1")
 def kernel_summary(spark: SparkSession, d: str) -> DataFrame:
     """A19 to A21."""

@@ -115,23 +115,25 @@ def live_runs(rows: DataFrame, ratio: float = 1.5, patience: int = 4, max_steps:
         for at, step, loss in pd.concat(frames).sort_values("ord")[["ord", "step", "loss"]].itertuples(index=False):
             if last is not None and (step < last or step - last > gap):
                 run, nth, best, best_at, ema, recent = run + 1, 0, None, 0, None, []
-            last, nth, known = step, nth + 1, loss == loss and loss is not None
-            recent = [*recent, float(loss) if known else None][-5:]
-            better = known and (best is None or loss < best)
-            if not known:
-                action = "non_finite"
-            elif loss > ratio * float(pd.Series([x for x in recent if x is not None]).median()):
+            last = step
+            if loss is None or loss != loss:
+                out.append((key[0], run, at, step, "non_finite", ema))
+                continue
+            loss, nth = float(loss), nth + 1
+            recent = [*recent, loss][-5:]
+            median = float(pd.Series(recent).median())
+            better = best is None or loss < best
+            if median > 0 and loss > ratio * median:
                 action = "spike"
             elif step >= max_steps:
                 action = "max_steps"
-            elif best_at > 0 and nth - 1 - best_at >= patience:
+            elif nth - 1 - best_at >= patience:
                 action = "early_stop"
             else:
                 action = "promote" if better else "continue"
-            if known:
-                ema = float(loss) if ema is None else loss * alpha + ema * (1 - alpha)
+            ema = loss if ema is None else loss * alpha + ema * (1 - alpha)
             if better:
-                best, best_at = float(loss), nth
+                best, best_at = loss, nth
             out.append((key[0], run, at, step, action, ema))
         state.update((int(run), int(last), int(nth), best, int(best_at), ema, recent))
         yield pd.DataFrame(out, columns=["file", "run", "ord", "step", "action", "ema"]).astype({"ema": "float64"})
