@@ -135,10 +135,11 @@ def live_decisions(spark: SparkSession, d: str) -> DataFrame:
     return S.drain(S.live_runs(rows), "live").select("file", "run", "ord", "step", "action")
 
 
-KEYED = """with o as (select user_id as key, event_id as ord, case when value < 10 then 'promoted' when value < 20 then 'crash' else 'gate_fail' end as o from events),
+KEYED = """with o as (select user_id as key, event_id as ord, case when value < 10 then 'promoted' when value < 20 then 'crash' else 'gate_fail' end as o, event_type as why from events),
 g as (select *, sum(case when o = 'gate_fail' then 0 else 1 end) over (partition by key order by ord rows unbounded preceding) as g from o),
 k as (select *, case when o = 'gate_fail' then (count(*) filter (where o = 'gate_fail') over (partition by key, g order by ord rows unbounded preceding)) % 2 end as k from g)
-select key, ord, bool_or(o = 'promoted') over w as consumed, coalesce(last_value(case when o = 'promoted' then false when o = 'crash' or k = 0 then true end ignore nulls) over w, false) as poison, cast(coalesce(k, 0) as int) as retries
+select key, ord, bool_or(o = 'promoted') over w as consumed, coalesce(last_value(case when o = 'promoted' then false when o = 'crash' or k = 0 then true end ignore nulls) over w, false) as poison, cast(coalesce(k, 0) as int) as retries,
+  nullif(last_value(case when o = 'promoted' then '' when o = 'crash' then why when k = 0 then 'gate:' || why end ignore nulls) over w, '') as reason
 from k window w as (partition by key order by ord rows unbounded preceding)"""
 
 
@@ -146,7 +147,7 @@ from k window w as (partition by key order by ord rows unbounded preceding)"""
 def key_state_history(spark: SparkSession, d: str) -> DataFrame:
     """Events as a stream of outcomes."""
     outcome = F.when(F.col("value") < 10, "promoted").when(F.col("value") < 20, "crash").otherwise("gate_fail")
-    rows = S.table_stream(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), outcome.alias("outcome"))
+    rows = S.table_stream(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"), outcome.alias("outcome"), F.col("event_type").alias("reason"))
     return S.drain(S.key_states(rows), "keys")
 
 

@@ -75,31 +75,32 @@ def harvest(pending: DataFrame, done: DataFrame, ready: int = 5, most: int = 40)
     return taken.limit(0) if first.limit(ready).count() < ready else taken
 
 
-KEYS = "key long, ord long, consumed boolean, poison boolean, retries int"
+KEYS = "key long, ord long, consumed boolean, poison boolean, retries int, reason string"
 
 
 def key_states(outcomes: DataFrame, most: int = 2) -> DataFrame:
-    """The state of each key after each outcome (key, ord, outcome).
+    """The state of each key after each outcome (key, ord, outcome, and optionally reason).
 
-    ``promoted`` consumes and lifts poison, ``crash`` poisons, ``gate_fail`` counts and poisons at ``most``, counting anew after that.
+    ``promoted`` consumes and lifts poison with its reason, ``crash`` poisons, ``gate_fail`` counts and poisons at ``most`` (its reason behind ``gate:``), counting anew after that.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        consumed, poison, retries = state.get if state.exists else (False, False, 0)
+        consumed, poison, retries, why = state.get if state.exists else (False, False, 0, None)
         out = []
-        for at, outcome in pd.concat(frames).sort_values("ord")[["ord", "outcome"]].itertuples(index=False):
+        for at, outcome, reason in pd.concat(frames).sort_values("ord")[["ord", "outcome", "reason"]].itertuples(index=False):
             retries = retries + 1 if outcome == "gate_fail" else 0
             if outcome == "promoted":
-                consumed, poison = True, False
+                consumed, poison, why = True, False, None
             elif outcome == "crash":
-                poison = True
+                poison, why = True, reason
             elif retries >= most:
-                poison, retries = True, 0
-            out.append((key[0], at, consumed, poison, retries))
-        state.update((consumed, poison, retries))
-        yield pd.DataFrame(out, columns=["key", "ord", "consumed", "poison", "retries"])
+                poison, retries, why = True, 0, f"gate:{reason}"
+            out.append((key[0], at, consumed, poison, retries, why))
+        state.update((consumed, poison, retries, why))
+        yield pd.DataFrame(out, columns=["key", "ord", "consumed", "poison", "retries", "reason"]).astype({"reason": "object"})
 
-    return outcomes.groupBy("key").applyInPandasWithState(update, KEYS, "consumed boolean, poison boolean, retries int", "append", GroupStateTimeout.NoTimeout)
+    rows = outcomes if "reason" in outcomes.columns else outcomes.withColumn("reason", F.lit(""))
+    return rows.groupBy("key").applyInPandasWithState(update, KEYS, "consumed boolean, poison boolean, retries int, reason string", "append", GroupStateTimeout.NoTimeout)
 
 
 LIVE = "file string, run long, ord long, step long, action string, ema double"
