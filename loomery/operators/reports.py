@@ -8,8 +8,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Names of the throughput metric, in order.
-SPEED_NAMES = ("tok/s", "tok_s", "tokens_per_s", "tokens_per_sec")
 #: Fractions of a run at which it is probed, and their names.
 MILESTONES = ((0.25, "quarter_1"), (0.5, "quarter_2"), (0.75, "quarter_3"), (1.0, "final"))
 
@@ -29,11 +27,6 @@ def run_label(name: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.regexp_replace(name, r"^.*/", ""), r"\.[^.]*$", ""), r"^(?:unguided|training)_", "")
 
 
-def metric(metrics: Column, names: tuple[str, ...] = SPEED_NAMES) -> Column:
-    """The first of a metric's names that the map has."""
-    return F.coalesce(*[F.try_element_at(metrics, F.lit(n)) for n in names])
-
-
 def latest_runs(logs: DataFrame, now: Column, most: int = 5, age: float = 60.0) -> DataFrame:
     """Of logs (file, ts) the live ones (younger than ``age`` seconds at ``now``) first, then the newest."""
     last = logs.groupBy("file").agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("lines"))
@@ -102,26 +95,6 @@ def next_step(runs: DataFrame) -> DataFrame:
     return runs.select("run", mode.alias("mode"), primary.alias("primary"), understands.alias("understands"), data.alias("change_data"), mix.alias("change_mix"), steps.alias("more_steps"), config.alias("new_config"), policy.alias("new_policy"))
 
 
-def run_summary(rows: DataFrame, window: int = 9) -> DataFrame:
-    """R2: for each run (run, step, total, loss, tok_s): last smoothed loss, its change from the first, perplexity, mean speed and progress."""
-    half = window // 2
-    smooth = F.avg("loss").over(W.partitionBy("run").orderBy("step").rowsBetween(-half, half))
-    rows = rows.withColumn("smooth", smooth)
-    at = F.when(F.col("smooth").isNotNull(), F.col("step"))
-    per = rows.groupBy("run").agg(F.max_by("smooth", at).alias("last"), F.min_by("smooth", at).alias("first"), F.avg("tok_s").alias("tok_s"), F.max("step").alias("step"), F.max("total").alias("total"))
-    return per.select("run", "last", (F.col("last") - F.col("first")).alias("delta"), F.exp(F.least("last", F.lit(50.0))).alias("ppl"), "tok_s", (F.col("step") / F.col("total")).alias("progress"))
-
-
-def series(rows: DataFrame, window: int = 8) -> DataFrame:
-    """The series of each run (run, ord, loss, tok_s): perplexity, speed carried forward and volatility of the loss."""
-    w = W.partitionBy("run").orderBy("ord")
-    known = F.sum(F.col("loss").isNotNull().cast("int")).over(w)
-    rows = rows.withColumn("tok_s", F.last("tok_s", True).over(w)).withColumn("k", known)
-    # Volatility looks at the last rows of any kind, of which the null ones don't count.
-    spread = F.when(F.col("loss").isNotNull(), F.coalesce(F.stddev_pop("loss").over(w.rowsBetween(1 - window, 0)), F.lit(0.0)))
-    return rows.select("run", "ord", "loss", F.exp(F.least("loss", F.lit(50.0))).alias("ppl"), "tok_s", spread.alias("volatility"))
-
-
 def dense_windows(n_tokens: int | Column, max_len: int, stride: int) -> Column:
     """The starts of dense windows over a stream; null where it is too short for one."""
     n = F.lit(n_tokens) if isinstance(n_tokens, int) else n_tokens

@@ -15,15 +15,6 @@ from pyspark.sql import Window as W
 from . import scan as S
 
 
-def parse_log(lines: DataFrame) -> DataFrame:
-    """Step, total and the metrics of ``key=value`` lines; nan, inf and none are null, the last of a repeated key wins."""
-    rows = lines.withColumn("step", F.expr(r"try_cast(nullif(regexp_extract(line, 'step=([0-9]+)', 1), '') as bigint)")).filter("step is not null")
-    total = F.expr(r"try_cast(nullif(regexp_extract(line, 'step=[0-9]+/([0-9]+)', 1), '') as bigint)")
-    value = lambda k: F.expr(rf"try_cast(try_element_at(regexp_extract_all(line, '(?:^| ){k}=([^ ]+)', 1), -1) as double)")
-    safe = lambda k: F.when(~F.isnan(value(k)) & (F.abs(value(k)) != float("inf")), value(k))
-    return rows.select(*[c for c in lines.columns if c != "line"], "step", total.alias("total"), safe("loss").alias("loss"), safe("tok_s").alias("tok_s"))
-
-
 def segments(rows: DataFrame, gap: int = 2000, strict: bool = True) -> DataFrame:
     """A new run where the step falls (``strict``) or doesn't rise (else), or jumps by more than ``gap``.
 
@@ -165,8 +156,8 @@ def band(rows: DataFrame, least: int = 12) -> DataFrame:
 
 
 def perplexity(loss: Column) -> Column:
-    """A30."""
-    return F.exp(F.least(loss, F.lit(50.0)))
+    """A30; null for a null loss, which ``least`` would pass over."""
+    return F.when(loss.isNotNull(), F.exp(F.least(loss, F.lit(50.0))))
 
 
 def trend(rows: DataFrame, stable: float = 0.02) -> DataFrame:

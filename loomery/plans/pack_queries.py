@@ -301,29 +301,6 @@ def next_steps(spark: SparkSession, d: str) -> DataFrame:
     return R.next_step(runs.select("*", F.lit(0).alias("shared"), F.lit(1500).alias("max_steps"), F.lit(0).alias("long_fail"), F.lit(0.0).alias("short_exact")))
 
 
-_SERIES = "select user_id as run, event_id as step, case when event_id % 7 <> 0 then value end as loss, case when event_id % 3 = 0 then value * 2 end as tok_s from events"
-
-
-def run_rows(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events")
-    return e.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), F.lit(200000).alias("total"), F.when(F.col("event_id") % 7 != 0, F.col("value")).alias("loss"), F.when(F.col("event_id") % 3 == 0, F.col("value") * 2).alias("tok_s"))
-
-
-@query(f"""with s as (select *, avg(loss) over (partition by run order by step rows between 4 preceding and 4 following) as smooth from ({_SERIES}))
-select run, round(arg_max(smooth, step) filter (where smooth is not null), 6) as last, round(arg_max(smooth, step) filter (where smooth is not null) - arg_min(smooth, step) filter (where smooth is not null), 6) as delta, round(avg(tok_s), 6) as tok_s, round(max(step) / 200000, 6) as progress from s group by 1""")
-def run_summaries(spark: SparkSession, d: str) -> DataFrame:
-    """R2."""
-    return R.run_summary(run_rows(spark, d)).select("run", *[F.round(c, 6).alias(c) for c in ("last", "delta", "tok_s", "progress")])
-
-
-@query(f"""select run, step as ord, loss, round(last_value(tok_s ignore nulls) over (partition by run order by step rows unbounded preceding), 6) as tok_s,
-  round(case when loss is not null then coalesce(stddev_pop(loss) over (partition by run order by step rows between 7 preceding and current row), 0) end, 6) as volatility from ({_SERIES})""")
-def run_series(spark: SparkSession, d: str) -> DataFrame:
-    """R5."""
-    s = R.series(run_rows(spark, d).withColumnRenamed("step", "ord"))
-    return s.select("run", "ord", "loss", F.round("tok_s", 6).alias("tok_s"), F.round("volatility", 6).alias("volatility"))
-
-
 @query("select vec_id as key, round(s, 6) as std, abs(s * sqrt(n) - 1) <= 0.2 as good from (select vec_id, stddev_pop(x) as s, count(*) as n from (select vec_id, unnest(embedding)::double as x from embeddings) group by 1)")
 def weight_scales(spark: SparkSession, d: str) -> DataFrame:
     """Against the scale of a unit vector."""

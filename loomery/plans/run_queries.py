@@ -150,14 +150,6 @@ def log_tail(spark: SparkSession, d: str) -> DataFrame:
     return tail(rows(spark, d), 80)
 
 
-@query("select event_type as file, event_id as ord, event_id % 700 as step, 700::bigint as total, case when event_id % 7 <> 0 then round(value, 4) end as loss, cast(event_id % 90 as double) as tok_s from events")
-def parsed_log(spark: SparkSession, d: str) -> DataFrame:
-    """Rendered as log lines and parsed back."""
-    loss = F.when(F.col("event_id") % 7 != 0, F.format_string("%.4f", "value")).otherwise("nan")
-    line = F.concat(F.lit("2026-01-01 00:00:00 | INFO | x | [train] step="), (F.col("event_id") % 700).cast("string"), F.lit("/700 loss=9.9 loss="), loss, F.lit(" tok_s="), (F.col("event_id") % 90).cast("string"), F.lit(" lr=0.1"))
-    return R.parse_log(table(spark, d, "events").select(F.col("event_type").alias("file"), F.col("event_id").alias("ord"), line.alias("line")))
-
-
 BACK = """with e as (select event_type as key, event_id as ord, ts, value < 5 as failed from events),
 g as (select *, count(*) over (partition by key order by ts range between interval 1 hour preceding and current row) as recent, sum(case when failed then 0 else 1 end) over (partition by key order by ts, ord rows unbounded preceding) as g from e),
 s as (select *, sum(case when failed then 1 else 0 end) over (partition by key, g order by ts, ord rows unbounded preceding) as streak from g)
