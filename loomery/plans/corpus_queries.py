@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import quality as Q
 from ..functions import text as T
 from ..operators import corpus as C
+from ..operators import scores as SC
 from ..sources import sinks
 from ..sources.tables import table
 from .fact_queries import collapse_sql
@@ -152,8 +153,7 @@ SCORES = f"select doc_id, {SPELL} as spelling, {PUNCT} as punctuation, {GRAMMAR}
 
 
 def text_scores(spark: SparkSession, d: str) -> DataFrame:
-    t = F.col("text")
-    return docs(spark, d).select("doc_id", Q.spelling(t).alias("spelling"), Q.punctuation(t).alias("punctuation"), Q.grammar(t).alias("grammar"), Q.semantics(t).alias("semantics"))
+    return SC.score_texts(docs(spark, d).select("doc_id", "text"))
 
 
 @query(f"select doc_id, round(spelling, 6) as spelling, round(punctuation, 6) as punctuation, round(grammar, 6) as grammar, round(semantics, 6) as semantics, round((spelling + punctuation + grammar + semantics) / 4, 6) as aggregate from ({SCORES})")
@@ -171,6 +171,32 @@ def quality_by_label(spark: SparkSession, d: str) -> DataFrame:
     return j.groupBy(F.coalesce(F.col("quality").cast("string"), F.lit("none")).alias("quality")).agg(*[F.round(F.avg(n), 6).alias(n) for n in ("spelling", "punctuation", "grammar")], F.count(F.lit(1)).alias("n"))
 
 
+_LIST = "select distinct lower(x) as word from (select unnest(regexp_extract_all(text, '[A-Za-z]+')) as x from benchmark)"
+
+
+@query(f"""with k as ({_LIST}), w as (select doc_id, lower(unnest(w)) as word from ({TEXTS})), n as (select doc_id, count(*) as n_words, count(k.word) as n_known, count(*) filter (where regexp_matches(w.word, '{RUNS}')) as bad from w left join k using (word) group by 1)
+select doc_id, coalesce(n_words, 0) as n_words, coalesce(n_known, 0) as n_known, round(coalesce(0.4 * (1 - bad / n_words) + 0.6 * n_known / n_words, 0), 6) as spelling from documents left join n using (doc_id)""")
+def known_word_spelling(spark: SparkSession, d: str) -> DataFrame:
+    """Against the words of the benchmark."""
+    known = table(spark, d, "benchmark").select(F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("word")).select(F.lower("word").alias("word")).distinct()
+    return SC.known_spelling(docs(spark, d), known).withColumn("spelling", F.round("spelling", 6))
+
+
+_TURN = r"""select conv_id, turn, regexp_replace(text, '^\s+|\s+$', '', 'g') as t, lag(text, 1, '') over (partition by conv_id order by turn) as p from conversations"""
+_CONT = f"select conv_id, turn, t as text, c as t, regexp_extract_all(c, '[A-Za-z]+(?:''[A-Za-z]+)?') as w, regexp_extract_all(lower(p), '[a-z]+(?:''[a-z]+)?') as a from (select *, case when p <> '' and starts_with(lower(t), lower(p)) then regexp_replace(substr(t, length(p) + 1), '^\\s+', '') else t end as c from ({_TURN}))"
+_STICK = "case when len(w) > 0 and len(a) > 0 then greatest(0.0, 1 - abs(len(list_filter(w, lambda x: list_contains(a, lower(x)))) / len(w) - 0.15) / 0.85) else 0.5 end"
+
+
+@query(f"select conv_id, turn, round({SEMANTICS.replace('+ 0.15 +', f'+ 0.3 * {_STICK} +')}, 6) as semantics from ({_CONT})")
+def turn_semantics(spark: SparkSession, d: str) -> DataFrame:
+    """U11 with prompts: every turn against the one before it."""
+    from pyspark.sql import Window as W
+
+    before = F.coalesce(F.lag("text").over(W.partitionBy("conv_id").orderBy("turn")), F.lit(""))  # turns of one conversation
+    rows = table(spark, d, "conversations").select("conv_id", "turn", "text", before.alias("prompt"))
+    return SC.score_texts(rows, prompt="prompt").select("conv_id", "turn", F.round("semantics", 6).alias("semantics"))
+
+
 @query("select lang, sum(cast(dump as int)) as dumps, count(*) as n from (select lang, trim(text) = '' or contains(l, 'the capital of') or contains(l, ' belongs to the ') or contains(l, 'is the pathogen that causes') or contains(l, 'user:') or contains(l, 'assistant:') or contains(l, 'rotavirus') as dump from (select *, lower(text) as l from documents)) group by 1")
 def dump_shapes(spark: SparkSession, d: str) -> DataFrame:
     """P10, A12."""
