@@ -7,8 +7,11 @@ labelled findings: a table of reviewed ones (``labelled``), or where there is no
 see: the known shape and the assignment itself (the assigned name is taken out of the neighbouring words) speak for a secret, checks that the value is something else
 (check digits of card numbers, identifiers, addresses, dates, file names) against it. Both are silent on most runs; those the forest decides alone.
 
-Edge cases: null and empty texts have no findings. Texts are read whole; a run of more than ``LONGEST`` characters is cut into consecutive
-candidates of that length. Repeated rows report each their own findings. Without both classes among the labelled findings the score is the share
+By definition an assigned value has six characters or more (two quotes hold any number up to the line's end), its name and the blanks around the sign any number, and a
+run twelve or more with a digit somewhere in it. Texts are read whole; a run of more than ``LONGEST`` characters is cut into consecutive candidates
+of that length, of which the last two share what is left, so no part of it is too short to be one.
+
+Edge cases: null and empty texts have no findings. Repeated rows report each their own findings. Without both classes among the labelled findings the score is the share
 of secrets among them. Extra columns are ignored; a null source is an empty path.
 """
 
@@ -35,11 +38,12 @@ SHAPED = re.compile(
     r"(?:AKIA|ASIA)[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|github_pat_[A-Za-z0-9_]{40,}|glpat-[A-Za-z0-9_\-]{20,}|[sr]k_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_\-]{30,}"
     r"|npm_[A-Za-z0-9]{30,}|SG\.[A-Za-z0-9_\-]{16,}\.[A-Za-z0-9_\-]{16,}|eyJ[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]{8,}\.[A-Za-z0-9_\-]*|-----BEGIN [A-Z ]{0,30}PRIVATE KEY-----[A-Za-z0-9+/=\s]*"
 )
-NAME = r"(?:token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth)[A-Za-z_\-]{0,12}"
-#: A value in quotes has at most 2000 characters; of a longer one the runs are candidates.
-ASSIGNED = re.compile(rf"(?i)\b[a-z_\-]{{0,24}}{NAME}[\"']?\s{{0,8}}(?::=|=>|[:=])\s{{0,8}}(?:\"([^\"\n]{{6,2000}})\"|'([^'\n]{{6,2000}})'|([^\s\"',;<>(){{}}]{{6,}}))")
+#: What the name of a secret contains.
+NAME = re.compile(r"(?i)token|secret|passw(?:or)?d|passphrase|pwd|api[_-]?key|access[_-]?key|private[_-]?key|credential|bearer|auth")
+SIGN = re.compile(r":=|=>|[:=]")
+VALUE = re.compile(r"\s*+(?:\"([^\"\n]{6,})\"|'([^'\n]{6,})'|([^\s\"',;<>(){}]{6,}))")
 #: The same at the end of the text before a value, to take the name out of the neighbouring words.
-NAMED = re.compile(rf"(?i)[a-z_\-]{{0,24}}{NAME}[\"']?\s{{0,8}}(?::=|=>|[:=])?\s{{0,8}}[\"']?$")
+NAMED = re.compile(rf"(?i)[a-z_\-]*(?:{NAME.pattern[4:]})[a-z_\-]*[\"']?\s*(?::=|=>|[:=])?\s*[\"']?$")
 #: What is plainly no secret: an identifier in groups, an address, a date or time, a file's path, a version.
 OTHERWISE = re.compile(r"(?i)[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12}|[+0-9() .\-/]{7,}|[0-9]{4}-[0-9]{2}-[0-9]{2}[t0-9:.z+\-]*|(?:/?[\w.\-]+/)+[\w.\-]+\.[a-z]{1,5}|v?[0-9]+(?:[._\-][0-9a-z]+)+|[a-z]+[0-9]{1,4}|(?:[a-z]+[_\-/])+[a-z]*[0-9]{0,4}")
 #: Words that stand near secrets, near harmless identifiers, and in paths of tests and samples.
@@ -77,12 +81,45 @@ def features(candidate: str, before: str, after: str, path: str) -> list[float]:
     ]
 
 
+_NAME_LETTERS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz_-")
+
+
+def assigned(text: str) -> Iterator[tuple[int, int]]:
+    """The values that follow a secret's name and an assignment sign. Looks back from each sign, so the work grows with the text whatever it holds."""
+    done = 0
+    for m in SIGN.finditer(text):
+        stop = m.start()
+        if stop < done:
+            continue
+        while stop > done and text[stop - 1].isspace():
+            stop -= 1
+        if stop > done and text[stop - 1] in "\"'":
+            stop -= 1
+        start = stop
+        while start > done and text[start - 1] in _NAME_LETTERS:
+            start -= 1
+        if start < stop and NAME.search(text, start, stop) and (v := VALUE.match(text, m.end())):
+            yield v.span(v.lastindex)
+            done = v.end()
+
+
+def pieces(start: int, stop: int) -> Iterator[tuple[int, int]]:
+    """Consecutive parts of at most ``LONGEST``; the last two are of equal length, give or take one."""
+    while stop - start > 2 * LONGEST:
+        yield start, start + LONGEST
+        start += LONGEST
+    if stop - start > LONGEST:
+        middle = start + max((stop - start + 1) // 2, SHORTEST)
+        yield start, middle
+        start = middle
+    yield start, stop
+
+
 def candidates(text: str) -> list[tuple[int, int, str]]:
     """(start, stop, kind) of the whole text's candidates, in order."""
     taken = [(*m.span(), "shaped") for m in SHAPED.finditer(text)]
     more, at = [], 0
-    for m in ASSIGNED.finditer(text):
-        a, b = m.span(m.lastindex)
+    for a, b in assigned(text):
         while at < len(taken) and taken[at][1] <= a:
             at += 1
         if at == len(taken) or taken[at][0] >= b:
@@ -95,10 +132,8 @@ def candidates(text: str) -> list[tuple[int, int, str]]:
         i = at
         while a < stop:
             b = min(stop, taken[i][0]) if i < len(taken) else stop
-            for x in range(a, b, LONGEST):
-                y = min(b, x + LONGEST)
-                if y - x >= SHORTEST and any(map(str.isdigit, text[x:y])):
-                    out.append((x, y, "generic"))
+            if b - a >= SHORTEST and any(map(str.isdigit, text[a:b])):
+                out += [(x, y, "generic") for x, y in pieces(a, b)]
             a = taken[i][1] if i < len(taken) and b < stop else stop
             i += 1
     return sorted(taken + out)
