@@ -87,12 +87,20 @@ class Rule:
     right: str  # of the words after the anchor, each led by a space; empty: any
     tier: int
     confidence: float
+    own: bool = False  # the detection is the words of the right pattern's first group, not all that was matched
+
+
+#: Words an expression of identifiers may hold besides the identifiers of the families.
+EXPRESSION = ("or", "and", "with", "only", "later", "plus", "exception", "classpath", "llvm", "gcc", "runtime", "cc0", "unlicense", "cc", "by", "sa", "nc", "nd", "ref", "licenseref")
+#: Words after "spdx license identifier" that are looked at.
+LONG_AFTER = 400
 
 
 def rules() -> list[Rule]:
     """The signatures, built from the families above by a few forms of wording."""
     begin, end = r"(?<![^ ])", r"(?![^ ])"
     out = []
+    member = "(?:" + "|".join(sorted({*EXPRESSION, *(w for f in FAMILIES for w in f[2].split())}, key=lambda w: (-len(w), w))) + "|v?[0-9]+)(?![^ ])"
     for label, name, identifier, acronym in FAMILIES:
         for anchor in ("license", "licence"):
             out.append(Rule(label, anchor, f"{begin}{GRANT}{name} $", f"^{VERSION}{end}", 1, 0.99))
@@ -100,7 +108,7 @@ def rules() -> list[Rule]:
             out.append(Rule(label, anchor, f"{begin}{GRANT}{name} $", "", 2, 0.95))
             out.append(Rule(label, anchor, f"{begin}{name} $", "", 3, 0.8))
         out.append(Rule(label, "identifier", f"{begin}spdx license $", f"^ {identifier}(?: [0-9]+)*{end}", 1, 0.99))
-        out.append(Rule(label, "identifier", f"{begin}spdx license $", f"^(?: [^ ]+){{1,8}}? (?:or|and|with) {identifier}(?: [0-9]+)*{end}", 2, 0.9))
+        out.append(Rule(label, "identifier", f"{begin}spdx license $", f"^(?: {member})+? (?:or|and|with)( {identifier}(?: [0-9]+)*){end}", 2, 0.9, own=True))
         first, *rest = identifier.split()
         after = "".join(f" {w}" for w in rest)
         out.append(Rule(label, first, f"{begin}{GRANT}$", f"^{after}(?: version| v)?(?: [0-9]+)*{end}", 2, 0.9))
@@ -130,8 +138,7 @@ def rules() -> list[Rule]:
 
 def reach(patterns: list[str]) -> int:
     """At least as many words as any of the patterns can match, for repeats of numbers with a few to spare."""
-    bounded = [re.sub(r"\(\?: ?\[\^ \]\+ ?\)\{\d,(\d)\}\??", lambda m: " " * int(m[1]), p) for p in patterns]
-    return max(p.count(" ") for p in bounded) + 4
+    return max(p.count(" ") for p in patterns) + 4
 
 
 def _spaces(text: Column) -> Column:
@@ -142,8 +149,8 @@ def scan(documents: DataFrame, signatures: list[Rule] | None = None) -> DataFram
     """doc_id, n_words, base (label and start of each fixed phrase) and kept (start, end, label, tier, confidence, matched text of each detection left)."""
     signatures = rules() if signatures is None else signatures
     anchors = sorted({r.anchor for r in signatures} | {"cc", "license", "reserved"})
-    before_n, after_n = reach([r.left for r in signatures]), reach([r.right for r in signatures])
-    row = lambda r: F.struct(F.lit(r.label).alias("label"), F.lit(r.left).alias("left"), F.lit(r.right).alias("right"), F.lit(r.tier).alias("tier"), F.lit(r.confidence).alias("confidence"))
+    before_n, after_n = reach([r.left for r in signatures]), reach([r.right for r in signatures if not r.own])
+    row = lambda r: F.struct(F.lit(r.label).alias("label"), F.lit(r.left).alias("left"), F.lit(r.right).alias("right"), F.lit(r.tier).alias("tier"), F.lit(r.confidence).alias("confidence"), F.lit(r.own).alias("own"))
     by_anchor = F.create_map(*[x for a in sorted({r.anchor for r in signatures}) for x in (F.lit(a), F.array(*[row(r) for r in signatures if r.anchor == a]))])
     w = F.col("words")
     rows = documents.select("doc_id", words_of(F.col("text")).alias("words"))
@@ -158,23 +165,28 @@ def scan(documents: DataFrame, signatures: list[Rule] | None = None) -> DataFram
 
     def around(i: Column) -> Column:
         before = F.least(i, F.lit(before_n))
-        left, right = F.array_join(F.slice(w, i - before + 1, before), " "), F.array_join(F.slice(w, i + 2, F.lit(after_n)), " ")
+        # Expressions of identifiers go on for long; only those are looked at so far.
+        long = (F.get(w, i) == "identifier") & (i >= 2) & (F.get(w, i - 2) == "spdx")
+        left, right = F.array_join(F.slice(w, i - before + 1, before), " "), F.array_join(F.slice(w, i + 2, F.when(long, F.lit(LONG_AFTER)).otherwise(F.lit(after_n))), " ")
         return F.struct(i.alias("at"), F.get(w, i).alias("word"), F.when(left != "", F.concat(left, F.lit(" "))).otherwise("").alias("left"), F.when(right != "", F.concat(F.lit(" "), right)).otherwise("").alias("right"))
 
     def detections(c: Column) -> Column:
-        own = F.coalesce(F.try_element_at(by_anchor, c["word"]), F.array().cast("array<struct<label:string,left:string,right:string,tier:int,confidence:double>>"))
+        own = F.coalesce(F.try_element_at(by_anchor, c["word"]), F.array().cast("array<struct<label:string,left:string,right:string,tier:int,confidence:double,own:boolean>>"))
         fits = F.filter(own, lambda r: F.rlike(c["left"], r["left"]) & F.rlike(c["right"], r["right"]))
 
         def one(r: Column) -> Column:
             left, right = F.call_function("regexp_extract", c["left"], r["left"], F.lit(0)), F.call_function("regexp_extract", c["right"], r["right"], F.lit(0))
-            start, end = c["at"] - _spaces(left), c["at"] + 1 + _spaces(right)
-            return F.struct(start.alias("start"), (-end).alias("minus_end"), r["tier"].alias("tier"), r["label"].alias("label"), end.alias("end"), r["confidence"].alias("confidence"), F.concat(left, c["word"], right).alias("matched"))
+            tail = F.when(r["own"], F.call_function("regexp_extract", c["right"], r["right"], F.when(r["own"], 1).otherwise(0))).otherwise("")
+            end = c["at"] + 1 + _spaces(right)
+            start = F.when(r["own"], end - _spaces(tail)).otherwise(c["at"] - _spaces(left))
+            return F.struct(start.alias("start"), (-end).alias("minus_end"), r["tier"].alias("tier"), r["label"].alias("label"), end.alias("end"), r["confidence"].alias("confidence"), F.when(r["own"], F.ltrim(tail)).otherwise(F.concat(left, c["word"], right)).alias("matched"))
 
         return F.transform(fits, one)
 
     rows = rows.withColumn("base", F.filter(F.transform("places", base_at), lambda b: b.isNotNull())).withColumn("near", F.transform("places", around))
     kind = "array<struct<start:int,minus_end:int,tier:int,label:string,end:int,confidence:double,matched:string>>"
     rows = rows.withColumn("found", F.filter(F.transform("near", lambda c: F.array_sort(detections(c))), lambda x: F.size(x) > 0))
+    # What other anchors find in the words of an expression far from its begin has the expression's labels; it stays beside them.
     far = before_n + after_n
 
     def alive(x: Column, k: Column) -> Column:
