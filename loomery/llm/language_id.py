@@ -137,7 +137,9 @@ def train(documents: DataFrame, learn: Column, bits: int = 14, per_language: int
     rate = F.lit(0.0)
     for language, n in per.items():
         rate = F.when(F.col("lang") == language, F.lit(min(1.0, per_language / n))).otherwise(rate)
-    uniform = F.pmod(F.xxhash64(F.lit("language sample"), "doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    # By id and text: rows that share an id are drawn each for itself, and rows that repeat both are learned from once.
+    mark = F.xxhash64(F.lit("language sample"), "doc_id", "text")
+    uniform = F.pmod(mark, F.lit(1 << 30)) / float(1 << 30)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         idf, code = shared.value
@@ -159,7 +161,8 @@ def train(documents: DataFrame, learn: Column, bits: int = 14, per_language: int
         logits = np.array([v @ w[i] + bias for (i, v), h in zip(x, held, strict=True) if h]).reshape(-1, k)
         return pd.DataFrame({"weights": [w.tobytes()], "bias": [bias.tobytes()], "temperature": [fit_temperature(logits, y[held])]})
 
-    sample = rows.filter(uniform < rate).select("text", "lang").mapInArrow(features, "label int, terms binary, tfidf binary")
+    drawn = rows.withColumn("mark", mark).filter(uniform < rate).groupBy("mark", "lang").agg(F.first("text").alias("text"))
+    sample = drawn.select("text", "lang").mapInArrow(features, "label int, terms binary, tfidf binary")
     fitted = sample.groupBy().applyInPandas(fit, "weights binary, bias binary, temperature double").collect()
     if not fitted:
         return LanguageModel((), idf, np.zeros((dim, 0)), np.zeros(0), 1.0)
