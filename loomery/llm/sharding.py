@@ -8,7 +8,7 @@ Ranks and places are two-level prefix sums: counts of narrow hash ranges first,
 source, however large, is ever in one task. Sources of few rows start at an offset of their own, or they would all meet in the middle.
 
 Edge cases: a null source is a source of its own; null and empty texts have size 1 and checksum 0;
-null ids are shuffled as one id. Rows that agree in id, size and checksum are interchangeable. Empty tables give an empty
+null and repeated ids are shuffled by their texts. Rows that agree in id, size and checksum are interchangeable. Empty tables give an empty
 result. Extra columns are ignored.
 """
 
@@ -25,9 +25,10 @@ def shard(documents: DataFrame, shards: int = 16, seed: int = 13, range_rows: in
     """doc_id, size, text_crc32, law, shard, slot and grown_shard for every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = documents.select(
-        "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(F.lit(seed), "doc_id").alias("key"),
+        "doc_id", F.coalesce(F.col("source").cast("string"), F.lit("\x00")).alias("source"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
     )
-    rows = materialize(rows)
+    # Null and repeated ids are shuffled by their texts.
+    rows = materialize(rows.withColumn("key", F.xxhash64(F.lit(seed), "doc_id", "text_crc32", "size")))
     total = rows.count()
     ranges = max(64, -(-total // range_rows))
     rows = rows.withColumn("range", F.floor((F.shiftrightunsigned("key", 33) / float(1 << 31)) * ranges).cast("long"))

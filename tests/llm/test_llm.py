@@ -120,6 +120,41 @@ def test_license_texts_without_a_name(spark):
     assert all(set(want.split(",")) <= got[i] for i, want in enumerate(texts.values())) and got[7] == {""}
 
 
+def test_every_identifier_of_an_expression(spark):
+    texts = {
+        "SPDX-License-Identifier: MIT OR BSD-2-Clause OR ISC OR Zlib OR Apache-2.0 OR MPL-2.0": "apache,bsd-2-clause,isc,mit,mpl,zlib",
+        "SPDX-License-Identifier: (GPL-2.0-only WITH Classpath-exception-2.0) AND (MIT AND ISC)": "gpl,isc,mit",
+        "SPDX-License-Identifier: " + " OR ".join(["MIT"] * 60) + " OR Zlib": "mit,zlib",
+        "SPDX-License-Identifier: MIT and this is prose or zlib": "mit",
+    }
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {r["doc_id"]: r["labels"] for r in licenses.digest(licenses.scan(docs)).collect()}
+    assert [got[i] for i in range(len(texts))] == list(texts.values())
+
+
+def test_repeated_ids_fill_no_single_range(spark):
+    docs = spark.range(6000).select(F.when(F.col("id") % 2 == 0, F.lit(None)).otherwise(F.lit(7)).cast("long").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("s").alias("source"))
+    rows = docs.select("doc_id", F.xxhash64(F.lit(13), "doc_id", F.crc32(F.col("text").cast("binary")), (F.octet_length("text") + 1).cast("long")).alias("h")).withColumn("range", F.floor(F.shiftrightunsigned("h", 33) / float(1 << 31) * 64))
+    assert rows.groupBy("range").count().agg(F.max("count")).first()[0] < 200
+    got = sharding.shard(docs, 16).groupBy("shard").count().collect()
+    assert sorted(r["count"] for r in got) == [375] * 16
+
+
+def test_language_of_one_repeated_id(spark):
+    rows = table(spark, "/root/testdata/sf0.01", "documents").withColumn("doc_id", F.lit(8).cast("long"))
+    model = language_id.train(rows, F.lit(True), per_language=40)
+    got = language_id.predict(rows.select("doc_id", "text"), model).filter("lang_pred <> 'und'").count()
+    assert len(model.languages) == 4 and got > 900
+
+
+def test_toxicity_of_repeated_ids_and_clashing_columns(spark):
+    docs = spark.createDataFrame([(1, "vile words here", 0)] * 300 + [(1, f"other {i}", 1) for i in range(300)] + [(i, "kind words", 0) for i in range(2, 60)] + [(None, "x", 1), (99, "w " * 60_000, 1)], "doc_id long, text string, toxic int")
+    labels = spark.createDataFrame([(1, 1, "a"), (1, 0, "b"), (99, 1, "c"), (None, 1, "d"), (2, None, "e")] + [(i, 0, "f") for i in range(3, 60)], "doc_id long, toxic int, text string")
+    model = toxicity.train(docs, labels, F.lit(True), epochs=1)
+    assert toxicity.predict(docs, model).count() == docs.count() and toxicity.predict(docs.limit(0), model).count() == 0
+    assert toxicity.train(docs.limit(0), labels, F.lit(True)).constant is not None
+
+
 def test_license_suppression_by_brute_force(spark):
     """Which detections survive, by all pairs; and a text of very many notices."""
     notices = "Licensed under the Apache License, Version 2.0. MIT license. GNU Lesser General Public License version 2.1 or later. All rights reserved. cc by 4.0 x "
@@ -166,7 +201,8 @@ def test_sql_twins(spark):
 def test_sharding_by_brute_force(spark):
     """Ranks within sources, fractions and cuts, with the seeded hashes taken from Spark."""
     docs = table(spark, D, "documents")
-    h = F.xxhash64(F.lit(13), "doc_id").alias("h"), F.xxhash64(F.lit(13), "source").alias("o")
+    size, crc = (F.octet_length(F.coalesce("text", F.lit(""))) + 1).cast("long"), F.crc32(F.coalesce("text", F.lit("")).cast("binary"))
+    h = F.xxhash64(F.lit(13), "doc_id", crc, size).alias("h"), F.xxhash64(F.lit(13), "source").alias("o")
     rows = [r.asDict() for r in docs.select("doc_id", "source", *h).collect()]
     upper = lambda x: ((x % 2**64) >> 33) / 2**31
     for source in {r["source"] for r in rows}:
