@@ -116,12 +116,30 @@ def interleave(prose: DataFrame, facts: DataFrame, stride: int) -> DataFrame:
     return p.unionByName(f)
 
 
+#: Held-out items of at most this many distinct texts are broadcast, 16 bytes each.
+FEW_ITEMS = 1 << 20
+
+
 def exclude_holdout(docs: DataFrame, held: DataFrame) -> DataFrame:
-    """Documents without a line that is the text of a held-out item. Lines meet by their 128-bit hashes, not whole."""
-    mark = lambda c: F.unhex(F.md5(T.collapse(c))).alias("mark")
-    lines = docs.select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", mark(F.col("line")))
-    hit = lines.join(held.select(mark(F.col("text"))).distinct(), "mark").select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti")
+    """Documents without a line that is the text of a held-out item. Lines meet by their 128-bit hashes, not whole.
+
+    Blank and repeated lines of a document are dropped in its row. Beyond ``FEW_ITEMS`` the lines are shuffled, the few frequent ones first made rare by their documents' hash.
+    """
+    mark = lambda c: F.unhex(F.md5(c))
+    lines = F.array_distinct(F.transform(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""), T.collapse))
+    marks = held.select(mark(T.collapse(F.col("text"))).alias("mark")).distinct()
+    few = marks.limit(FEW_ITEMS + 1).count() <= FEW_ITEMS
+    rows = docs.select("doc_id", F.explode(lines).alias("line")).select("doc_id", mark(F.col("line")).alias("mark"))
+    if few:
+        hit = rows.join(F.broadcast(marks), "mark", "left_semi")
+    else:
+        salts = 64
+        salted = marks.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        hit = rows.withColumn("_s", F.pmod(F.xxhash64("doc_id"), F.lit(salts)).cast("int")).join(salted, ["mark", "_s"], "left_semi")
+    blank = marks.filter(F.col("mark") == mark(F.lit(""))).limit(1).count() > 0
+    empty = F.exists(F.split("text", "\n"), lambda x: F.trim(x) == "")
+    out = docs.join(hit.select("doc_id").distinct(), "doc_id", "left_anti")
+    return out.filter(~F.coalesce(empty, F.lit(False))) if blank else out
 
 
 def batches(windows: DataFrame, size: int, seed: str, epoch: int, n: int) -> DataFrame:

@@ -73,14 +73,53 @@ def gate(summaries: DataFrame) -> DataFrame:
     return summaries.select("run", (reason == "ok").alias("passed"), reason.alias("reason"))
 
 
-def acceptance(replies: DataFrame, least_named: float = 0.5, most_restarts: float = 0.1) -> DataFrame:
-    """Per run the shares of replies that hold the name and that restart, the dumps, and PASS or REVIEW.
+#: Families of long unique answers and of short templates, as probes are summed up.
+LONG_UNIQUE = ("layer_stream", "wiki_extra", "project", "theorem")
+SHORT_TEMPLATES = ("capital_of", "organ_system", "who_invented", "what_did_invent", "gas", "project")
 
-    Replies are (run, name, text); a restart is a second opening after the first sentence.
+
+def probe_summary(classified: DataFrame) -> DataFrame:
+    """A10: one row: probes, matches, swaps and their rates, the number of each class, failures of long unique answers, and the exact rate of short templates."""
+    swap, match = F.col("classification").isin(*SWAPS), F.col("match")
+    cells = classified.groupBy("family", "classification").agg(F.count(F.lit(1)).alias("n"), F.sum(match.cast("long")).alias("ok"), F.sum(swap.cast("long")).alias("swap"), F.sum(((F.col("classification") == "TARGET_MISMATCH") & ~match & F.col("family").isin(*LONG_UNIQUE)).cast("long")).alias("long_fail"))
+    short = F.col("family").isin(*SHORT_TEMPLATES)
+    classes = cells.groupBy("classification").agg(F.sum("n").alias("n")).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("classification", "n")))).alias("classes"))  # four classes
+    total = cells.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "ok", "swap", "long_fail")], F.try_divide(F.sum(F.when(short, F.col("ok"))), F.sum(F.when(short, F.col("n")))).alias("short_exact"))
+    rate = lambda c: F.when(F.col("n") > 0, F.col(c) / F.col("n")).otherwise(0.0)
+    return total.select("n", "ok", "swap", rate("ok").alias("exact_rate"), rate("swap").alias("swap_rate"), "long_fail", "short_exact").crossJoin(F.broadcast(classes))  # one row each
+
+
+def ood_summary(replies: DataFrame, neighbours: DataFrame | None = None) -> DataFrame:
+    """Per probe mode of replies (mode, prompt, text) their number, the dumps, and the answers that name a fact's neighbour (P11) where ``neighbours`` (prompt, bleed) says so."""
+    rows = replies if neighbours is None else replies.join(neighbours, "prompt", "left")
+    bleed = F.coalesce(F.contains(F.lower("text"), F.lower("bleed")), F.lit(False)) if neighbours is not None else F.lit(False)
+    return rows.groupBy("mode").agg(F.count(F.lit(1)).alias("n"), F.sum(T.looks_like_dump(F.col("text")).cast("long")).alias("dumps"), F.sum(bleed.cast("long")).alias("bleeds"))
+
+
+def reply_flags(replies: DataFrame) -> DataFrame:
+    """Replies (prompt, text) with the name that the prompt's last "named X" gives, whether the reply holds it, whether it restarts a story, and whether it is a dump."""
+    names = F.regexp_extract_all("prompt", F.lit(r"\bnamed\s+([A-Z][a-z]+)"), F.lit(1))
+    name = F.coalesce(F.try_element_at(names, F.lit(-1)), F.lit(""))
+    low = F.lower("text")
+    return replies.withColumns({"name": name, "name_held": (name != "") & F.contains(low, F.lower(name)), "restart": F.contains(low, F.lit("once upon a time")), "dump": T.looks_like_dump(F.col("text"))})
+
+
+def acceptance(replies: DataFrame, expected: DataFrame | None = None, most_restarts: float = 0.25, least_named: float = 0.5) -> DataFrame:
+    """Per run of replies (run, prompt, text) the checks and PASS or REVIEW.
+
+    Fewer than ``most_restarts`` of all replies restart, more than ``least_named`` of those with a name hold it (none with a name fails), no reply is a dump, and
+    each ``expected`` (prompt, substring) is in a reply to its prompt, without regard to case.
     """
-    text = F.col("text")
-    named = F.contains(F.lower(text), F.lower("name"))
-    restart = F.rlike(text, F.lit(r"(?s).[.!?]\s+Once upon a time"))
-    r = replies.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.avg(named.cast("double")).alias("named"), F.avg(restart.cast("double")).alias("restarts"), F.sum(T.looks_like_dump(text).cast("long")).alias("dumps"))
-    good = (F.col("named") >= least_named) & (F.col("restarts") <= most_restarts) & (F.col("dumps") == 0)
-    return r.select("run", "n", F.round("named", 6).alias("named"), F.round("restarts", 6).alias("restarts"), "dumps", F.when(good, "PASS").otherwise("REVIEW").alias("verdict"))
+    flags = reply_flags(replies)
+    named = F.col("name") != ""
+    r = flags.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.avg(F.col("restart").cast("double")).alias("restarts"), F.sum(named.cast("long")).alias("named"), F.sum(F.col("name_held").cast("long")).alias("held"), F.sum(F.col("dump").cast("long")).alias("dumps"))
+    met = F.lit(True)
+    if expected is not None:
+        wanted = F.broadcast(expected.select("prompt", F.lower("substring").alias("_s")))  # a few prompts that are asked for
+        runs = replies.select("run").distinct().crossJoin(wanted)
+        hits = replies.join(wanted, "prompt").groupBy("run", "prompt", "_s").agg(F.bool_or(F.contains(F.lower("text"), F.col("_s"))).alias("hit"))
+        missing = runs.join(hits, ["run", "prompt", "_s"], "left").groupBy("run").agg(F.count_if(~F.coalesce("hit", F.lit(False))).alias("missing"))
+        r, met = r.join(missing, "run", "left"), F.coalesce("missing", F.lit(0)) == 0
+    share = F.when(F.col("named") > 0, F.col("held") / F.col("named"))
+    good = (F.col("restarts") < most_restarts) & F.coalesce(share > least_named, F.lit(False)) & (F.col("dumps") == 0) & met
+    return r.select("run", "n", F.round("restarts", 6).alias("restarts"), "named", F.round(share, 6).alias("held_rate"), "dumps", *(["missing"] if expected is not None else []), F.when(good, "PASS").otherwise("REVIEW").alias("verdict"))

@@ -249,7 +249,7 @@ def article_candidates(question: Column) -> Column:
 def retrain_variants(pairs: DataFrame) -> DataFrame:
     """(ord, user, assistant) further questions of a pair: article forms and linked questions, each question once and never the pair's own."""
     full = F.when(F.endswith("assistant", F.lit(".")), F.col("assistant")).otherwise(F.concat("assistant", F.lit(".")))
-    asked = F.transform(article_candidates(F.col("user")), lambda k: F.struct(F.concat(F.upper(F.substring(k, 1, 1)), F.substring(k, 2, 1 << 20), F.lit("?")).alias("user"), full.alias("assistant")))
+    asked = F.transform(article_candidates(F.col("user")), lambda k: F.struct(F.concat(F.upper(F.substring(k, 1, 1)), F.substr(k, F.lit(2)), F.lit("?")).alias("user"), full.alias("assistant")))
     rows = pairs.select("ord", T.question_key(F.col("user")).alias("own"), F.posexplode(F.concat(asked, T.linked_variants(F.col("user"), full))).alias("i", "v")).withColumn("key", T.question_key(F.col("v.user"))).filter("key <> own and key <> ''")
     return rows.groupBy("ord", "key").agg(F.min_by("v", "i").alias("v")).select("ord", "v.user", "v.assistant")
 
@@ -266,11 +266,39 @@ def three_way_mix(raw: DataFrame, chat: DataFrame, tools: DataFrame, share: floa
     wanted = {"chat": round(total * share), "tool": min(tool_most, round(total * tool_share))}
     out = raw.select(F.lit("raw").alias("source"), "id", "text")
     for name, df in (("chat", chat), ("tool", tools)):
-        picked = df.withColumn("h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))).orderBy("h", "id").limit(wanted[name])
-        out = out.unionByName(picked.select(F.lit(name).alias("source"), "id", "text"))
+        out = out.unionByName(first_by_hash(df, wanted[name], seed).select(F.lit(name).alias("source"), "id", "text"))
     return out
 
 
+def shuffled(mix: DataFrame, seed: str = "7") -> DataFrame:
+    """A mix (source, id, ...) with ``place``, its row's number in the order of a seeded hash. Counts of hash prefixes first, then order within one."""
+    h = F.md5(F.concat(F.lit(f"{seed}:mix:"), "source", F.lit(":"), F.col("id").cast("string")))
+    marked = mix.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, 3))
+    cells = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("c"))  # 4096 at most
+    cells = cells.select("_p", (F.sum("c").over(W.orderBy("_p")) - F.col("c")).alias("_before"))
+    ranked = marked.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy("_h", "source", "id"))).join(cells, "_p")
+    return ranked.withColumn("place", (F.col("_before") + F.col("_r") - 1).cast("long")).drop("_h", "_p", "_r", "_before")
+
+
+def first_by_hash(rows: DataFrame, n: int, seed: str) -> DataFrame:
+    """Exactly the ``n`` rows (id, ...) that come first by a seeded hash and id, or all if there are fewer.
+
+    Counts of hash prefixes tell which range holds the last one; only that range is ranked, and rows stay in the partitions where they are: no top-n gathers them in one task.
+    """
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))
+    marked = rows.withColumn("_h", h).withColumn("_p", F.substring("_h", 1, 3))
+    cells = marked.groupBy("_p").agg(F.count(F.lit(1)).alias("c"))  # 4096 at most
+    cells = cells.select("_p", "c", (F.sum("c").over(W.orderBy("_p")) - F.col("c")).alias("before"))
+    edge = cells.filter((F.col("before") < n) & (F.col("before") + F.col("c") > n)).first()
+    if edge is None:
+        last = cells.filter(F.col("before") < n).agg(F.max("_p")).first()[0]
+        return (marked.filter(F.col("_p") <= last) if last else marked.limit(0)).drop("_h", "_p")
+    # The last range's rows, a 4096th of all: the hash and id up to which they are taken.
+    w = W.orderBy("_h", "id")
+    cut = marked.filter(F.col("_p") == edge["_p"]).select("_h", "id").withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == n - edge["before"]).first()
+    return marked.filter((F.col("_h") < cut["_h"]) | ((F.col("_h") == cut["_h"]) & (F.col("id") <= cut["id"]))).drop("_h", "_p")
+
+
 def fact_share(mix: DataFrame, low: float = 0.40, high: float = 0.50, most_repeats: int = 300, stop: str = " User:") -> DataFrame:
     """One row: the facts' share of a mix (is_fact, line, text) and whether it is within the band, repeats stay below the limit and every fact ends with the stop marker."""
     per = mix.groupBy("is_fact", "line").agg(F.count(F.lit(1)).alias("n"), F.min(F.endswith("text", F.lit(stop)).cast("int")).alias("stops"))

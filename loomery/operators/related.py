@@ -57,6 +57,10 @@ def entity_index(facts: DataFrame) -> DataFrame:
     return facts.select(F.explode(fact_entities(F.col("user"), F.col("assistant"))).alias("entity"), "ord", "key", "user")
 
 
+#: So many facts (a key and a question each) are broadcast; else askers of an entity are dealt over so many salts.
+FEW_FACTS, SALTS = 1 << 16, 64
+
+
 def related_prompts(asked: DataFrame, index: DataFrame, limit: int = 5) -> DataFrame:
     """For asked (qid, entity, key) the first ``limit`` facts by ``ord`` that share an entity and have another key; ``rank`` from 1.
 
@@ -66,7 +70,13 @@ def related_prompts(asked: DataFrame, index: DataFrame, limit: int = 5) -> DataF
     """
     first = index.withColumn("_n", F.row_number().over(W.partitionBy("entity").orderBy("ord", "key"))).filter(F.col("_n") <= limit + 1)
     other = first.select("entity", "ord", F.col("key").alias("related_key"), F.col("user").alias("related"))
-    met = asked.join(other, "entity").filter(F.col("key").isNull() | (F.col("key") != F.col("related_key")))
+    # An entity may be asked for by any share of all; its few facts are broadcast, or beyond that copied for each of a number of salts.
+    if first.limit(FEW_FACTS + 1).count() <= FEW_FACTS:
+        pairs = asked.join(F.broadcast(other), "entity")
+    else:
+        salted = other.withColumn("_s", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        pairs = asked.withColumn("_s", F.pmod(F.xxhash64("qid"), F.lit(SALTS)).cast("int")).join(salted, ["entity", "_s"]).drop("_s")
+    met = pairs.filter(F.col("key").isNull() | (F.col("key") != F.col("related_key")))
     met = met.select("qid", "ord", "related_key", "related").distinct()
     return met.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("ord", "related_key"))).filter(F.col("rank") <= limit).select("qid", "rank", "ord", "related")
 

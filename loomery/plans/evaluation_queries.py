@@ -121,10 +121,34 @@ def gate_verdicts(spark: SparkSession, d: str) -> DataFrame:
     return E.gate(runs)
 
 
-@query("select run, n, round(named, 6) as named, round(restarts, 6) as restarts, dumps, case when named >= 0.5 and restarts <= 0.1 and dumps = 0 then 'PASS' else 'REVIEW' end as verdict from (select lang as run, count(*) as n, avg(cast(contains(lower(text), 'the') as int)) as named, avg(cast(regexp_matches(text, '(?s).[.!?]\\s+Once upon a time') as int)) as restarts, sum(cast(trim(text) = '' or contains(lower(text), 'the capital of') or contains(lower(text), ' belongs to the ') or contains(lower(text), 'is the pathogen that causes') or contains(lower(text), 'user:') or contains(lower(text), 'assistant:') or contains(lower(text), 'rotavirus') as bigint)) as dumps from documents group by 1)")
+_DUMPS = "trim(text) = '' or contains(lower(text), 'the capital of') or contains(lower(text), ' belongs to the ') or contains(lower(text), 'is the pathogen that causes') or contains(lower(text), 'user:') or contains(lower(text), 'assistant:') or contains(lower(text), 'rotavirus')"
+#: Every document stands for a reply; prompts name a word that many of them hold, or none.
+REPLIES = "select source as run, case when doc_id % 3 = 0 then 'a mouse named The and a cat named Of' when doc_id % 3 = 1 then 'What is here? ' || doc_id % 2 else 'nobody is named here' end as prompt, case when doc_id % 11 = 0 then 'Well. ONCE upon a Time ' || text else text end as text from documents"
+
+
+def replies(spark: SparkSession, d: str) -> DataFrame:
+    i = F.col("doc_id")
+    prompt = F.when(i % 3 == 0, "a mouse named The and a cat named Of").when(i % 3 == 1, F.concat(F.lit("What is here? "), (i % 2).cast("string"))).otherwise("nobody is named here")
+    return table(spark, d, "documents").select(F.col("source").alias("run"), prompt.alias("prompt"), F.when(i % 11 == 0, F.concat(F.lit("Well. ONCE upon a Time "), "text")).otherwise(F.col("text")).alias("text"))
+
+
+@query(f"""with r as (select *, case when prompt like '%named Of%' then 'of' end as name from ({REPLIES})), g as (select run, count(*) as n, avg(cast(contains(lower(text), 'once upon a time') as int)) as restarts, count(name) as named, count(*) filter (where contains(lower(text), name)) as held, count(*) filter (where {_DUMPS}) as dumps from r group by 1),
+w as (select run, p, s from (select distinct run from r), (values ('What is here? 0', 'THE'), ('What is here? 1', 'que'), ('never asked', 'x')) e(p, s)), h as (select distinct run, p from r join w using (run) where prompt = p and contains(lower(text), lower(s))), m as (select run, count(*) filter (where h.p is null) as missing from w left join h using (run, p) group by 1)
+select run, n, round(restarts, 6) as restarts, named, round(held / named, 6) as held_rate, dumps, missing, case when restarts < 0.25 and held / named > 0.5 and dumps = 0 and missing = 0 then 'PASS' else 'REVIEW' end as verdict from g join m using (run)""")
 def acceptance(spark: SparkSession, d: str) -> DataFrame:
-    """The documents of a language stand for the replies of a run."""
-    return E.acceptance(table(spark, d, "documents").select(F.col("lang").alias("run"), F.lit("the").alias("name"), "text"))
+    """The documents of a source stand for the replies of a run."""
+    expected = spark.createDataFrame([("What is here? 0", "THE"), ("What is here? 1", "que"), ("never asked", "x")], "prompt string, substring string")
+    return E.acceptance(replies(spark, d), expected)
+
+
+@query(CLASSES + """, o as (select count(*) as n, count(*) filter (where match) as ok, count(*) filter (where classification like '%SWAP') as swap, count(*) filter (where family in ('layer_stream', 'wiki_extra', 'project', 'theorem') and classification = 'TARGET_MISMATCH') as long_fail,
+  count(*) filter (where match and family in ('capital_of', 'organ_system', 'who_invented', 'what_did_invent', 'gas', 'project')) / nullif(count(*) filter (where family in ('capital_of', 'organ_system', 'who_invented', 'what_did_invent', 'gas', 'project')), 0) as short_exact from c)
+select n, ok, swap, round(ok / n, 6) as exact_rate, round(swap / n, 6) as swap_rate, long_fail, round(short_exact, 6) as short_exact, (select string_agg(classification || '=' || k, ',' order by classification) from (select classification, count(*) as k from c group by 1)) as classes from o""")
+def probe_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A10."""
+    s = E.probe_summary(classified(spark, d))
+    text = F.array_join(F.transform(F.map_entries("classes"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return s.select("n", "ok", "swap", *[F.round(c, 6).alias(c) for c in ("exact_rate", "swap_rate")], "long_fail", F.round("short_exact", 6).alias("short_exact"), text.alias("classes"))
 
 
 @query(RQ.decisions_sql())

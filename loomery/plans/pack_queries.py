@@ -201,17 +201,22 @@ def history_budget(spark: SparkSession, d: str) -> DataFrame:
     return K.history_budget(table(spark, d, "conversations"), 200)
 
 
-@query("""with n as (select count(*) as n from documents), c as (select conv_id * 1048576 + turn as id from conversations),
-x as (select 'raw' as source, doc_id as id from documents union all select * from (select 'chat', id from c order by md5('7:' || id), id limit (select cast(round(n / 0.7 * 0.22) as bigint) from n))
-  union all select * from (select 'tool', p_partkey from part order by md5('7:' || p_partkey), p_partkey limit (select least(4000, cast(round(n / 0.7 * 0.08) as bigint)) from n)))
-select source, count(*) as n, cast(sum(id) as bigint) as ids from x group by 1""")
+_TOOL = "'User: ' || " + collapse_sql("'What is the price of ' || p_name || '?'") + " || ' Tool: search | Query: ' || p_name || ' | Result: ' || cast(p_retailprice as varchar) || ' | Answer: ' || p_brand"
+
+
+@query(f"""with n as (select count(*) as n from documents), c as (select conv_id * 1048576 + turn as id, text from conversations), p as (select p_partkey as id, {_TOOL} as text from part),
+x as (select 'raw' as source, doc_id as id, text from documents union all select * from (select 'chat', id, text from c order by md5('7:' || id), id limit (select cast(round(n / 0.7 * 0.22) as bigint) from n))
+  union all select * from (select 'tool', id, text from p order by md5('7:' || id), id limit (select least(4000, cast(round(n / 0.7 * 0.08) as bigint)) from n)))
+select source, id, md5(text) as text_md5, row_number() over (order by md5('7:mix:' || source || ':' || id), source, id) - 1 as place, case when source = 'tool' then trim(regexp_extract(text, 'Query: ([^|]*)', 1)) end as query, case when source = 'tool' then trim(regexp_extract(text, 'Answer: ([^|]*)', 1)) end as answer from x""")
 def three_way_mix(spark: SparkSession, d: str) -> DataFrame:
-    """Documents, turns and tool lines of the parts, counted by source."""
+    """Documents, turns and tool lines of the parts in their shuffled order; tool lines are taken apart again."""
     part = table(spark, d, "part")
     tools = part.select(F.col("p_partkey").alias("id"), K.tool_line(F.concat(F.lit("What is the price of "), "p_name", F.lit("?")), "search", F.col("p_name"), F.col("p_retailprice").cast("string"), F.col("p_brand")).alias("text"))
     chat = table(spark, d, "conversations").select((F.col("conv_id") * (1 << 20) + F.col("turn")).alias("id"), "text")
-    mixed = K.three_way_mix(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), chat, tools)
-    return mixed.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("ids"))
+    mixed = K.shuffled(K.three_way_mix(table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), chat, tools))
+    call = K.tool_call(F.col("text"))
+    only = lambda c: F.when(F.col("source") == "tool", c)
+    return mixed.select("source", "id", F.md5("text").alias("text_md5"), "place", only(call["query"]).alias("query"), only(call["answer"]).alias("answer"))
 
 
 @query(rf"""with s as (select doc_id as id, {collapse_sql('text')} as t from documents where starts_with(lower(trim(text)), 'the ')), f as (select id, t, case when contains(t, '. ') then t[:instr(t, '. ')] else t end as f from s),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import runs as R
 from ..operators import tensors as A
+from ..operators.reports import tensor_role
 from ..sources.tables import table, tail
 
 QUERIES, SQL = {}, {}
@@ -219,3 +220,62 @@ def layer_norms(spark: SparkSession, d: str) -> DataFrame:
 @query(f"select vec_id // 64 as bi, j // 8 as bj, round(avg(cast(x as double)), 6) as mean from ({CELLS}) group by 1, 2")
 def block_heatmap(spark: SparkSession, d: str) -> DataFrame:
     return r6(A.heatmap(cells(spark, d).select(F.col("vec_id").alias("i"), "j", "x"), 64, 8), "mean")
+
+
+_PARTS = ("qkv_proj", "mlp_expand", "attn_ln_gamma", "lm_head")
+_TENSORS = f"select vec_id % 6 as layer, 'layer_' || vec_id % 6 || '.' || ['{_PARTS[0]}', '{_PARTS[1]}', '{_PARTS[2]}', '{_PARTS[3]}'][label % 4 + 1] as key, case label % 4 when 0 then 'attention' when 1 then 'mlp' when 2 then 'attention' else 'other' end as family, cast(x as double) as x from ({CELLS})"
+
+
+def tensor_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Components of embeddings as cells of named tensors in six layers."""
+    leaf = F.element_at(F.array(*map(F.lit, _PARTS)), (F.col("label") % 4 + 1).cast("int"))
+    c = cells(spark, d).withColumn("key", F.concat(F.lit("layer_"), (F.col("vec_id") % 6).cast("string"), F.lit("."), leaf))
+    return c.select("key", *[v.alias(k) for k, v in tensor_role(F.col("key")).items()], "j", "x")
+
+
+@query(f"select layer, round(sqrt(sum(x * x) filter (where family = 'attention') / nullif(count(*) filter (where family = 'attention'), 0)), 6) as attention_rms, count(*) filter (where family = 'attention') as attention_params, round(sqrt(sum(x * x) filter (where family = 'mlp') / nullif(count(*) filter (where family = 'mlp'), 0)), 6) as mlp_rms, count(*) filter (where family = 'mlp') as mlp_params, null::double as norm_rms, 0::bigint as norm_params, round(sqrt(sum(x * x) filter (where family = 'other') / nullif(count(*) filter (where family = 'other'), 0)), 6) as other_rms, count(*) filter (where family = 'other') as other_params, round(sqrt(avg(x * x)), 6) as total_rms, count(*) as params from (select layer, case when key like '%lm_head' then 'other' else family end as family, x from ({_TENSORS})) group by 1")
+def layer_summary(spark: SparkSession, d: str) -> DataFrame:
+    """A23, U16."""
+    s = A.layer_summary(tensor_cells(spark, d))
+    return s.select(*[F.round(c, 6).alias(c) if c.endswith("_rms") else c for c in s.columns])
+
+
+@query(f"with n as (select layer, sqrt(sum(case when layer = 4 then 0 else x * x end)) as norm from ({_TENSORS}) group by 1) select round(arg_min(norm, layer), 6) as early, round(arg_max(norm, layer), 6) as late, round(max(norm) filter (where norm > 1e-12) / min(norm) filter (where norm > 1e-12), 6) as ratio, string_agg(layer, ',' order by layer) filter (where norm <= 1e-10) as dead, max(norm) > 1e-12 and min(norm) > 1e-10 and max(norm) / nullif(min(norm), 0) <= 20 as healthy from n")
+def gradient_health(spark: SparkSession, d: str) -> DataFrame:
+    """Layer 4 is set to zero."""
+    rows = tensor_cells(spark, d).withColumn("x", F.when(F.col("layer") == 4, 0.0).otherwise(F.col("x").cast("double")))
+    return r6(A.gradient_health(rows), "early", "late", "ratio").withColumn("dead", F.array_join(F.col("dead").cast("array<string>"), ","))
+
+
+@query(f"""with c as (select key, layer, case when layer = 2 or key = 'layer_3.mlp_expand' then 0 else x end as x from ({_TENSORS})),
+f as (select key, layer, max(abs(x)) = 0 as dead, avg(cast(abs(x) < 0.01 as int)) > 0.1 as sparse, max(abs(x)) > 10 as exploding from c group by 1, 2), l as (select layer, bool_and(dead) as dead from f group by 1)
+select concat_ws(',', case when bool_or(dead) then 'dead' end, case when bool_or(exploding) then 'exploding' end, case when bool_or(sparse) then 'sparse' end) as flags, (select string_agg(layer, ',' order by layer) from l where dead) as dead_layers, not bool_or(dead or exploding) as ok from f""")
+def archive_health(spark: SparkSession, d: str) -> DataFrame:
+    """Layer 2 is set to zero, and so is one tensor of layer 3."""
+    zero = (F.col("layer") == 2) | (F.col("key") == "layer_3.mlp_expand")
+    rows = tensor_cells(spark, d).withColumn("x", F.when(zero, 0.0).otherwise(F.col("x").cast("double")))
+    flagged = A.health(A.stats(rows, "key", "layer")).select("key", "layer", F.filter(F.split("flags", ","), lambda f: (f != "") & (f != "constant")).alias("flags"))
+    r = A.archive_health(flagged)
+    return r.select(F.array_join("flags", ",").alias("flags"), F.array_join(F.col("dead_layers").cast("array<string>"), ",").alias("dead_layers"), "ok")
+
+
+_LOGITS = "select label, vec_id as id, cast(embedding as double[]) as z, case when vec_id % 5 = 0 then -1 when vec_id % 3 = 0 then list_position(embedding, list_max(embedding)) - 1 else label % len(embedding) end as t from embeddings"
+
+
+@query(f"""with s as (select *, list_sum(list_transform(z, lambda x: exp(x))) as e, z[t + 1] as own from ({_LOGITS}) where t >= 0), r as (select label, ln(e) - own as loss, len(list_filter(z, lambda x, i: x > own or (x = own and i < t + 1))) + 1 as rank from s), l as (select distinct label from embeddings)
+select label, count(rank) as tokens, round(coalesce(avg(loss), 0), 6) as loss, coalesce(bool_and(rank = 1), false) as exact, round(avg(rank), 6) as mean_rank from l left join r using (label) group by 1""")
+def token_scores(spark: SparkSession, d: str) -> DataFrame:
+    """The rows of a label are the tokens of an answer; every fifth is masked, every third is asked for its best id."""
+    z, v = F.col("embedding").cast("array<double>"), F.col("vec_id")
+    best = F.array_position(z, F.array_max(z)) - 1
+    target = F.when(v % 5 == 0, -1).when(v % 3 == 0, best).otherwise(F.col("label") % F.size("embedding")).cast("int")
+    rows = table(spark, d, "embeddings").select("label", v.alias("id"), z.alias("logits"), target.alias("target"))
+    return r6(A.token_scores(rows, "label"), "loss", "mean_rank")
+
+
+@query("with c as (select vec_id as id, cast(embedding as double[]) as z from embeddings), s as (select *, list_sum(list_transform(z, lambda x: exp(x))) as e from c), u as (select id, e, unnest(z) as x, unnest(range(len(z))) as j from s) select id, cast(row_number() over (partition by id order by x desc, j) as int) as place, cast(j as int) as token, round(exp(x) / e, 9) as p from u qualify place <= 5")
+def top_tokens(spark: SparkSession, d: str) -> DataFrame:
+    """The five best ids of each row."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("logits"), F.lit(0).alias("target"))
+    t = A.token_ranks(rows, 5).select("id", F.posexplode("top").alias("i", "b"))
+    return t.select("id", (F.col("i") + 1).alias("place"), F.col("b.id").alias("token"), F.round("b.p", 9).alias("p"))
