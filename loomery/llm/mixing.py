@@ -2,16 +2,16 @@
 
 Domains come from a labelled table: ``toxic``, ``low`` (quality 0) and ``clean``. A naive Bayes classifier over binned text
 features (length, symbols, capitals, distinct words, and hits of a learned word list for each domain) gives
-every document posteriors. Nonnegative rates of documents are then fitted to the squared gaps between the expected tokens of each
-domain, sum of rate * tokens * posterior, and its target, which keeps the clean tokens whole. Rates start at 1 and follow the projected
-gradient: a document's rate is max(0, 1 + sum of posterior * pull over the domains), so of all rates that reach the targets it is the one
-nearest to 1. Each step is one distributed aggregate (the totals reached and their curvature, nine numbers) over cells of documents with the same bins, of which
-there are at most ``CELLS``, however many documents; the step is scaled by the curvature and halved until the objective falls.
-A document's copies are its rate, rounded up or down by a seeded uniform of its id.
+every document posteriors. Nonnegative rates of documents are then fitted by projected gradient to the squared gaps between the expected tokens of each
+domain, sum of rate * tokens * posterior, and its target, which keeps the clean tokens whole. Rates start at 1. A step follows the gradient, scaled by the inverse
+curvature of the rates that are positive: it adds to every rate its posteriors' share of the scaled gaps and sets what falls below 0 to 0. A step is halved until the objective falls.
+As documents of equal bins have equal rates throughout, the rates that are stepped are those of cells of such documents, at most ``CELLS``
+however many documents; they lie in partitions, and a step's gaps and curvature (nine numbers) are one distributed aggregate.
+A document's copies are its rate, rounded up or down by a seeded uniform of its id and text.
 
 Word lists are fitted on at most about ``sample`` labelled documents; the counts of the classifier, the cells and totals cover all.
 
-Edge cases: null and empty texts have no tokens and the first bins. Null ids are one id to the uniform. Labels that are null, or of
+Edge cases: null and empty texts have no tokens and the first bins. Null and repeated ids are rounded by their own texts; an empty table gives an empty result. Labels that are null, or of
 unknown documents, are ignored; a document labelled twice is toxic, else low, if one label says so. Without labelled documents the
 posteriors are the uniform prior and all rates 1. Targets that no rates reach are approached to the least squares, and ``Fit.met`` says so. Repeated rows are decided alike. Extra
 columns are passed through by ``mix``, but for those named like its own, which replace them; ``chosen`` keeps every column as it is.
@@ -22,7 +22,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 from functools import reduce
-from operator import add
+from operator import add, mul
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -34,12 +34,10 @@ DOMAINS = ("clean", "low", "toxic")
 #: Bins of each feature; their product bounds the cells.
 BINS = {"b_size": 6, "b_symbol": 4, "b_capital": 4, "b_distinct": 4, "b_low": 4, "b_toxic": 4}
 CELLS = math.prod(BINS.values())
-PREFIX = 5
 
 
 def _terms(words: Column) -> Column:
-    """Distinct first letters of the words."""
-    return F.array_distinct(F.transform(words, lambda w: F.left(w, F.lit(PREFIX))))
+    return F.array_distinct(words)
 
 
 def _step(x: Column, *cuts: float) -> Column:
@@ -53,7 +51,7 @@ def _labelled(labels: DataFrame) -> DataFrame:
 
 
 def word_lists(documents: DataFrame, labelled: DataFrame, sample: int = 6000, keep: int = 40) -> dict[str, list[str]]:
-    """For ``low`` and ``toxic`` the word beginnings that are most more frequent there, by documents that hold them."""
+    """For ``low`` and ``toxic`` the words that are most more frequent there, by documents that hold them."""
     n = labelled.count()
     uniform = F.pmod(F.xxhash64(F.lit("word lists"), "doc_id"), F.lit(1 << 20)) / float(1 << 20)
     picked = materialize(labelled.filter(uniform < min(1.0, sample / max(1, n))))
@@ -71,9 +69,9 @@ def word_lists(documents: DataFrame, labelled: DataFrame, sample: int = 6000, ke
 
 
 def featured(documents: DataFrame, lists: dict[str, list[str]], keep: list[str]) -> DataFrame:
-    """``_keep`` (a struct of the columns ``keep``, so that no name clashes), tokens and the binned features of every row, from one pass over the texts."""
+    """``_keep`` (a struct of the columns ``keep``, so that no name clashes), th (the text's hash), tokens and the binned features of every row, from one pass over the texts."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = documents.select(F.struct(*keep).alias("_keep"), F.length(text).alias("n"), F.regexp_count(text, F.lit(r"[#$%&|!*@^~<>{}]")).alias("symbols"), F.regexp_count(text, F.lit("[A-Z]")).alias("capitals"), words_of(F.col("text")).alias("words"))
+    rows = documents.select(F.struct(*keep).alias("_keep"), F.xxhash64("text").alias("th"), F.length(text).alias("n"), F.regexp_count(text, F.lit(r"[#$%&|!*@^~<>{}]")).alias("symbols"), F.regexp_count(text, F.lit("[A-Z]")).alias("capitals"), words_of(F.col("text")).alias("words"))
     rows = rows.withColumn("tokens", F.size("words").cast("long")).withColumn("terms", _terms(F.col("words")))
     of = lambda c: F.col(c) / F.greatest(F.col("n"), F.lit(1))
     hits = lambda d: F.size(F.array_intersect("terms", F.lit(lists[d]).cast("array<string>"))) if lists.get(d) else F.lit(0)
@@ -85,7 +83,7 @@ def featured(documents: DataFrame, lists: dict[str, list[str]], keep: list[str])
         "b_low": _step(hits("low"), 1, 2, 4),
         "b_toxic": _step(hits("toxic"), 1, 2, 4),
     }
-    return rows.select("_keep", "tokens", *[b.cast("int").alias(c) for c, b in bins.items()])
+    return rows.select("_keep", "th", "tokens", *[b.cast("int").alias(c) for c, b in bins.items()])
 
 
 def classifier(features: DataFrame, labelled: DataFrame) -> tuple[dict[str, Column], int]:
@@ -106,16 +104,13 @@ def classifier(features: DataFrame, labelled: DataFrame) -> tuple[dict[str, Colu
 
 @dataclass(frozen=True)
 class Fit:
-    """The pull of each domain, the targets, the expected tokens that the rates reach, and whether these are within the tolerance of every target."""
+    """The cells with their rates, the targets, the expected tokens that the rates reach, whether these are within the tolerance of every target, and the objective before each step."""
 
-    pull: dict[str, float]
+    rates: DataFrame | None
     target: dict[str, float]
     reached: dict[str, float]
     met: bool
-    steps: int
-
-    def rate(self, posterior: dict[str, Column]) -> Column:
-        return F.greatest(F.lit(0.0), reduce(add, [posterior[d] * x for d, x in self.pull.items()], F.lit(1.0)))
+    objective: list[float]
 
 
 def targets(there: dict[str, float], weights: dict[str, float]) -> dict[str, float]:
@@ -131,59 +126,61 @@ def targets(there: dict[str, float], weights: dict[str, float]) -> dict[str, flo
     return {d: share[d] * budget for d in DOMAINS}
 
 
-def fit_rates(cells: DataFrame, weights: dict[str, float], tolerance: float = 1e-4, steps: int = 60, ridge: float = 1e-7) -> Fit:
-    """Rates for ``cells`` (tokens, p_<domain>), at most ``CELLS`` rows, whose expected tokens come within ``tolerance`` of each target.
+#: Steps after which the rates are written and read again, so that their expression stays short.
+WRITTEN = 8
 
-    ``ridge`` weighs the distance of the rates from 1 against the squared gaps, so that targets out of reach still have one nearest solution.
-    """
-    p = np.array([f"p_{d}" for d in DOMAINS])
-    k = len(DOMAINS)
-
-    def at(pull: np.ndarray) -> tuple[float, np.ndarray, np.ndarray]:
-        """Sum of tokens * rate^2, the tokens reached and their curvature where rates are positive."""
-        rate = F.greatest(F.lit(0.0), reduce(add, [F.col(c) * float(x) for c, x in zip(p, pull, strict=True)], F.lit(1.0)))
-        mass = F.when(rate > 0, F.col("tokens").cast("double")).otherwise(0.0)
-        sums = [F.sum(F.col("tokens") * rate * rate), *[F.sum(F.col("tokens") * rate * F.col(c)) for c in p], *[F.sum(mass * F.col(a) * F.col(b)) for a in p for b in p]]
-        got = np.array([x or 0.0 for x in cells.agg(*[x.alias(f"x{i}") for i, x in enumerate(sums)]).first()])  # one row
-        return got[0], got[1 : k + 1], got[k + 1 :].reshape(k, k)
-
-    pull = np.zeros(k)
-    energy, reached, curve = at(pull)
+
+def fit_rates(cells: DataFrame, weights: dict[str, float], tolerance: float = 1e-4, steps: int = 60) -> Fit:
+    """Rates for ``cells`` (tokens, p_<domain>, ...), at most ``CELLS`` rows, whose expected tokens come within ``tolerance`` of each target, or as near as they can."""
+    names, k = [f"p_{d}" for d in DOMAINS], len(DOMAINS)
+    pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
+    mass = lambda *cs: F.sum(reduce(mul, cs, F.col("tokens").cast("double")))
+
+    def at(rated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens reached, and the curvature where rates are positive."""
+        free = (F.col("rate") > 0).cast("double")
+        r = rated.agg(*[mass(F.col("rate"), F.col(a)).alias(a) for a in names], *[mass(free, F.col(a), F.col(b)).alias(f"{a}_{b}") for a, b in pairs]).first()  # one row
+        got = {c: r[c] or 0.0 for c in r.asDict()}
+        return np.array([got[a] for a in names]), np.array([[got.get(f"{a}_{b}", got.get(f"{b}_{a}")) for b in names] for a in names]).reshape(k, k)
+
+    rated = materialize(cells.withColumn("rate", F.lit(1.0)))
+    reached, curve = at(rated)
     want = targets(dict(zip(DOMAINS, reached, strict=True)), weights)
-    goal = np.array([want[d] for d in DOMAINS])
-    soft = ridge * np.maximum(1.0, reached)
-    worth = lambda energy, pull: energy / 2 - goal @ pull + (soft * pull * pull).sum() / 2  # noqa: E731  convex in the pull
+    goal, scale = np.array([want[d] for d in DOMAINS]), np.maximum(1.0, reached)
+    half = np.sqrt(np.outer(scale, scale))
+    worth = lambda reached: float(((goal - reached) ** 2 / scale).sum() / 2)
     close = lambda reached: bool((np.abs(reached - goal) <= tolerance * np.maximum(1.0, goal)).all())
-    step = 0
-    while step < steps and not close(reached):
-        step += 1
-        gradient = reached - goal + soft * pull
-        move = np.linalg.solve(curve + np.diag(soft), gradient)
-        now, size = worth(energy, pull), 1.0
-        while True:
-            trial = pull - size * move
-            energy, reached, curve = at(trial)
-            if worth(energy, trial) <= now - 1e-4 * size * (gradient @ move) or size < 1e-6:
+    falling = [worth(reached)]
+    while len(falling) <= steps and not close(reached):
+        move = (np.linalg.pinv(curve / half, rcond=1e-9, hermitian=True) / half) @ (goal - reached)  # a direction without curvature moves no rate
+        size = 1.0
+        while size > 1e-4:
+            pull = reduce(add, [F.col(p) * float(x) for p, x in zip(names, size * move, strict=True)])
+            trial = rated.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") + pull))
+            there, bent = at(trial)
+            if worth(there) < falling[-1] * (1 - 1e-7):
                 break
             size /= 2
-        still, pull = np.abs(trial - pull).max() < 1e-9, trial
-        if still:
-            break
-    return Fit(dict(zip(DOMAINS, pull.tolist(), strict=True)), want, dict(zip(DOMAINS, reached.tolist(), strict=True)), close(reached), step)
+        else:
+            break  # as near as rates can come
+        rated, reached, curve = (materialize(trial) if len(falling) % WRITTEN == 0 else trial), there, bent
+        falling.append(worth(reached))
+    return Fit(rated, want, dict(zip(DOMAINS, reached.tolist(), strict=True)), close(reached), falling)
 
 
 def _rated(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int, keep: list[str]) -> tuple[DataFrame, Fit]:
     """``_keep`` (a struct of ``keep``), tokens, p_<domain>, rate and copies of every row; and the fit."""
     labelled = materialize(_labelled(labels))
     lists = word_lists(documents, labelled)
-    narrow = materialize(featured(documents, lists, ["doc_id"]).select("_keep.doc_id", "tokens", *BINS))
+    narrow = materialize(featured(documents, lists, ["doc_id"]).select("_keep.doc_id", "th", "tokens", *BINS))
     posterior, known = classifier(narrow, labelled)
-    cells = narrow.groupBy(*BINS).agg(F.sum("tokens").alias("tokens"))
-    cells = materialize(cells.select("tokens", *[p.alias(f"p_{d}") for d, p in posterior.items()]).coalesce(1))  # at most CELLS rows
-    fit = fit_rates(cells, weights) if known else Fit(dict.fromkeys(DOMAINS, 0.0), {}, {}, False, 0)
+    named = [p.alias(f"p_{d}") for d, p in posterior.items()]
+    cells = narrow.groupBy(*BINS).agg(F.sum("tokens").alias("tokens")).select(*BINS, "tokens", *named)
+    fit = fit_rates(materialize(cells), weights) if known else Fit(None, {}, {}, False, [])
     rows = narrow.withColumn("_keep", F.struct("doc_id")) if keep == ["doc_id"] else featured(documents, lists, keep)
-    rows = rows.select("_keep", "tokens", *[p.alias(f"p_{d}") for d, p in posterior.items()]).withColumn("rate", fit.rate({d: F.col(f"p_{d}") for d in DOMAINS}))
-    uniform = F.pmod(F.xxhash64(F.lit(seed), "_keep.doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    rows = rows.select("_keep", "th", "tokens", *BINS, *named)
+    rows = rows.join(F.broadcast(fit.rates.select(*BINS, "rate")), [*BINS], "left") if fit.rates is not None else rows.withColumn("rate", F.lit(1.0))  # at most CELLS rows
+    uniform = F.pmod(F.xxhash64(F.lit(seed), "_keep.doc_id", "th"), F.lit(1 << 30)) / float(1 << 30)
     return rows.withColumn("copies", F.greatest(F.lit(0), F.ceil(F.col("rate") - uniform)).cast("int")), fit
 
 
