@@ -8,8 +8,9 @@ all with a probability of ``MISSED`` at most; up to ``BUCKET`` texts are one buc
 
 Fingerprints linked by at most ``RADIUS`` bits form a group, of which the least spanning tree by differing bits is kept, and the edges to each member's ``NEAREST`` nearest: a few for each
 member, however large the group. Every edge is then confirmed on the whole sets, so no two texts are linked that have no chain of
-confirmed similarities. Components are those of ``simhash``. A link can be lost only where every way round it has an edge that is shorter in bits and yet below the similarity: at the threshold itself.
-Recall on pairs of similarity 0.8 and more is measured by ``tests/llm/test_similar.py``.
+confirmed similarities. Components are those of ``simhash``. What the refuted edges leave apart is searched again: each text outside its group's largest component is held against the nearest texts of
+other components, twice as many each time, until none has one within ``RADIUS`` that it was not held against. So every pair that a tile links is confirmed, refuted, or inside one component; groups that
+the first edges join cost nothing more.
 
 A bucket of over ``bucket_rows`` fingerprints (a very large group of near copies) is dealt out as pairs of parts, so no task holds it whole.
 
@@ -120,37 +121,69 @@ def spanning_tree(bits: np.ndarray, nearest: int = NEAREST, radius: int = RADIUS
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
-def _edges(bucket: np.ndarray, s: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
-    """(a, b): the edges of the spanning trees of each bucket's groups; ``bucket`` is sorted."""
-    cuts, found = np.flatnonzero(np.diff(bucket)) + 1, [np.empty((0, 2), np.int64)]
+def _groups(bucket: np.ndarray, s: np.ndarray, fp: np.ndarray) -> Iterator[np.ndarray]:
+    """The rows of each group of two or more that tiles link within a bucket, in the order of ``s``; ``bucket`` is sorted."""
+    cuts = np.flatnonzero(np.diff(bucket)) + 1
     for i, j in zip([0, *cuts], [*cuts, bucket.size], strict=True):
         if j - i > 1:
             label = tiled_components(fp[i:j], RADIUS)
             order = np.argsort(label, kind="stable")
-            ends = np.flatnonzero(np.diff(label[order])) + 1
-            for at in np.split(order, ends):
+            for at in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
                 if at.size > 1:
-                    at = at[np.argsort(s[i:j][at], kind="stable")]  # the same tree wherever the rows stand
-                    found.append(s[i:j][at[spanning_tree(fp[i:j][at])]])
-    pairs = np.concatenate(found)
-    return pa.RecordBatch.from_arrays([pa.array(pairs.min(axis=1)), pa.array(pairs.max(axis=1))], ["a", "b"])
+                    yield i + at[np.argsort(s[i:j][at], kind="stable")]  # the same order wherever the rows stand
 
 
-def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kept: tuple = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, BITS // 64), np.uint64))
-    for batch in batches:
-        fresh = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-        b, s, f = (np.concatenate([k, x]) for k, x in zip(kept, (batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False), fresh), strict=True))
-        cut = int(np.searchsorted(b, b[-1], side="left")) if b.size else 0  # the last bucket may go on in the next batch
-        if cut:
-            yield _edges(b[:cut], s[:cut], f[:cut])
-        kept = (b[cut:], s[cut:], f[cut:])
-    if kept[0].size:
-        yield _edges(*kept)
-
-
-def candidates(of: DataFrame, n: int, bucket_rows: int = 1 << 15) -> DataFrame:
-    """(a, b): the edges of the fingerprints ``of`` (s, fp) that tiles link, over all buckets."""
+def _pack(pairs: list[np.ndarray], more: int) -> pa.RecordBatch:
+    found = np.concatenate([np.empty((0, 2), np.int64), *pairs])
+    rows = np.concatenate([found, np.full((1, 2), -1)]) if more else found  # one row of -1 says that some text has more
+    return pa.RecordBatch.from_arrays([pa.array(rows.min(axis=1)), pa.array(rows.max(axis=1))], ["a", "b"])
+
+
+def _edges(bucket: np.ndarray, s: np.ndarray, fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+    """(a, b): the edges of the spanning trees of each bucket's groups, and those to nearest members."""
+    return _pack([s[at[spanning_tree(fp[at])]] for at in _groups(bucket, s, fp)], 0)
+
+
+def _across(nearest: int):
+    """A search for (a, b) of unlike components ``root`` within the radius: of each text outside a group's largest component the ``nearest`` ones."""
+
+    def find(bucket: np.ndarray, s: np.ndarray, fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
+        pairs, more = [], 0
+        for at in _groups(bucket, s, fp):
+            names, own, size = np.unique(root[at], return_inverse=True, return_counts=True)
+            if names.size == 1:
+                continue
+            bits = fp[at]
+            for x in np.flatnonzero(own != size.argmax()):
+                others = np.flatnonzero(own != own[x])
+                unlike = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int32)
+                close = others[np.lexsort((s[at][others], unlike))[: int((unlike <= RADIUS).sum())]]
+                more += close.size > nearest
+                pairs.append(np.stack([np.full(min(nearest, close.size), s[at[x]]), s[at[close[:nearest]]]], axis=1))
+        return _pack(pairs, more)
+
+    return find
+
+
+def _in_buckets(find):
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: tuple = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, BITS // 64), np.uint64), np.empty(0, np.int64))
+        for batch in batches:
+            fresh = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+            plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3)]
+            b, s, f, r = (np.concatenate([k, x]) for k, x in zip(kept, (plain[0], plain[1], fresh, plain[2]), strict=True))
+            cut = int(np.searchsorted(b, b[-1], side="left")) if b.size else 0  # the last bucket may go on in the next batch
+            if cut:
+                yield find(b[:cut], s[:cut], f[:cut], r[:cut])
+            kept = (b[cut:], s[cut:], f[cut:], r[cut:])
+        if kept[0].size:
+            yield find(*kept)
+
+    return solve
+
+
+def candidates(of: DataFrame, n: int, bucket_rows: int = 1 << 15, find=_edges) -> DataFrame:
+    """(a, b): what ``find`` makes of the fingerprints ``of`` (s, fp, root), over all buckets."""
     tables = plan(n)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -158,10 +191,10 @@ def candidates(of: DataFrame, n: int, bucket_rows: int = 1 << 15) -> DataFrame:
             bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.int64)
             for i, at in enumerate(tables):
                 bucket = bits[:, at] @ (np.int64(1) << np.arange(at.size)) + (np.int64(i) << 48)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), batch.column(0), batch.column(1)], ["bucket", "s", "fp"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", "s", "fp", "root"])
 
-    banded = of.select("s", "fp").mapInArrow(deal, "bucket long, s long, fp binary")
-    solve = lambda df: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_buckets, "a long, b long")
+    banded = of.select("s", "fp", "root").mapInArrow(deal, "bucket long, s long, fp binary, root long")
+    solve = lambda df: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_buckets(find), "a long, b long")
     if n <= bucket_rows:
         return solve(banded)
     # A bucket holds BUCKET fingerprints on average; larger ones than bucket_rows hold one group of near copies each, n * tables / bucket_rows at most.
@@ -173,15 +206,11 @@ def candidates(of: DataFrame, n: int, bucket_rows: int = 1 << 15) -> DataFrame:
     own = F.pmod(F.hash("s"), F.col("parts"))
     dealt = banded.join(large, "bucket").withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    return solve(whole).unionByName(solve(dealt.select(cell.alias("bucket"), "s", "fp")))
+    return solve(whole).unionByName(solve(dealt.select(cell.alias("bucket"), "s", "fp", "root")))
 
 
-def components(documents: DataFrame, bucket_rows: int = 1 << 15) -> DataFrame:
-    """doc_id, th (hash of the text) and component (a long) for every row of ``documents``."""
-    texts = documents.select(F.xxhash64("text").alias("th"), "text")
-    sketched = materialize(texts.mapInArrow(_sketches, "th long, s long, fp binary").dropDuplicates(["th"]))
-    of = materialize(sketched.filter("fp is not null").groupBy("s").agg(F.min("th").alias("th"), F.first("fp").alias("fp")))
-    pairs = materialize(candidates(of, of.count(), bucket_rows).distinct())
+def confirmed(pairs: DataFrame, texts: DataFrame, of: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose whole sets are similar enough."""
     ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s")))
     ends = materialize(ends.groupBy("s").agg(F.count(F.lit(1)).alias("n")))
     once = texts.mapInArrow(_once, "th long, text string")
@@ -191,8 +220,29 @@ def components(documents: DataFrame, bucket_rows: int = 1 << 15) -> DataFrame:
     for x in "ab":
         both = join_hot(both, sets.select(F.col("s").alias(x), "n", F.col("hashes").alias(f"h_{x}")), x, "n", total, share=1e-3)
     both = both.withColumn("same", F.size(F.array_intersect("h_a", "h_b")))
-    edges = materialize(both.filter(F.col("same") / (F.size("h_a") + F.size("h_b") - F.col("same")) >= SIMILARITY).select("a", "b"))
-    roots = connected_components(edges)
+    return materialize(both.filter(F.col("same") / (F.size("h_a") + F.size("h_b") - F.col("same")) >= SIMILARITY).select("a", "b"))
+
+
+def components(documents: DataFrame, bucket_rows: int = 1 << 15) -> DataFrame:
+    """doc_id, th (hash of the text) and component (a long) for every row of ``documents``."""
+    texts = documents.select(F.xxhash64("text").alias("th"), "text")
+    sketched = materialize(texts.mapInArrow(_sketches, "th long, s long, fp binary").dropDuplicates(["th"]))
+    of = materialize(sketched.filter("fp is not null").groupBy("s").agg(F.min("th").alias("th"), F.first("fp").alias("fp")))
+    n, rooted = of.count(), of.withColumn("root", F.col("s"))
+    checked = materialize(candidates(rooted, n, bucket_rows).distinct())
+    edges = confirmed(checked, texts, of)
+    roots, nearest = materialize(connected_components(edges)), 2 * NEAREST
+    while True:  # until every pair within the radius is confirmed, refuted or inside a component
+        rooted = materialize(of.join(roots, F.col("s") == F.col("node"), "left").select("s", "fp", F.coalesce("root", "s").alias("root")))
+        found = materialize(candidates(rooted, n, bucket_rows, _across(nearest)).distinct())
+        more, fresh = found.filter("a = -1 and b = -1").count(), materialize(found.filter("a <> -1 or b <> -1").join(checked, ["a", "b"], "left_anti"))
+        new = confirmed(fresh, texts, of) if fresh.take(1) else None
+        if new is not None and new.take(1):
+            edges = materialize(edges.unionByName(new))
+            roots = materialize(connected_components(edges))
+        elif not more:
+            break
+        checked, nearest = materialize(checked.unionByName(fresh)), 2 * nearest
     counted = documents.groupBy(F.xxhash64("text").alias("th")).agg(F.count(F.lit(1)).alias("n"))
     keyed = sketched.join(roots, F.col("s") == F.col("node"), "left").select("th", F.coalesce("root", "s").alias("s"))
     rows = documents.select("doc_id", F.xxhash64("text").alias("th"))

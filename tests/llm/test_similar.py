@@ -94,3 +94,31 @@ def test_many_buckets_lose_no_link(spark, monkeypatch):
     for bucket_rows in (1 << 15, 6):
         got = {r["doc_id"]: r["component"] for r in similar.components(docs, bucket_rows).collect()}
         assert len(similar.plan(len(texts))) > 10 and sum(got[i] == got[j] for i, j in near) == len(near)
+
+
+def crowded(seed, changes=(2, 5)):
+    """Three groups of 80 texts of 100 words, one to three or five words changed in each: most pairs of a group lie below the similarity, many just above."""
+    rng, texts = random.Random(seed), []
+    for _ in range(3):
+        base = [f"w{rng.randrange(5000)}" for _ in range(100)]
+        for _ in range(80):
+            copy = list(base)
+            for at in rng.sample(range(100), rng.randint(*changes)):
+                copy[at] = f"w{rng.randrange(5000)}"
+            texts.append(" ".join(copy))
+    return texts
+
+
+def test_no_link_is_lost_in_crowded_groups(spark):
+    """All tables in one call, told apart by words of their own, so that no link crosses them."""
+    tables = [[" ".join(f"{w}t{k}" for w in t.split()) for t in crowded(100 + k, (1, 3) if k % 2 else (1, 5))] for k in range(8)]
+    texts = [t for table in tables for t in table]
+    got = {r["doc_id"]: r["component"] for r in similar.components(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    pairs = 0
+    for k, table in enumerate(tables):
+        near, root = brute(table)
+        pairs += len(near)
+        own = {i: got[240 * k + i] for i in range(240)}
+        assert all(own[i] == own[j] for i, j in near)
+        assert grouped(own.items()) == grouped(enumerate(root))
+    assert pairs > 20
