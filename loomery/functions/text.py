@@ -131,9 +131,19 @@ def split_native(line: Column) -> tuple[Column, Column]:
     return F.when(good, user), F.when(good, assistant)
 
 
-def sanitize_reply(text: Column) -> Column:
-    """Cut at a leaked turn, and strip unfinished markers at the end."""
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?s)User:.*$", ""), r"(?:\s*(?:User|Use|Us|Assistant|Assist):?)+$", ""))
+#: What a turn's marker looks like when generation stops within it.
+PARTIAL_MARKERS = ("User:", "Assistant:")
+
+
+def sanitize_reply(text: Column, stops: tuple[str, ...] = ()) -> Column:
+    """Cut at a leaked user turn and at the first of the ``stops``; then unfinished markers and blanks at the end go, until none is left."""
+    cut = F.regexp_replace(text, r"(?s)User:.*$", "")
+    for s in stops:
+        at = F.instr(cut, s)
+        cut = F.when(at > 0, F.substr(cut, F.lit(1), at - 1)).otherwise(cut)
+    # Every proper beginning of two letters or more, and the whole markers; one repeated group strips any number of them.
+    tails = sorted({m[:n] for m in PARTIAL_MARKERS for n in range(2, len(m) + 1)}, key=len, reverse=True)
+    return F.trim(F.regexp_replace(cut, rf"(?:(?:^|\s+)(?:{'|'.join(tails)}))+\s*$", ""))
 
 
 def first_sentences(text: Column, n: int = 2) -> Column:

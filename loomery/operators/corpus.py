@@ -19,12 +19,12 @@ def hash_order(seed: str, key: Column) -> Column:
 
 
 def profile(docs: DataFrame) -> DataFrame:
-    """A1: documents, words, characters of the space-joined text, words per document, mean word length. One aggregate."""
+    """A1: documents, words, characters of the space-joined text and how many of them are distinct, words per document, mean word length."""
     n = F.size(words(F.col("text")))
     letters = F.length(F.regexp_replace("text", T.BLANKS, ""))
     return docs.select(n.alias("w"), F.length("text").alias("c"), letters.alias("l")).agg(
         F.count(F.lit(1)).alias("docs"), F.sum("w").alias("words"), (F.sum("c") + F.count(F.lit(1)) - 1).alias("chars"), F.min("w").alias("min_words"), F.max("w").alias("max_words"), F.round(F.avg("w"), 6).alias("avg_words"), F.round(F.sum("l") / F.sum("w"), 6).alias("avg_word_len"),
-    )
+    ).withColumn("distinct_chars", F.lit(char_vocabulary(docs).count()))
 
 
 def char_vocabulary(docs: DataFrame) -> DataFrame:

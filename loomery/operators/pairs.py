@@ -80,10 +80,11 @@ def build_index(facts: DataFrame, quarantine: DataFrame | None = None) -> DataFr
     return first.select("key", "a.f.ord", "a.f.user", "a.f.assistant", rejected.alias("rejected"))
 
 
-def lookup(queries: DataFrame, index: DataFrame) -> DataFrame:
-    """Queries (qid, typed) with the fact of the same key, if any."""
+def lookup(queries: DataFrame, index: DataFrame, source: str | None = None) -> DataFrame:
+    """Queries (qid, typed) with the fact of the same key, if any; with ``source`` only facts of that ``source``."""
+    facts = index if source is None else index.filter(F.col("source") == source)
     keyed = queries.withColumn("key", T.question_key(F.col("typed")))
-    return keyed.join(index.select("key", "assistant"), "key", "left").select("qid", "key", "assistant")
+    return keyed.join(facts.select("key", "assistant"), "key", "left").select("qid", "key", "assistant")
 
 
 def resolve(queries: DataFrame, index: DataFrame, aliases: DataFrame, quarantine: DataFrame) -> DataFrame:
@@ -136,6 +137,13 @@ def shared_answers(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy(T.answer_key(F.col("assistant")).alias("answer")).agg(F.count_distinct(T.question_key(F.col("user"))).alias("questions")).filter("questions >= 2")
 
 
+def sharing_questions(pairs: DataFrame) -> DataFrame:
+    """(answer, question): a row for each question of a shared answer, so an answer of any number of questions is in no one row."""
+    each = pairs.select(T.answer_key(F.col("assistant")).alias("answer"), T.question_key(F.col("user")).alias("question")).distinct()
+    shared = each.groupBy("answer").agg(F.count(F.lit(1)).alias("n")).filter("n >= 2").drop("n")
+    return each.join(shared, "answer")
+
+
 def repeat(pairs: DataFrame, times: int | Column) -> DataFrame:
     """Each pair ``times`` times, with its number; after any shuffle, so it never inflates one."""
     n = F.lit(times) if isinstance(times, int) else times

@@ -101,15 +101,6 @@ def dense_windows(n_tokens: int | Column, max_len: int, stride: int) -> Column:
     return F.when(n > max_len, F.sequence(F.lit(0).cast("long"), (n - max_len - 1).cast("long"), F.lit(stride).cast("long")))
 
 
-def pack_problems(spans: DataFrame, ids: DataFrame) -> DataFrame:
-    """Problems of a pack by type: spans (ord, start, stop) that do not abut, do not cover 0 to the end, or whose tokens (ord, first, last, n) do not start and end right."""
-    w = W.orderBy("ord")  # spans of one shard
-    rows = spans.join(ids, "ord", "left").withColumn("before", F.coalesce(F.lag("stop").over(w), F.lit(0)))
-    kinds = {"gap": F.col("start") != F.col("before"), "empty": F.col("stop") <= F.col("start"), "length": F.col("n").isNull() | (F.col("n") != F.col("stop") - F.col("start")), "sos": F.coalesce(~F.col("starts"), F.lit(True)), "eos": F.coalesce(~F.col("ends"), F.lit(True))}
-    found = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in kinds.items()]))
-    return rows.select(F.explode(found).alias("problem")).groupBy("problem").agg(F.count(F.lit(1)).alias("n"))
-
-
 def expectation_mismatches(found: DataFrame, expected: dict[str, object]) -> DataFrame:
     """(field, expected, got) of a one-row manifest's fields that differ."""
     rows = found.select(F.explode(F.array(*[F.struct(F.lit(k).alias("field"), F.lit(str(v)).alias("expected"), F.col(k).cast("string").alias("got")) for k, v in expected.items()])).alias("x")).select("x.*")

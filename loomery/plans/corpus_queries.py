@@ -34,7 +34,7 @@ WORDS = r"list_filter(regexp_split_to_array(text, '[ \t\n\r\f\x0B]+'), lambda w:
 NTOK = f"len({WORDS})"
 
 
-@query(f"select count(*) as docs, sum(w) as words, sum(c) + count(*) - 1 as chars, min(w) as min_words, max(w) as max_words, round(avg(w), 6) as avg_words, round(sum(l) / sum(w), 6) as avg_word_len from (select {NTOK} as w, length(text) as c, length(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', '', 'g')) as l from documents)")
+@query(f"select count(*) as docs, sum(w) as words, sum(c) + count(*) - 1 as chars, min(w) as min_words, max(w) as max_words, round(avg(w), 6) as avg_words, round(sum(l) / sum(w), 6) as avg_word_len, (select count(*) from (select distinct ch from (select unnest(string_split(text, '')) as ch from documents union all select ' ') where ch <> '')) as distinct_chars from (select {NTOK} as w, length(text) as c, length(regexp_replace(text, '[ \\t\\n\\r\\f\\x0B]+', '', 'g')) as l from documents)")
 def corpus_profile(spark: SparkSession, d: str) -> DataFrame:
     return C.profile(docs(spark, d))
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import corpus_queries, evaluation_queries, export_queries, fact_queries, metric_queries, pack_queries, related_queries, run_queries, store_queries, stream_queries
+from .plans import check_queries, corpus_queries, evaluation_queries, export_queries, fact_queries, metric_queries, pack_queries, related_queries, run_queries, store_queries, stream_queries
 
-MODULES = (fact_queries, corpus_queries, run_queries, evaluation_queries, related_queries, pack_queries, store_queries, stream_queries, metric_queries, export_queries)
+MODULES = (fact_queries, corpus_queries, run_queries, evaluation_queries, related_queries, pack_queries, store_queries, stream_queries, metric_queries, export_queries, check_queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
