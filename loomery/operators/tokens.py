@@ -10,9 +10,10 @@ import json
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import count
+from itertools import chain, count
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -89,9 +90,25 @@ def byte_letters() -> list[str]:
     return [chr(b if b in shown else next(spare)) for b in range(256)]
 
 
+#: Up to so many letters a word's least pair is found by looking at all; a rank that no pair has.
+SHORT_WORD, _NEVER = 32, 1 << 60
+
+
 def pieces_of(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     """T3 for one word: the lowest-ranked adjacent pair is merged, the leftmost first, until none is known. A heap keeps long words cheap."""
     parts, n, heap = list(word), len(word), []
+    if n <= SHORT_WORD:
+        rank = ranks.get
+        pair = [rank(p, _NEVER) for p in zip(parts, parts[1:], strict=False)]
+        while pair and (least := min(pair)) < _NEVER:
+            i = pair.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del pair[i]
+            if i:
+                pair[i - 1] = rank((parts[i - 1], parts[i]), _NEVER)
+            if i < len(pair):
+                pair[i] = rank((parts[i], parts[i + 1]), _NEVER)
+        return parts
     after, before = list(range(1, n + 1)), list(range(-1, n - 1))
 
     def offer(i: int) -> None:
@@ -130,8 +147,18 @@ def encode(docs: DataFrame, merges: Merges, cached: int = 1 << 18) -> DataFrame:
 
         known = lru_cache(maxsize=cached)(ids_of)
         for b in batches:
-            rows = [[i for w in words for i in (known(w) if len(w) < 64 else ids_of(w))] for words in b.column("words").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_words", "n_chars")), pa.array(rows, pa.list_(pa.int32()))], ["doc_id", "n_words", "n_chars", "ids"])
+            words = b.column("words")
+            coded = words.flatten().dictionary_encode()  # each distinct word of the batch is merged once
+            at = coded.indices.to_numpy(zero_copy_only=False)
+            made = [known(w) if len(w) < 64 else ids_of(w) for w in coded.dictionary.to_pylist()]
+            size = np.fromiter(map(len, made), np.int64, len(made))
+            flat, first = np.fromiter(chain.from_iterable(made), np.int32, int(size.sum())), np.cumsum(size) - size
+            each = size[at]
+            stops = np.cumsum(each)
+            found = flat[np.repeat(first[at] - stops + each, each) + np.arange(int(each.sum()))]
+            places = words.offsets.to_numpy()
+            ids_of_rows = pa.ListArray.from_arrays(pa.array(np.append(0, stops)[places - places[0]], pa.int32()), pa.array(found, pa.int32()))
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("doc_id", "n_words", "n_chars")), ids_of_rows], ["doc_id", "n_words", "n_chars", "ids"])
 
     rows = docs.select(F.col("doc_id").cast("long"), F.size(parts).cast("long").alias("n_words"), F.coalesce(F.char_length("text"), F.lit(0)).cast("long").alias("n_chars"), parts.alias("words"))
     return rows.mapInArrow(merge, "doc_id long, n_words long, n_chars long, ids array<int>")
