@@ -34,6 +34,8 @@ from .simhash import connected_components, pieces, tiled_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS, BUCKET, MISSED, NEAREST = 256, 76, 4096, 1e-4, 6
+#: Texts of other components that one is held against at first; twice as many each time that is not all.
+APART = 32
 #: Odd factors that spread a shingle's hash over the words of the fingerprint.
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -231,18 +233,17 @@ def components(documents: DataFrame, bucket_rows: int = 1 << 15) -> DataFrame:
     n, rooted = of.count(), of.withColumn("root", F.col("s"))
     checked = materialize(candidates(rooted, n, bucket_rows).distinct())
     edges = confirmed(checked, texts, of)
-    roots, nearest = materialize(connected_components(edges)), 2 * NEAREST
-    while True:  # until every pair within the radius is confirmed, refuted or inside a component
+    roots, nearest, more = materialize(connected_components(edges)), APART, True
+    while more:  # then every pair within the radius is confirmed, refuted or inside a component
         rooted = materialize(of.join(roots, F.col("s") == F.col("node"), "left").select("s", "fp", F.coalesce("root", "s").alias("root")))
         found = materialize(candidates(rooted, n, bucket_rows, _across(nearest)).distinct())
-        more, fresh = found.filter("a = -1 and b = -1").count(), materialize(found.filter("a <> -1 or b <> -1").join(checked, ["a", "b"], "left_anti"))
+        more = bool(found.filter("a = -1 and b = -1").take(1))  # some text has more near ones than it was held against
+        fresh = materialize(found.filter("a <> -1 or b <> -1").join(checked, ["a", "b"], "left_anti"))
         new = confirmed(fresh, texts, of) if fresh.take(1) else None
         if new is not None and new.take(1):
             edges = materialize(edges.unionByName(new))
             roots = materialize(connected_components(edges))
-        elif not more:
-            break
-        checked, nearest = materialize(checked.unionByName(fresh)), 2 * nearest
+        checked, nearest = materialize(checked.unionByName(fresh)) if more else checked, 2 * nearest
     counted = documents.groupBy(F.xxhash64("text").alias("th")).agg(F.count(F.lit(1)).alias("n"))
     keyed = sketched.join(roots, F.col("s") == F.col("node"), "left").select("th", F.coalesce("root", "s").alias("s"))
     rows = documents.select("doc_id", F.xxhash64("text").alias("th"))
