@@ -3,10 +3,10 @@
 Domains come from a labelled table: ``toxic``, ``low`` (quality 0) and ``clean``. A naive Bayes classifier over binned text
 features (length, symbols, capitals, distinct words, and hits of a learned word list for each domain) gives
 every document posteriors. Nonnegative rates of documents are then fitted by projected gradient to the squared gaps between the expected tokens of each
-domain, sum of rate * tokens * posterior, and its target, which keeps the clean tokens whole. Rates start at 1. A step follows the gradient, scaled by the inverse
-curvature of the rates that are positive: it adds to every rate its posteriors' share of the scaled gaps and sets what falls below 0 to 0. A step is halved until the objective falls.
-As documents of equal bins have equal rates throughout, the rates that are stepped are those of cells of such documents, at most ``CELLS``
-however many documents; they lie in partitions, and a step's gaps and curvature (nine numbers) are one distributed aggregate.
+domain, sum of rate * tokens * posterior, and its target, which keeps the clean tokens whole. The projection is lazy: steps are added up before it, and a rate is max(0, 1 + the steps so far). (Projected
+after each step, the fit stalls far from the targets where many rates fall to 0.) So of all rates that reach the targets these are the nearest to 1. A step adds to every document its posteriors' share of the gaps, scaled
+by the inverse curvature of the rates that are positive; several lengths are tried together, and the one of least objective is taken, which falls with each step.
+Documents of equal bins have equal rates throughout, so a step is one distributed aggregate (the tokens reached and their curvature) over cells of such documents, at most ``CELLS`` however many documents.
 A document's copies are its rate, rounded up or down by a seeded uniform of its id and text.
 
 Word lists are fitted on at most about ``sample`` labelled documents; the counts of the classifier, the cells and totals cover all.
@@ -104,14 +104,17 @@ def classifier(features: DataFrame, labelled: DataFrame) -> tuple[dict[str, Colu
 
 @dataclass(frozen=True)
 class Fit:
-    """The cells with their rates, the targets, the expected tokens that the rates reach, whether these are within the tolerance of every target, and the objective before each step."""
+    """The steps' sum for each domain, the targets, the expected tokens that the rates reach, whether these are within the tolerance of every target, and the objective before each step."""
 
-    rates: DataFrame | None
+    pull: dict[str, float]
     target: dict[str, float]
     reached: dict[str, float]
     met: bool
     objective: list[float]
 
+    def rate(self, posterior: dict[str, Column]) -> Column:
+        return F.greatest(F.lit(0.0), reduce(add, [posterior[d] * x for d, x in self.pull.items()], F.lit(1.0)))
+
 
 def targets(there: dict[str, float], weights: dict[str, float]) -> dict[str, float]:
     """Tokens wanted of each domain: so many that the clean target is all expected clean tokens.
@@ -126,46 +129,47 @@ def targets(there: dict[str, float], weights: dict[str, float]) -> dict[str, flo
     return {d: share[d] * budget for d in DOMAINS}
 
 
-#: Steps after which the rates are written and read again, so that their expression stays short.
-WRITTEN = 8
+#: The lengths of a step that are tried together.
+LENGTHS = (1.0, 0.5, 0.25, 0.1, 0.03, 0.01, 0.001)
+
 
+def fit_rates(cells: DataFrame, weights: dict[str, float], tolerance: float = 1e-4, steps: int = 60, ridge: float = 1e-9) -> Fit:
+    """Rates for ``cells`` (tokens, p_<domain>), at most ``CELLS`` rows, whose expected tokens come within ``tolerance`` of each target.
 
-def fit_rates(cells: DataFrame, weights: dict[str, float], tolerance: float = 1e-4, steps: int = 60) -> Fit:
-    """Rates for ``cells`` (tokens, p_<domain>, ...), at most ``CELLS`` rows, whose expected tokens come within ``tolerance`` of each target, or as near as they can."""
+    ``ridge`` weighs the distance of the rates from 1 against the squared gaps, so that targets out of reach still have one nearest solution.
+    """
     names, k = [f"p_{d}" for d in DOMAINS], len(DOMAINS)
     pairs = [(a, b) for i, a in enumerate(names) for b in names[i:]]
     mass = lambda *cs: F.sum(reduce(mul, cs, F.col("tokens").cast("double")))
 
-    def at(rated: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        """The tokens reached, and the curvature where rates are positive."""
-        free = (F.col("rate") > 0).cast("double")
-        r = rated.agg(*[mass(F.col("rate"), F.col(a)).alias(a) for a in names], *[mass(free, F.col(a), F.col(b)).alias(f"{a}_{b}") for a, b in pairs]).first()  # one row
-        got = {c: r[c] or 0.0 for c in r.asDict()}
-        return np.array([got[a] for a in names]), np.array([[got.get(f"{a}_{b}", got.get(f"{b}_{a}")) for b in names] for a in names]).reshape(k, k)
-
-    rated = materialize(cells.withColumn("rate", F.lit(1.0)))
-    reached, curve = at(rated)
+    def at(pulls: list[np.ndarray]) -> list[tuple[float, np.ndarray, np.ndarray]]:
+        """For each sum of steps the tokens * rate^2, the tokens reached, and their curvature where rates are positive. The sums are data, so all steps share their generated code."""
+        tried = cells.select("tokens", *names, F.posexplode(F.lit([x.tolist() for x in pulls])).alias("i", "pull"))
+        rate, free = F.col("rate"), (F.col("rate") > 0).cast("double")
+        tried = tried.withColumn("rate", F.greatest(F.lit(0.0), reduce(add, [F.col(c) * F.get("pull", F.lit(j)) for j, c in enumerate(names)], F.lit(1.0))))
+        rows = tried.groupBy("i").agg(mass(rate, rate).alias("energy"), *[mass(rate, F.col(a)).alias(a) for a in names], *[mass(free, F.col(a), F.col(b)).alias(f"{a}_{b}") for a, b in pairs]).collect()  # a row for each
+        got = {r["i"]: {c: x or 0.0 for c, x in r.asDict().items()} for r in rows}
+        none = dict.fromkeys(["energy", *names, *[f"{a}_{b}" for a, b in pairs]], 0.0)
+        each = [got.get(i, none) for i in range(len(pulls))]
+        return [(r["energy"], np.array([r[a] for a in names]), np.array([[r.get(f"{a}_{b}", r.get(f"{b}_{a}")) for b in names] for a in names])) for r in each]
+
+    pull = np.zeros(k)
+    energy, reached, curve = at([pull])[0]
     want = targets(dict(zip(DOMAINS, reached, strict=True)), weights)
-    goal, scale = np.array([want[d] for d in DOMAINS]), np.maximum(1.0, reached)
-    half = np.sqrt(np.outer(scale, scale))
-    worth = lambda reached: float(((goal - reached) ** 2 / scale).sum() / 2)
+    goal, soft = np.array([want[d] for d in DOMAINS]), ridge * np.maximum(1.0, reached)
+    worth = lambda energy, pull: float(energy / 2 - goal @ pull + (soft * pull * pull).sum() / 2)  # noqa: E731  convex; its gradient is the gaps
     close = lambda reached: bool((np.abs(reached - goal) <= tolerance * np.maximum(1.0, goal)).all())
-    falling = [worth(reached)]
+    falling = [worth(energy, pull)]
     while len(falling) <= steps and not close(reached):
-        move = (np.linalg.pinv(curve / half, rcond=1e-9, hermitian=True) / half) @ (goal - reached)  # a direction without curvature moves no rate
-        size = 1.0
-        while size > 1e-4:
-            pull = reduce(add, [F.col(p) * float(x) for p, x in zip(names, size * move, strict=True)])
-            trial = rated.withColumn("rate", F.greatest(F.lit(0.0), F.col("rate") + pull))
-            there, bent = at(trial)
-            if worth(there) < falling[-1] * (1 - 1e-7):
-                break
-            size /= 2
-        else:
+        move = np.linalg.solve(curve + np.diag(soft), goal - reached - soft * pull)
+        pulls = [pull + size * move for size in LENGTHS]
+        found = at(pulls)
+        best = min(range(len(pulls)), key=lambda i: worth(found[i][0], pulls[i]))
+        if worth(found[best][0], pulls[best]) >= falling[-1]:
             break  # as near as rates can come
-        rated, reached, curve = (materialize(trial) if len(falling) % WRITTEN == 0 else trial), there, bent
-        falling.append(worth(reached))
-    return Fit(rated, want, dict(zip(DOMAINS, reached.tolist(), strict=True)), close(reached), falling)
+        pull, (energy, reached, curve) = pulls[best], found[best]
+        falling.append(worth(energy, pull))
+    return Fit(dict(zip(DOMAINS, pull.tolist(), strict=True)), want, dict(zip(DOMAINS, reached.tolist(), strict=True)), close(reached), falling)
 
 
 def _rated(documents: DataFrame, labels: DataFrame, weights: dict[str, float], seed: int, keep: list[str]) -> tuple[DataFrame, Fit]:
@@ -175,11 +179,10 @@ def _rated(documents: DataFrame, labels: DataFrame, weights: dict[str, float], s
     narrow = materialize(featured(documents, lists, ["doc_id"]).select("_keep.doc_id", "th", "tokens", *BINS))
     posterior, known = classifier(narrow, labelled)
     named = [p.alias(f"p_{d}") for d, p in posterior.items()]
-    cells = narrow.groupBy(*BINS).agg(F.sum("tokens").alias("tokens")).select(*BINS, "tokens", *named)
-    fit = fit_rates(materialize(cells), weights) if known else Fit(None, {}, {}, False, [])
+    cells = narrow.groupBy(*BINS).agg(F.sum("tokens").alias("tokens")).select("tokens", *named)
+    fit = fit_rates(materialize(cells), weights) if known else Fit(dict.fromkeys(DOMAINS, 0.0), {}, {}, False, [])
     rows = narrow.withColumn("_keep", F.struct("doc_id")) if keep == ["doc_id"] else featured(documents, lists, keep)
-    rows = rows.select("_keep", "th", "tokens", *BINS, *named)
-    rows = rows.join(F.broadcast(fit.rates.select(*BINS, "rate")), [*BINS], "left") if fit.rates is not None else rows.withColumn("rate", F.lit(1.0))  # at most CELLS rows
+    rows = rows.select("_keep", "th", "tokens", *named).withColumn("rate", fit.rate({d: F.col(f"p_{d}") for d in DOMAINS}))
     uniform = F.pmod(F.xxhash64(F.lit(seed), "_keep.doc_id", "th"), F.lit(1 << 30)) / float(1 << 30)
     return rows.withColumn("copies", F.greatest(F.lit(0), F.ceil(F.col("rate") - uniform)).cast("int")), fit
 
