@@ -460,3 +460,14 @@ def test_secrets_held_out(spark):
     got = secrets.quality(secrets.scan(docs, learn=~held).filter(held))
     print(got)
     assert got["precision_after"] >= 0.95 and got["recall_after"] >= 0.95 and got["precision_before"] < 0.9
+
+
+def test_toxicity_learns_from_every_row(spark):
+    """A mark that only the rows of one rare group show, of texts beyond any length, is learned; parts are averaged the same in any order of the rows."""
+    rows = [(i, ("filler words " * 30_000 if i % 40 == 0 else "calm words ") + ("rarely" if i % 40 == 0 else "usual"), int(i % 40 == 0)) for i in range(2400)]
+    docs = spark.createDataFrame([r[:2] for r in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, toxic int")
+    one, two = (toxicity.train(d, labels, F.lit(True), epochs=2, part_rows=600) for d in (docs, docs.orderBy(F.desc("doc_id")).repartition(3)))
+    assert all((a == b).all() for a, b in zip((one.embed, one.out, *one.filters), (two.embed, two.out, *two.filters), strict=True)) and one.thresholds == two.thresholds
+    scores = {r["doc_id"]: r["score"] >= 0.5 for r in toxicity.predict(docs, one).collect()}
+    assert sum(scores[i] == bool(t) for i, _, t in rows) >= 0.99 * len(rows)
