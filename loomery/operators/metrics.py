@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from . import runs as R
 from . import scan as S
@@ -32,14 +33,21 @@ def number(raw: Column) -> Column:
 
 
 def parse_log(lines: DataFrame) -> DataFrame:
-    """(the other columns, step, total, metrics) of the lines that name a step; of a repeated key the last counts."""
-    found = F.regexp_extract_all("line", F.lit(r"step=(\d+)/(\d+)"), F.lit(1))
-    total = F.regexp_extract("line", r"step=\d+/(\d+)", 1)
-    keys, values = (F.reverse(F.regexp_extract_all("line", F.lit(r"([a-zA-Z0-9_/]+)=([^\s]+)"), F.lit(i))) for i in (1, 2))
-    rows = lines.filter(F.size(found) > 0).withColumns({"step": F.get(found, F.lit(0)).try_cast("long"), "total": F.nullif(total, F.lit("")).try_cast("long"), "_k": keys, "_v": values})
-    names = F.filter(F.array_distinct("_k"), lambda k: k != "step")
-    metrics = F.map_from_arrays(names, F.transform(names, lambda k: number(F.get("_v", (F.array_position("_k", k) - 1).cast("int")))))
-    return rows.select(*[c for c in lines.columns if c != "line"], "step", "total", metrics.alias("metrics"))
+    """(the other columns, step, total, metrics) of the lines that name a step; of a repeated key the last counts.
+
+    Each step is a projection of its own, so that a line is matched once and a value is read once.
+    """
+    own = [c for c in lines.columns if c != "line"]
+    step, total = (F.regexp_extract("line", r"step=(\d+)/(\d+)", i) for i in (1, 2))
+    rows = lines.filter(F.rlike("line", F.lit(r"step=\d+/\d"))).select(*own, step.try_cast("long").alias("step"), total.try_cast("long").alias("total"), F.regexp_extract_all("line", F.lit(r"[a-zA-Z0-9_/]+=[^\s]+"), F.lit(0)).alias("_p"))
+    # Pairs by place: the name before the first "=", the value without trailing commas; texts that are no number are null.
+    pairs = F.transform("_p", lambda p: F.struct(F.substring_index(p, "=", 1).alias("k"), F.regexp_replace(F.substr(p, F.instr(p, "=") + 1), ",+$", "").try_cast("double").alias("v")))
+    rows = rows.select(*own, "step", "total", pairs.alias("_p"))
+    rows = rows.select(*own, "step", "total", F.reverse(F.filter("_p", lambda p: p["k"] != "step")).alias("_p"))
+    rows = rows.select(*own, "step", "total", "_p", F.col("_p.k").alias("_k"))
+    last = F.filter("_p", lambda p, i: F.array_position("_k", p["k"]) == i + 1)
+    finite = lambda p: F.struct(p["k"].alias("k"), F.when(F.abs(p["v"]) < float("inf"), p["v"]).alias("v"))  # noqa: E731  # a NaN is above all
+    return S.once(rows.select(*own, "step", "total", F.map_from_entries(F.transform(last, finite)).alias("metrics")))
 
 
 def metric(metrics: Column, name: str) -> Column:
@@ -125,11 +133,20 @@ def session_clocks(rows: DataFrame, now: Column) -> DataFrame:
     seconds old) they are moved on by the line's age up to ``CLOCK_SLACK``. Without them the wall time and the steps of the session count.
     """
     seconds = lambda c: c.cast("timestamp").cast("double")
-    written = rows.groupBy("file").agg(F.max(seconds(F.col("ts"))).alias("written"))
-    known = R.segments(rows.filter(loss_of(F.col("metrics")).isNotNull()), gap=1 << 60)
-    m = F.col("metrics")
-    pick = F.struct(seconds(F.col("ts")).alias("t"), "step", "total", *[F.try_element_at(m, F.lit(k)).alias(k) for k in ("elapsed_s", "eta_s", "step_ms")])
-    per = R.latest_segment(known).groupBy("file").agg(F.min_by(pick, "ord").alias("a"), F.max_by(pick, "ord").alias("b")).join(written, "file")
+    m, w, known = F.col("metrics"), S.local(["file"]), F.col("known")
+    clocks = [F.try_element_at(m, F.lit(k)).alias(k) for k in ("elapsed_s", "eta_s", "step_ms")]
+    r = S.once(S.ranged(rows).select("file", "_range", "ord", seconds(F.col("ts")).alias("t"), "step", "total", *clocks, loss_of(m).isNotNull().alias("known")))
+    # Rows without a loss only say when the file was written. One shuffle: ranges are told apart by a row of summary each.
+    before = F.last(F.when(known, F.struct("step")), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, -1))["step"]
+    r = r.withColumn("cut", F.coalesce((known & (F.col("step") < before)).cast("int"), F.lit(0))).withColumn("inner", F.sum("cut").over(w.rowsBetween(W.unboundedPreceding, 0)))
+    pick, at = F.struct("t", "step", "total", "elapsed_s", "eta_s", "step_ms"), F.when(known, F.col("ord"))
+    per = r.groupBy("file", "_range").agg(
+        F.max("t").alias("written"), F.sum("cut").alias("cuts"), F.count(at).alias("n"), F.min_by("step", at).alias("low"), F.max_by("step", at).alias("high"), F.min_by(pick, F.when(known, F.struct(-F.col("inner"), "ord"))).alias("a"), F.max_by(pick, at).alias("b"),
+    )
+    of_file = W.partitionBy("file").orderBy("_range")  # a row for each range
+    ends = per.filter("n > 0").withColumn("fell", F.coalesce(F.col("low") < F.lag("high").over(of_file), F.lit(False)) | (F.col("cuts") > 0) | (F.row_number().over(of_file) == 1))
+    session = ends.groupBy("file").agg(F.max_by("a", F.when(F.col("fell"), F.col("_range"))).alias("a"), F.max_by("b", "_range").alias("b"))
+    per = session.join(per.groupBy("file").agg(F.max("written").alias("written")), "file")
     age = seconds(now) - F.col("b.t")
     live = (seconds(now) - F.col("written") < LIVE_AGE) & age.between(0.0, CLOCK_SLACK)
     on = F.when(live, age).otherwise(0.0)

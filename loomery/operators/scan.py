@@ -40,6 +40,11 @@ def ranged(rows: DataFrame, by: str = "ord") -> DataFrame:
     return rows if "_range" in rows.columns else in_ranges(rows, by)
 
 
+def once(rows: DataFrame) -> DataFrame:
+    """``rows`` whose columns are computed once: a filter on a generated column is not written out again, with all that it is made of, below it."""
+    return rows.select(F.inline(F.array(F.struct(*rows.columns))))
+
+
 def local(keys: Sequence[str], by: str = "ord", part: str = "_range"):
     """The window of a key's rows within one range."""
     return W.partitionBy(*keys, part).orderBy(by)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import metrics as M
 from ..operators import runs as R
+from ..operators import scan as S
 from ..sources.tables import table
 
 QUERIES, SQL = {}, {}
@@ -33,7 +34,7 @@ def lines(spark: SparkSession, d: str) -> DataFrame:
         part(i % 5 == 1, " tok/s=", (i % 70).cast("string")), part(i % 4 == 0, " lr=0.", F.lpad((i % 1000).cast("string"), 3, "0")), part(i % 6 == 0, " val_loss=", F.when(i % 12 == 0, F.lit("None")).otherwise(v)),
         part(i % 8 == 0, " grad_norm=", F.when(i % 16 == 0, F.lit("-Inf")).otherwise(v)), part(i % 10 < 5, " elapsed_s=", (i % 700).cast("string"), " eta_s=", (F.lit(700) - i % 700).cast("string")), part(i % 20 == 2, " step_ms=", (i % 300).cast("string")),
     )
-    return e.select(F.col("event_type").alias("file"), i.alias("ord"), "ts", text.alias("line"))
+    return S.once(e.select(F.col("event_type").alias("file"), i.alias("ord"), "ts", text.alias("line")))
 
 
 #: The same values straight from the events.
@@ -117,5 +118,5 @@ def session_clocks(spark: SparkSession, d: str) -> DataFrame:
     """Seen 20 seconds after the last event."""
     e = table(spark, d, "events")
     now = F.timestamp_seconds(F.lit(e.agg(F.max(F.col("ts").cast("timestamp").cast("double"))).first()[0] + 20))
-    c = M.session_clocks(parsed(spark, d), now)
+    c = M.session_clocks(M.parse_log(S.in_ranges(lines(spark, d), "ord")), now)
     return c.select("file", F.round(F.col("started_at").cast("double"), 3).alias("started"), F.round("elapsed_s", 3).alias("elapsed_s"), F.round("eta_s", 3).alias("eta_s"), F.round("sec_per_step", 6).alias("sec_per_step"))

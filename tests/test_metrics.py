@@ -66,3 +66,12 @@ def test_tips_fall_back_to_decisions(spark):
     decided = spark.createDataFrame([("a.log", 1, 0.5), ("a.log", 2, None)], "file string, ord long, val_loss double")
     r = M.tips(M.series(rows), decided).first()
     assert (r["step"], r["loss"], r["val_loss"], r["delta_loss"], r["dloss"], r["n_points"]) == (3, 2.0, 0.5, -1.0, 0.0, 3)
+
+
+def test_a_line_is_matched_once(spark):
+    """A filter on metrics must not write the parser out again below itself."""
+    lines = spark.createDataFrame([("a", 1, "step=1/9 loss=9 loss=nan lr=0.5,, b==2"), ("a", 2, "step=2/9 loss=3 x=1=2")], "file string, ord long, line string")
+    found = M.latest(M.parse_log(lines), "file")
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert {r["metric"]: (r["value"], r["at"]) for r in found.collect()} == {"loss": (3.0, 2), "lr": (0.5, 1)}
+    assert M.parse_log(lines).filter("ord = 1").first()["metrics"] == {"loss": None, "lr": 0.5, "b": None}
