@@ -7,10 +7,11 @@ size is that of a vocabulary, not of the corpus.
 from __future__ import annotations
 
 import json
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heappop, heappush
-from itertools import chain, count
+from itertools import count
 from typing import NamedTuple
 
 import numpy as np
@@ -130,10 +131,23 @@ def pieces_of(word: str, ranks: dict[tuple[str, str], int]) -> list[str]:
     return [p for p in parts if p]
 
 
-def encode(docs: DataFrame, merges: Merges, cached: int = 1 << 18) -> DataFrame:
+#: Words that a task takes at a time.
+WORDS = 1 << 17
+
+
+def in_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch (words, ...) of at most ``WORDS`` words, or one row."""
+    ends, at = batch.column("words").offsets.to_numpy(), 0
+    while at < batch.num_rows:
+        to = max(at + 1, int(np.searchsorted(ends, ends[at] + WORDS, side="right")) - 1)
+        yield batch.slice(at, to - at)
+        at = to
+
+
+def encode(docs: DataFrame, merges: Merges, cached: int = 1 << 16) -> DataFrame:
     """(doc_id, n_words, n_chars, ids) of every document, whole, by byte-level merges; a null text has no words.
 
-    No shuffle: a task keeps the ids of the ``cached`` words it saw last. A piece without an id gives those of its characters.
+    No shuffle: a task keeps the ids of the ``cached`` words it saw last, and takes a batch in pieces of about ``WORDS`` words, whole documents each. A piece without an id gives those of its characters.
     """
     held = docs.sparkSession.sparkContext.broadcast(merges)  # as large as a vocabulary
     parts = F.coalesce(F.regexp_extract_all("text", F.lit(PARTS), F.lit(0)), F.array().cast("array<string>"))
@@ -141,18 +155,18 @@ def encode(docs: DataFrame, merges: Merges, cached: int = 1 << 18) -> DataFrame:
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (ranks, ids), letters = held.value, byte_letters()
 
-        def ids_of(word: str) -> list[int]:
+        def ids_of(word: str) -> array:
             found = pieces_of("".join(letters[b] for b in word.encode()), ranks)
-            return [i for p in found for i in ([ids[p]] if p in ids else [ids[c] for c in p if c in ids])]
+            return array("i", [i for p in found for i in ([ids[p]] if p in ids else [ids[c] for c in p if c in ids])])
 
         known = lru_cache(maxsize=cached)(ids_of)
-        for b in batches:
+        for b in (piece for whole in batches for piece in in_pieces(whole)):
             words = b.column("words")
             coded = words.flatten().dictionary_encode()  # each distinct word of the batch is merged once
             at = coded.indices.to_numpy(zero_copy_only=False)
             made = [known(w) if len(w) < 64 else ids_of(w) for w in coded.dictionary.to_pylist()]
             size = np.fromiter(map(len, made), np.int64, len(made))
-            flat, first = np.fromiter(chain.from_iterable(made), np.int32, int(size.sum())), np.cumsum(size) - size
+            flat, first = np.frombuffer(b"".join(made), np.int32), np.cumsum(size) - size
             each = size[at]
             stops = np.cumsum(each)
             found = flat[np.repeat(first[at] - stops + each, each) + np.arange(int(each.sum()))]
