@@ -212,13 +212,23 @@ def relation(user: Column) -> Column:
 
 def slot(user: Column) -> Column:
     """What the question asks about, or empty."""
-    key = question_key(user)
-    return F.coalesce(*[F.nullif(F.trim(F.regexp_extract(key, p, 1)), F.lit("")) for p in SLOTS], F.lit(""))
+    return slot_of(question_key(user))
+
+
+def slot_of(key: Column) -> Column:
+    """U3 for a question's key. A pattern is tried only where the key has the words that it begins with."""
+    found = [F.when(F.startswith(key, F.lit(p[1:].split("(")[0])), F.nullif(F.trim(F.regexp_extract(key, p, 1)), F.lit(""))) for p in SLOTS]
+    return F.coalesce(*found, F.lit(""))
+
+
+def omits(slot: Column, assistant: Column) -> Column:
+    """A9 for a slot that is known: the answer does not name it; the slot's own punctuation is not dropped."""
+    return (slot != "") & ~F.contains(answer_key(assistant), slot)
 
 
 def omits_slot(user: Column, assistant: Column) -> Column:
-    """The answer does not name what the question asks about; the slot's own punctuation is not dropped."""
-    return (slot(user) != "") & ~F.contains(answer_key(assistant), slot(user))
+    """The answer does not name what the question asks about."""
+    return omits(slot(user), assistant)
 
 
 def linked_variants(user: Column, assistant: Column) -> Column:

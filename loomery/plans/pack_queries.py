@@ -10,6 +10,7 @@ from ..functions import text as T
 from ..operators import packs as K
 from ..operators import pairs as P
 from ..operators import reports as R
+from ..operators import scan as S
 from ..sources.tables import table
 from . import fact_queries as FQ
 from .fact_queries import answer_sql, collapse_sql, family_sql, question_sql, told, turns
@@ -160,7 +161,9 @@ _SLOT = "case when k like 'what is the capital of %' then k[24:] when k like 'wh
 def dirty_gold(spark: SparkSession, d: str) -> DataFrame:
     """Bare answers omit the slot, sentences name it."""
     rows = FQ.all_facts(spark, d).unionByName(told(spark, d, "inventor").withColumn("ord", F.col("ord") + 5 * 10**9))
-    return rows.select("ord", T.slot(F.col("user")).alias("slot"), T.omits_slot(F.col("user"), F.col("assistant")).alias("dirty"))
+    # A projection for each of key, slot and verdict: written into each other, a key would be made for every pattern of a slot, twice.
+    keyed = S.once(rows.select("ord", "assistant", T.question_key(F.col("user")).alias("key")))
+    return S.once(keyed.select("ord", "assistant", T.slot_of(F.col("key")).alias("slot"))).select("ord", "slot", T.omits(F.col("slot"), F.col("assistant")).alias("dirty"))
 
 
 @query(f"select ord, line || ' User:' as line, lower(line) like '%it is known that %' or lower(line) like '%a short note on %' or lower(line) like '%regarding %' or lower(line) like '%in plain terms, %' or lower(line) like '%students remembering %' or lower(line) like '%if you ask %' or lower(line) like '%question: %' as wrapped from ({FQ.SQL['native_lines']})")
