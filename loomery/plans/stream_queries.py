@@ -35,16 +35,27 @@ def append(rows: DataFrame, folder: str, until: float, files: int = 8) -> None:
     placed = rows.select(*columns, (F.col("user_id") % files).cast("int").alias("log")).repartition(files, "log").sortWithinPartitions("log", "event_id")
 
     def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lines: dict[int, list[str]] = {}
+        open_log, f = None, None  # rows are sorted by log, so one is open at a time; a batch of lines is held, never a log
+
+        def close() -> None:
+            with f:
+                f.write(b"not a record\n")
+                f.truncate(int(f.tell() * until))
+
         for frame in frames:
-            for *values, log in frame[[*columns, "log"]].itertuples(index=False):
-                lines.setdefault(log, []).append(json.dumps(dict(zip(columns, (x.item() if hasattr(x, "item") else x for x in values), strict=True))))
-        for log, rows in lines.items():
-            data, path = ("\n".join(rows) + "\nnot a record\n").encode(), f"{folder}/log-{log}.jsonl"
-            os.makedirs(folder, exist_ok=True)
-            with open(path, "r+b" if os.path.exists(path) else "w+b") as f:  # the same file grows
-                f.write(data[: int(len(data) * until)])
-            yield pd.DataFrame({"log": [log]})
+            for log, rows in frame.groupby("log", sort=True):
+                if log != open_log:
+                    if f:
+                        close()
+                        yield pd.DataFrame({"log": [open_log]})
+                    path = f"{folder}/log-{log}.jsonl"
+                    os.makedirs(folder, exist_ok=True)
+                    open_log, f = log, open(path, "r+b" if os.path.exists(path) else "w+b")  # noqa: SIM115  the same file grows
+                lines = (json.dumps(dict(zip(columns, (x.item() if hasattr(x, "item") else x for x in values), strict=True))) for values in rows[columns].itertuples(index=False))
+                f.writelines(f"{line}\n".encode() for line in lines)
+        if f:
+            close()
+            yield pd.DataFrame({"log": [open_log]})
 
     placed.mapInPandas(write, "log int").write.format("noop").mode("overwrite").save()
 
