@@ -10,6 +10,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,6 +104,8 @@ def key_states(outcomes: DataFrame, most: int = 2) -> DataFrame:
     return rows.groupBy("key").applyInPandasWithState(update, KEYS, "consumed boolean, poison boolean, retries int, reason string", "append", GroupStateTimeout.NoTimeout)
 
 
+#: Rows that are put out at a time.
+ROWS = 10_000
 LIVE = "file string, run long, ord long, step long, action string, ema double"
 STATE = "run long, step long, nth long, best double, best_at long, ema double, recent array<double>"
 
@@ -112,8 +115,16 @@ def live_runs(rows: DataFrame, ratio: float = 1.5, patience: int = 4, max_steps:
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         run, last, nth, best, best_at, ema, recent = state.get if state.exists else (0, None, 0, None, 0, None, [])
-        recent, out = list(recent), []
-        for at, step, loss in pd.concat(frames).sort_values("ord")[["ord", "step", "loss"]].itertuples(index=False):
+        recent, out, columns = list(recent), [], ["file", "run", "ord", "step", "action", "ema"]
+        # Of a batch's rows three numbers each are held; they are put out in pieces.
+        parts = [[f[c].to_numpy() for c in ("ord", "step", "loss")] for f in frames]
+        held = [np.concatenate(x) for x in zip(*parts, strict=True)]
+        parts.clear()
+        for i in np.argsort(held[0], kind="stable"):
+            at, step, loss = (x[i] for x in held)
+            if len(out) >= ROWS:
+                yield pd.DataFrame(out, columns=columns).astype({"ema": "float64"})
+                out = []
             if last is not None and (step < last or step - last > gap):
                 run, nth, best, best_at, ema, recent = run + 1, 0, None, 0, None, []
             last = step
@@ -122,7 +133,8 @@ def live_runs(rows: DataFrame, ratio: float = 1.5, patience: int = 4, max_steps:
                 continue
             loss, nth = float(loss), nth + 1
             recent = [*recent, loss][-5:]
-            median = float(pd.Series(recent).median())
+            middle = sorted(recent)
+            median = (middle[(len(middle) - 1) // 2] + middle[len(middle) // 2]) / 2
             better = best is None or loss < best
             if median > 0 and loss > ratio * median:
                 action = "spike"
@@ -137,7 +149,7 @@ def live_runs(rows: DataFrame, ratio: float = 1.5, patience: int = 4, max_steps:
                 best, best_at = loss, nth
             out.append((key[0], run, at, step, action, ema))
         state.update((int(run), int(last), int(nth), best, int(best_at), ema, recent))
-        yield pd.DataFrame(out, columns=["file", "run", "ord", "step", "action", "ema"]).astype({"ema": "float64"})
+        yield pd.DataFrame(out, columns=columns).astype({"ema": "float64"})
 
     return rows.groupBy("file").applyInPandasWithState(update, LIVE, STATE, "append", GroupStateTimeout.NoTimeout)
 
