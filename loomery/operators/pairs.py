@@ -42,24 +42,36 @@ def birth_years(customer: DataFrame, orders: DataFrame) -> DataFrame:
     return rows.select(F.col("c_custkey").alias("ord"), F.concat(F.lit("When was "), "c_name", F.lit(" born?")).alias("user"), F.col("y").cast("string").alias("assistant"))
 
 
-def first_per(rows: DataFrame, *keys: Column | str) -> DataFrame:
-    """The first row by ``ord`` for each key. One partial aggregate, no sort."""
+#: Pairs that are worth a task of their own where pairs are multiplied or gathered by text.
+PAIRS_A_TASK = 50_000
+
+
+def tasks_for(pairs: DataFrame) -> int:
+    """The number of tasks that keeps a task's pairs, and the memory of its sorts, the same whatever the number of pairs."""
+    return max(pairs.sparkSession.sparkContext.defaultParallelism, -(-pairs.count() // PAIRS_A_TASK))
+
+
+def first_per(rows: DataFrame, *keys: Column | str, tasks: int | None = None) -> DataFrame:
+    """The first row by ``ord`` for each key. One partial aggregate, no sort; with ``tasks`` the rows are dealt to so many by key first."""
     rest = F.struct("ord", *[c for c in rows.columns if c != "ord"])
     named = [k.alias(f"_k{i}") if isinstance(k, Column) else F.col(k).alias(f"_k{i}") for i, k in enumerate(keys)]
-    first = rows.select(*named, rest.alias("_row")).groupBy(*[f"_k{i}" for i in range(len(keys))]).agg(F.min("_row").alias("_row"))
+    by = [f"_k{i}" for i in range(len(keys))]
+    keyed = rows.select(*named, rest.alias("_row"))
+    first = (keyed.repartition(tasks, *by) if tasks else keyed).groupBy(*by).agg(F.min("_row").alias("_row"))
     return first.select(*[F.col("_row")[c].alias(c) for c in rows.columns])
 
 
-def dedupe(pairs: DataFrame) -> DataFrame:
+def dedupe(pairs: DataFrame, tasks: int | None = None) -> DataFrame:
     """A3: distinct pairs without regard to case, first wins."""
-    return first_per(pairs, F.lower("user"), F.lower("assistant"))
+    return first_per(pairs, F.lower("user"), F.lower("assistant"), tasks=tasks)
 
 
-def drop_conflicts(pairs: DataFrame) -> DataFrame:
+def drop_conflicts(pairs: DataFrame, tasks: int | None = None) -> DataFrame:
     """A4: questions with two or more different answers (but for blanks and case) vanish, of the others the first pair stays."""
     row = F.struct("ord", "user", "assistant")
     key, answer = T.pair_key(F.col("user")), T.pair_key(F.col("assistant"))
-    kept = pairs.groupBy(key.alias("k")).agg(F.min(answer).alias("low"), F.max(answer).alias("high"), F.min(row).alias("r")).filter("low = high")
+    keyed = pairs.select(key.alias("k"), answer.alias("a"), row.alias("r"))
+    kept = (keyed.repartition(tasks, "k") if tasks else keyed).groupBy("k").agg(F.min("a").alias("low"), F.max("a").alias("high"), F.min("r").alias("r")).filter("low = high")
     return kept.select("r.ord", "r.user", "r.assistant")
 
 

@@ -91,8 +91,10 @@ FACTS = " union all ".join(f"select ord + {i} * 1000000000::bigint as ord, \"use
 
 def linked(pairs: DataFrame) -> DataFrame:
     """O2: pairs with their variants, deduplicated and checked for conflicts again."""
+    tasks = P.tasks_for(pairs)
+    pairs = pairs.repartition(tasks, "ord")  # dealt before they are multiplied: a file of few bytes may hold very many
     more = pairs.select("ord", F.posexplode(T.linked_variants(F.col("user"), F.col("assistant"))).alias("i", "v")).select((F.col("ord") * 10 + F.col("i") + 1).alias("ord"), "v.user", "v.assistant")
-    return P.drop_conflicts(P.dedupe(pairs.withColumn("ord", F.col("ord") * 10).unionByName(more)))
+    return P.drop_conflicts(P.dedupe(pairs.withColumn("ord", F.col("ord") * 10).unionByName(more), tasks), tasks)
 
 
 def sentences(pairs: DataFrame, form: str) -> DataFrame:
