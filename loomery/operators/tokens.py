@@ -34,22 +34,45 @@ def add_special(vocab: DataFrame, token: str) -> DataFrame:
 def encoder(vocab: DataFrame):
     """T4: a function from a text column to its ids, unknown characters dropped. The ids are one array by code point."""
     rows = vocab.filter(F.char_length("ch") == 1).select(F.expr("ascii(ch)").alias("c"), "id").collect()
-    ids = [-1] * (max((r["c"] for r in rows), default=0) + 1)
+    top = max((r["c"] for r in rows), default=0)
+    ids = np.full(top + 2, -1, np.int32)  # the last is that of all beyond
     for r in rows:
         ids[r["c"]] = r["id"]
-    by_point = F.split(F.lit(",".join(map(str, ids))), ",").cast("array<int>")
-    of = lambda c: F.coalesce(F.try_element_at(by_point, F.expr("1") + F.ascii(c)), F.lit(-1))
-    return lambda text: F.filter(F.transform(characters(text), of), lambda i: i >= 0)
+
+    def look_up(texts: pa.Array) -> pa.Array:
+        out, stops = [np.empty(0, np.int32)], np.zeros(len(texts) + 1, np.int64)
+        for i, t in enumerate(texts):
+            found = ids[np.minimum(np.frombuffer((t.as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32), top + 1)]
+            out.append(found[found >= 0])
+            stops[i + 1] = stops[i] + out[-1].size
+        flat = np.concatenate(out)
+        out.clear()
+        return pa.ListArray.from_arrays(pa.array(stops, pa.int32()), pa.array(flat, pa.int32()), mask=texts.is_null())
+
+    return F.arrow_udf(look_up, "array<int>")
 
 
 def decoder(vocab: DataFrame):
     """T5: a function from ids to text; unknown ids are empty."""
     rows = vocab.filter(F.char_length("ch") == 1).select("ch", "id").collect()
-    known = {r["id"]: r["ch"] for r in rows}
-    top = max(known, default=-1)
-    chars = F.split(F.lit("".join(known.get(i, "￿") for i in range(top + 1))), "")
-    piece = lambda i: F.coalesce(F.nullif(F.try_element_at(chars, (i + 1).cast("int")), F.lit("￿")), F.lit(""))
-    return lambda ids: F.array_join(F.transform(F.filter(ids, lambda i: i >= 0), piece), "")
+    known = {r["id"]: ord(r["ch"]) for r in rows}
+    top, none = max(known, default=-1), 0xFFFFFFFF
+    points = np.full(top + 2, none, np.uint32)  # the last is that of all beyond
+    for i, c in known.items():
+        points[i] = c
+
+    def spell(rows: pa.Array) -> pa.Array:
+        out = []
+        for r in rows:
+            if not r.is_valid:
+                out.append(None)
+                continue
+            at = r.values.drop_null().to_numpy(zero_copy_only=False).astype(np.int64)
+            found = points[np.where((at < 0) | (at > top), top + 1, at)]
+            out.append(found[found != none].tobytes().decode("utf-32-le", "surrogatepass"))
+        return pa.array(out, pa.string())
+
+    return F.arrow_udf(spell, "string")
 
 
 def story_ids(ids: Column, eos: int, sos: int | None = None) -> Column:

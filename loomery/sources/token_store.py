@@ -1,7 +1,7 @@
 """Token shards with their spans, committed by a manifest; the reader, the check and the encode cache on top.
 
-A store is a folder: ``tokens`` holds a row for each story (shard, nth, doc_id, start, stop, ids) with starts counted within its
-shard, ``manifest`` one JSON record with what was found on disk after the write. The manifest is written last, so a folder without one was never
+A store is a folder: ``tokens`` holds a row for each story (shard, piece, nth, doc_id, start, stop, ids) with places counted within its
+range (piece) of the shard, ``manifest`` one JSON record with what was found on disk after the write. The manifest is written last, so a folder without one was never
 committed. Shards are ranges of a global order by id and content, so repeated ids and large stories don't decide their number of rows.
 """
 
@@ -19,7 +19,9 @@ from pyspark.sql import Window as W
 
 from . import sinks
 
-VERSION = 1
+VERSION = 2
+#: Stories of a range, which a task sorts.
+RANGE_ROWS = 4096
 SHARD = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("stories", T.LongType()), T.StructField("tokens", T.LongType())])
 #: What a manifest says besides its shards; numbers of a corpus are null where a store was written without its fingerprint.
 FIELDS = {"version": T.IntegerType(), "vocab_sha256": T.StringType(), "vocab_size": T.LongType(), "sos_id": T.IntegerType(), "eos_id": T.IntegerType(), "n_docs": T.LongType(), "n_chars": T.LongType(), "corpus_sha256": T.StringType(), "stories": T.LongType(), "tokens": T.LongType()}
@@ -46,29 +48,43 @@ def _sha(text: str) -> str:
 def write_shards(stories: DataFrame, path: str, shards: int, vocab_sha256: str = "", vocab_size: int = 0, sos_id: int | None = None, eos_id: int | None = None, corpus: dict | None = None) -> dict:
     """K6, K7: writes stories (doc_id, ids) as ``shards`` ranges and commits them; returns the manifest.
 
-    One shuffle by range and one by shard; ties of id are parted by content, equal rows by their place in the input.
+    A shard is dealt out as so many ranges that each has at most ``RANGE_ROWS`` stories or so: one shuffle by range, one by range again for the places, which
+    the ranges before in the shard move on. Ties of id are parted by content, equal rows by their place in the input.
     """
+    spark = stories.sparkSession
+    pieces = max(1, -(-stories.select("doc_id").count() // (shards * RANGE_ROWS)))
     order = [F.asc_nulls_first("doc_id"), F.asc("_tie"), F.asc("_place")]
     rows = stories.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("ids", F.array().cast("array<int>")).alias("ids")).withColumns({"_tie": F.xxhash64("ids"), "_place": F.monotonically_increasing_id()})
-    placed = rows.repartitionByRange(shards, *order).select("doc_id", "ids", "_tie", "_place", F.spark_partition_id().alias("shard"))
-    w = W.partitionBy("shard").orderBy(*order)
+    placed = rows.repartitionByRange(shards * pieces, *order).select("doc_id", "ids", "_tie", "_place", F.spark_partition_id().alias("piece"))
+    placed = placed.withColumn("shard", F.floor(F.col("piece") / pieces).cast("int"))
+    w = W.partitionBy("shard", "piece").orderBy(*order)
     size = F.size("ids").cast("long")
     stop = F.sum(size).over(w.rowsBetween(W.unboundedPreceding, 0))
-    out = placed.select((F.row_number().over(w) - 1).cast("long").alias("nth"), "doc_id", (stop - size).alias("start"), stop.alias("stop"), "ids", "shard")
+    out = placed.select((F.row_number().over(w) - 1).cast("long").alias("nth"), "doc_id", (stop - size).alias("start"), stop.alias("stop"), "ids", "piece", "shard")
     out.write.partitionBy("shard").parquet(f"{path}/tokens")
-    return commit(stories.sparkSession, path, vocab_sha256, vocab_size, sos_id, eos_id, corpus)
+    return commit(spark, path, vocab_sha256, vocab_size, sos_id, eos_id, corpus)
 
 
-def _tokens(spark: SparkSession, path: str) -> DataFrame:
+def _pieces(spark: SparkSession, path: str) -> DataFrame:
     try:
-        return spark.read.schema(ROWS).parquet(f"{path}/tokens")
+        return spark.read.schema(f"{ROWS}, piece int").parquet(f"{path}/tokens")
     except AnalysisException as e:
         raise StoreError(f"{path}: no tokens") from e
 
 
+def _tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The rows with their places within their shards: those within their range, moved on by the ranges before, of which there is a row each."""
+    rows = _pieces(spark, path)
+    per = rows.groupBy("shard", "piece").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("stop") - F.col("start")).alias("tokens"))
+    w = W.partitionBy("shard").orderBy("piece").rowsBetween(W.unboundedPreceding, -1)
+    base = per.select("shard", "piece", *[F.coalesce(F.sum(c).over(w), F.lit(0)).alias(f"_{c}") for c in ("n", "tokens")])
+    moved = rows.join(F.broadcast(base), ["shard", "piece"])  # a row for each RANGE_ROWS stories
+    return moved.select((F.col("nth") + F.col("_n")).alias("nth"), "doc_id", *[(F.col(c) + F.col("_tokens")).alias(c) for c in ("start", "stop")], "ids", "shard")
+
+
 def counts(spark: SparkSession, path: str) -> list[tuple[int, int, int]]:
     """(shard, stories, tokens) as they lie on disk, read from the spans alone; a row for each shard."""
-    per = _tokens(spark, path).groupBy("shard").agg(F.count(F.lit(1)).alias("stories"), F.sum(F.col("stop") - F.col("start")).alias("tokens"))
+    per = _pieces(spark, path).groupBy("shard").agg(F.count(F.lit(1)).alias("stories"), F.sum(F.col("stop") - F.col("start")).alias("tokens"))
     return sorted((r["shard"], r["stories"], r["tokens"]) for r in per.collect())
 
 
