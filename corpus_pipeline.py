@@ -21,6 +21,8 @@ from loomery.llm.queries import WEIGHTS
 
 #: A document goes whose best language is not likelier than all others together.
 LEAST_LANGUAGE_SCORE = 0.5
+#: Up to so many keys of dropped rows are broadcast to the texts; with more, they meet in a shuffle.
+FEW_KEYS = 1 << 20
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,6 +36,12 @@ def _without(docs: DataFrame, keys: DataFrame, how: str = "left_anti") -> DataFr
     return docs.join(keys, F.col("doc_id").eqNullSafe(F.col("k_id")) & (F.col("_th") == F.col("k_th")), how)
 
 
+def _few(keys: DataFrame) -> DataFrame:
+    """``keys``, written once and marked for a broadcast if there are few, so that no text is shuffled."""
+    keys = materialize(keys)
+    return F.broadcast(keys) if keys.count() <= FEW_KEYS else keys
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each near-duplicate component: that of the smallest id, null ids last. Of rows that repeat id and text one stays; null and empty texts are one component."""
     rows = materialize(similar.components(docs))
@@ -41,8 +49,8 @@ def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     least = rows.groupBy("component").agg(F.min_by(F.struct("doc_id", "th"), order).alias("first"), F.count(F.lit(1)).alias("n"))
     found = materialize(join_hot(rows, least, "component", "n", rows.count()).select(F.col("doc_id").alias("k_id"), F.col("th").alias("k_th"), (F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))).alias("first")))
     marked = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.xxhash64("text").alias("_th"))
-    kept = _without(marked, found.filter("not first").select("k_id", "k_th").distinct())
-    repeated = found.filter("first").groupBy("k_id", "k_th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k_id", "k_th")
+    kept = _without(marked, _few(found.filter("not first").select("k_id", "k_th").distinct()))
+    repeated = _few(found.filter("first").groupBy("k_id", "k_th").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("k_id", "k_th"))
     if not repeated.take(1):
         return kept.select("_row.*")
     # Only rows of repeated keys meet in one place.
@@ -56,7 +64,7 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     texts = docs.select(F.xxhash64("text").alias("doc_id"), "text")
     hit = decontamination.decontaminate(texts, table(spark, sf_dir, "benchmark")).filter("contaminated").select(F.col("doc_id").alias("k_th")).distinct()
     marked = docs.select(F.struct(*docs.columns).alias("_row"), F.xxhash64("text").alias("_th"))
-    return marked.join(hit, F.col("_th") == F.col("k_th"), "left_anti").select("_row.*")
+    return marked.join(_few(hit), F.col("_th") == F.col("k_th"), "left_anti").select("_row.*")
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,13 +6,12 @@ bit counts, tile pairs of unlike population counts skipped) inside buckets of eq
 that it holds about ``BUCKET`` fingerprints, and there are so many tables of buckets that a pair of similarity 0.8 is missed by
 all with a probability of ``MISSED`` at most; up to ``BUCKET`` texts are one bucket, so a small table is compared whole.
 
-Fingerprints linked by at most ``RADIUS`` bits form a group, of which the least spanning tree by differing bits is kept, and the edges to each member's ``NEAREST`` nearest: a few for each
-member, however large the group. Every edge is then confirmed on the whole sets, so no two texts are linked that have no chain of
-confirmed similarities. Components are those of ``simhash``. What the refuted edges leave apart is searched again: each text outside its group's largest component is held against the nearest texts of
-other components, twice as many each time, until none has one within ``RADIUS`` that it was not held against. So every pair that a tile links is confirmed, refuted, or inside one component; groups that
-the first edges join cost nothing more.
+Fingerprints that chains of at most ``RADIUS`` bits link, in any bucket, form a loose group, one row a text. The whole sets of a group
+then meet in one place and are compared exactly, all with all: an index of each set's rarest shingles, of which two sets of the similarity must share one, finds what is
+counted on all shingles. What leaves a task is a spanning forest of confirmed links, never a refuted pair, so the rows moved don't depend on how many pairs of a group lie just below the similarity.
 
 A bucket of over ``bucket_rows`` fingerprints (a very large group of near copies) is dealt out as pairs of parts, so no task holds it whole.
+So is a group of over ``CELL`` shingles: parts of half as many meet in pairs, and each set is sent once for each part of its group.
 
 Edge cases: a text of fewer words than a shingle is one shingle; null and empty texts have the empty set, and are linked with each other only.
 Repeated rows get a row each. Null ids are kept. An empty table gives an empty result; extra columns are ignored.
@@ -34,8 +33,8 @@ from .simhash import connected_components, pieces, tiled_components
 
 SHINGLE, SIMILARITY = 5, 0.8
 BITS, RADIUS, BUCKET, MISSED, NEAREST = 256, 76, 4096, 1e-4, 6
-#: Texts of other components that one is held against at first; twice as many each time that is not all.
-APART = 32
+#: Shingles that are compared in one place.
+CELL = 1 << 21
 #: Odd factors that spread a shingle's hash over the words of the fingerprint.
 _FACTORS = np.random.default_rng(11).integers(0, 1 << 63, BITS // 64, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -83,14 +82,15 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in _once(batches):
         sets = [shingles(t.as_py()) for t in batch.column(1)]
         made = np.array([xxhash.xxh64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), pa.array([wide_fingerprint(x) if x.size else None for x in sets], pa.binary())], ["th", "s", "fp"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made), pa.array([wide_fingerprint(x) if x.size else None for x in sets], pa.binary()), pa.array([x.size for x in sets], pa.int64())], ["th", "s", "fp", "size"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (s, root, parts, text) with the text's set in its place."""
     for batch in batches:
         for at in range(0, batch.num_rows, 256):
             part = batch.slice(at, 256)
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([shingles(t.as_py()).view(np.int64) for t in part.column(2)], pa.list_(pa.int64()))], ["s", "n", "hashes"])
+            yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([shingles(t.as_py()).tobytes() for t in part.column(3)], pa.binary())], ["s", "root", "parts", "hashes"])
 
 
 def plan(n: int, similarity: float = SIMILARITY) -> list[np.ndarray]:
@@ -123,69 +123,106 @@ def spanning_tree(bits: np.ndarray, nearest: int = NEAREST, radius: int = RADIUS
     return np.array(out, dtype=np.int64).reshape(-1, 2)
 
 
-def _groups(bucket: np.ndarray, s: np.ndarray, fp: np.ndarray) -> Iterator[np.ndarray]:
-    """The rows of each group of two or more that tiles link within a bucket, in the order of ``s``; ``bucket`` is sorted."""
+def _stars(bucket: np.ndarray, s: np.ndarray, fp: np.ndarray) -> pa.RecordBatch:
+    """(a, b): the least and each other member of the groups that tiles link within a bucket; ``bucket`` is sorted."""
     cuts = np.flatnonzero(np.diff(bucket)) + 1
+    a = [np.empty(0, np.int64)]
+    b = [np.empty(0, np.int64)]
     for i, j in zip([0, *cuts], [*cuts, bucket.size], strict=True):
         if j - i > 1:
-            label = tiled_components(fp[i:j], RADIUS)
-            order = np.argsort(label, kind="stable")
-            for at in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
-                if at.size > 1:
-                    yield i + at[np.argsort(s[i:j][at], kind="stable")]  # the same order wherever the rows stand
+            least = _least(tiled_components(fp[i:j], RADIUS), s[i:j])
+            linked = least != s[i:j]
+            a.append(least[linked])
+            b.append(s[i:j][linked])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
-def _pack(pairs: list[np.ndarray], more: int) -> pa.RecordBatch:
-    found = np.concatenate([np.empty((0, 2), np.int64), *pairs])
-    rows = np.concatenate([found, np.full((1, 2), -1)]) if more else found  # one row of -1 says that some text has more
-    return pa.RecordBatch.from_arrays([pa.array(rows.min(axis=1)), pa.array(rows.max(axis=1))], ["a", "b"])
+def _least(label: np.ndarray, s: np.ndarray) -> np.ndarray:
+    """For each row the smallest ``s`` of its label, a row number."""
+    least = np.full(s.size, np.iinfo(np.int64).max)
+    np.minimum.at(least, label, s)
+    return least[label]
 
 
-def _edges(bucket: np.ndarray, s: np.ndarray, fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-    """(a, b): the edges of the spanning trees of each bucket's groups, and those to nearest members."""
-    return _pack([s[at[spanning_tree(fp[at])]] for at in _groups(bucket, s, fp)], 0)
-
-
-def _across(nearest: int):
-    """A search for (a, b) of unlike components ``root`` within the radius: of each text outside a group's largest component the ``nearest`` ones."""
-
-    def find(bucket: np.ndarray, s: np.ndarray, fp: np.ndarray, root: np.ndarray) -> pa.RecordBatch:
-        pairs, more = [], 0
-        for at in _groups(bucket, s, fp):
-            names, own, size = np.unique(root[at], return_inverse=True, return_counts=True)
-            if names.size == 1:
-                continue
-            bits = fp[at]
-            for x in np.flatnonzero(own != size.argmax()):
-                others = np.flatnonzero(own != own[x])
-                unlike = np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int32)
-                close = others[np.lexsort((s[at][others], unlike))[: int((unlike <= RADIUS).sum())]]
-                more += close.size > nearest
-                pairs.append(np.stack([np.full(min(nearest, close.size), s[at[x]]), s[at[close[:nearest]]]], axis=1))
-        return _pack(pairs, more)
-
-    return find
-
-
-def _in_buckets(find):
-    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: tuple = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, BITS // 64), np.uint64), np.empty(0, np.int64))
-        for batch in batches:
-            fresh = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64)
-            plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1, 3)]
-            b, s, f, r = (np.concatenate([k, x]) for k, x in zip(kept, (plain[0], plain[1], fresh, plain[2]), strict=True))
-            cut = int(np.searchsorted(b, b[-1], side="left")) if b.size else 0  # the last bucket may go on in the next batch
-            if cut:
-                yield find(b[:cut], s[:cut], f[:cut], r[:cut])
-            kept = (b[cut:], s[cut:], f[cut:], r[cut:])
-        if kept[0].size:
-            yield find(*kept)
-
-    return solve
+def _in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kept: tuple = (np.empty(0, np.int64), np.empty(0, np.int64), np.empty((0, BITS // 64), np.uint64))
+    for batch in batches:
+        fresh = np.frombuffer(b"".join(batch.column(2).to_pylist()), np.uint64).reshape(-1, BITS // 64)
+        plain = [batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1)]
+        b, s, f = (np.concatenate([k, x]) for k, x in zip(kept, (*plain, fresh), strict=True))
+        cut = int(np.searchsorted(b, b[-1], side="left")) if b.size else 0  # the last bucket may go on in the next batch
+        if cut:
+            yield _stars(b[:cut], s[:cut], f[:cut])
+        kept = (b[cut:], s[cut:], f[cut:])
+    if kept[0].size:
+        yield _stars(*kept)
+
+
+def _postings(code: np.ndarray, row: np.ndarray, codes: int):
+    """The rows of any of some codes, repeats included."""
+    by = np.argsort(code, kind="stable")
+    rows, stop = row[by], np.cumsum(np.bincount(code, minlength=codes))
+
+    def of(some: np.ndarray) -> np.ndarray:
+        last = stop[some]
+        first = np.where(some > 0, stop[some - 1], 0)
+        n = last - first
+        return rows[np.repeat(last - np.cumsum(n), n) + np.arange(n.sum())]
+
+    return of
+
+
+def alike(sets: list[np.ndarray], side: np.ndarray, similarity: float = SIMILARITY) -> np.ndarray:
+    """For each of the distinct ``sets`` the number of its component by Jaccard similarities; sets of one ``side`` are compared only if there is no other side.
+
+    Two sets of the similarity share one of the rarest |x| - ceil(similarity * |x|) + 1 elements of each, in any common order of the elements; only a set
+    with such a neighbour in another component is counted against all.
+    """
+    n, size = len(sets), np.array([x.size for x in sets])
+    row = np.repeat(np.arange(n), size)
+    _, code, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    code = code[np.lexsort((code, often[code], row))]
+    start = np.cumsum(size) - size
+    rare = np.arange(code.size) - start[row] < (size - np.ceil(similarity * size - 1e-9) + 1)[row]
+    heads, whole = _postings(code[rare], row[rare], often.size), _postings(code, row, often.size)
+    label, two = np.arange(n), side.min() != side.max()
+    for x in range(n):
+        own = slice(start[x], start[x] + size[x])
+        near = heads(code[own][rare[own]])
+        near = near[(near > x) & (label[near] != label[x])]  # earlier rows were counted against this one
+        if not near.size or two and not (side[near] != side[x]).any():
+            continue
+        same = np.bincount(whole(code[own]), minlength=n)
+        linked = same / (size[x] + size - same) >= similarity
+        if two:
+            linked &= side != side[x]
+        linked[x] = True
+        joined = np.unique(label[linked])
+        label[np.isin(label, joined)] = joined[0]
+    return label
+
+
+def _in_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): a spanning forest of the similar sets of each cell, from rows (cell, own, s, hashes) sorted by cell."""
+
+    def solve(rows: list[tuple]) -> pa.RecordBatch:
+        s = np.array([r[2] for r in rows])
+        least = _least(alike([np.frombuffer(r[3], np.uint64) for r in rows], np.array([r[1] for r in rows])), s)
+        return pa.RecordBatch.from_arrays([pa.array(least[least != s]), pa.array(s[least != s])], ["a", "b"])
+
+    kept: list[tuple] = []
+    for batch in batches:
+        for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            if kept and row[0] != kept[0][0]:
+                yield solve(kept)
+                kept = []
+            kept.append(row)
+    if kept:
+        yield solve(kept)
 
 
-def candidates(of: DataFrame, n: int, bucket_rows: int = 1 << 15, find=_edges) -> DataFrame:
-    """(a, b): what ``find`` makes of the fingerprints ``of`` (s, fp, root), over all buckets."""
+def candidates(of: DataFrame, n: int, bucket_rows: int = 1 << 15) -> DataFrame:
+    """(a, b): links that join the fingerprints ``of`` (s, fp) within the radius, over all buckets."""
     tables = plan(n)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,57 +230,48 @@ def candidates(of: DataFrame, n: int, bucket_rows: int = 1 << 15, find=_edges) -
             bits = np.unpackbits(np.frombuffer(b"".join(batch.column(1).to_pylist()), np.uint8).reshape(-1, BITS // 8), axis=1).astype(np.int64)
             for i, at in enumerate(tables):
                 bucket = bits[:, at] @ (np.int64(1) << np.arange(at.size)) + (np.int64(i) << 48)
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", "s", "fp", "root"])
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *batch.columns], ["bucket", "s", "fp"])
 
-    banded = of.select("s", "fp", "root").mapInArrow(deal, "bucket long, s long, fp binary, root long")
-    solve = lambda df: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_buckets(find), "a long, b long")
+    banded = of.select("s", "fp").mapInArrow(deal, "bucket long, s long, fp binary")
+    solve = lambda df: df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_in_buckets, "a long, b long")
     if n <= bucket_rows:
         return solve(banded)
     # A bucket holds BUCKET fingerprints on average; larger ones than bucket_rows hold one group of near copies each, n * tables / bucket_rows at most.
     large = materialize(banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows")).filter(F.col("rows") > bucket_rows))
     if not large.take(1):
         return solve(banded)
-    whole = banded.join(large.select("bucket"), "bucket", "left_anti")
+    whole = banded.join(F.broadcast(large.select("bucket")), "bucket", "left_anti")
     parts = F.ceil(F.col("rows") * 2 / bucket_rows).cast("int")
-    own = F.pmod(F.hash("s"), F.col("parts"))
-    dealt = banded.join(large, "bucket").withColumn("parts", parts).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    cell = F.xxhash64("bucket", F.least("own", "other"), F.greatest("own", "other"))
-    return solve(whole).unionByName(solve(dealt.select(cell.alias("bucket"), "s", "fp", "root")))
+    dealt = _dealt(banded.join(F.broadcast(large), "bucket").withColumn("parts", parts), "bucket")
+    return solve(whole).unionByName(solve(dealt.select(F.col("cell").alias("bucket"), "s", "fp")))
+
+
+def _dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` (s, parts, a key) in a cell for each pair of parts that their own part ``own`` is in."""
+    rows = rows.withColumn("own", F.pmod(F.hash("s"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    return rows.withColumn("cell", F.xxhash64(key, F.least("own", "other"), F.greatest("own", "other")))
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, of: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose whole sets are similar enough."""
-    ends = pairs.select(F.col("a").alias("s")).unionByName(pairs.select(F.col("b").alias("s")))
-    ends = materialize(ends.groupBy("s").agg(F.count(F.lit(1)).alias("n")))
+def confirmed(groups: DataFrame, texts: DataFrame, of: DataFrame, cell: int = CELL) -> DataFrame:
+    """Links (a, b) that join the similar sets within each of the loose ``groups`` (node, root; roots may be absent)."""
+    members = groups.select(F.col("node").alias("s"), "root").unionByName(groups.select(F.col("root").alias("s"), "root")).distinct().join(of.select("s", "th", "size"), "s")
+    members = materialize(members)
+    sizes = members.groupBy("root").agg(F.ceil(F.sum("size") * 2 / cell).alias("halves"), F.count(F.lit(1)).alias("n"))
+    sizes = sizes.select("root", F.when(F.col("halves") <= 2, 1).otherwise(F.col("halves")).cast("int").alias("parts"), "n")
+    members = join_hot(members, sizes, "root", "n", members.count()).select("th", "s", "root", "parts")
     once = texts.mapInArrow(_once, "th long, text string")
-    sets = materialize(once.join(of.join(ends, "s").select("th", "s", "n"), "th").dropDuplicates(["th"]).select("s", "n", "text").mapInArrow(_sets, "s long, n long, hashes array<long>"))
-    # A text may be an end of very many pairs: those are broadcast, not sent to one task.
-    both, total = pairs, 2 * pairs.count()
-    for x in "ab":
-        both = join_hot(both, sets.select(F.col("s").alias(x), "n", F.col("hashes").alias(f"h_{x}")), x, "n", total, share=1e-3)
-    both = both.withColumn("same", F.size(F.array_intersect("h_a", "h_b")))
-    return materialize(both.filter(F.col("same") / (F.size("h_a") + F.size("h_b") - F.col("same")) >= SIMILARITY).select("a", "b"))
+    sets = once.join(members, "th").dropDuplicates(["th"]).select("s", "root", "parts", "text").mapInArrow(_sets, "s long, root long, parts int, hashes binary")
+    dealt = _dealt(sets, "root").select("cell", "own", "s", "hashes")
+    return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(_in_cells, "a long, b long")
 
 
-def components(documents: DataFrame, bucket_rows: int = 1 << 15) -> DataFrame:
+def components(documents: DataFrame, bucket_rows: int = 1 << 15, cell: int = CELL) -> DataFrame:
     """doc_id, th (hash of the text) and component (a long) for every row of ``documents``."""
     texts = documents.select(F.xxhash64("text").alias("th"), "text")
-    sketched = materialize(texts.mapInArrow(_sketches, "th long, s long, fp binary").dropDuplicates(["th"]))
-    of = materialize(sketched.filter("fp is not null").groupBy("s").agg(F.min("th").alias("th"), F.first("fp").alias("fp")))
-    n, rooted = of.count(), of.withColumn("root", F.col("s"))
-    checked = materialize(candidates(rooted, n, bucket_rows).distinct())
-    edges = confirmed(checked, texts, of)
-    roots, nearest, more = materialize(connected_components(edges)), APART, True
-    while more:  # then every pair within the radius is confirmed, refuted or inside a component
-        rooted = materialize(of.join(roots, F.col("s") == F.col("node"), "left").select("s", "fp", F.coalesce("root", "s").alias("root")))
-        found = materialize(candidates(rooted, n, bucket_rows, _across(nearest)).distinct())
-        more = bool(found.filter("a = -1 and b = -1").take(1))  # some text has more near ones than it was held against
-        fresh = materialize(found.filter("a <> -1 or b <> -1").join(checked, ["a", "b"], "left_anti"))
-        new = confirmed(fresh, texts, of) if fresh.take(1) else None
-        if new is not None and new.take(1):
-            edges = materialize(edges.unionByName(new))
-            roots = materialize(connected_components(edges))
-        checked, nearest = materialize(checked.unionByName(fresh)) if more else checked, 2 * nearest
+    sketched = materialize(texts.mapInArrow(_sketches, "th long, s long, fp binary, size long").dropDuplicates(["th"]))
+    of = materialize(sketched.filter("fp is not null").groupBy("s").agg(F.min("th").alias("th"), F.first("fp").alias("fp"), F.first("size").alias("size")))
+    groups = materialize(connected_components(candidates(of, of.count(), bucket_rows)))
+    roots = materialize(connected_components(confirmed(groups, texts, of, cell)))
     counted = documents.groupBy(F.xxhash64("text").alias("th")).agg(F.count(F.lit(1)).alias("n"))
     keyed = sketched.join(roots, F.col("s") == F.col("node"), "left").select("th", F.coalesce("root", "s").alias("s"))
     rows = documents.select("doc_id", F.xxhash64("text").alias("th"))
