@@ -47,20 +47,36 @@ FUNCTION_WORDS = {
     "es": "el los las y del una con por no su para es al lo como más o pero sus le ha si sin sobre este ya entre cuando todo esta ser son dos también fue era muy hasta",
 }
 LANGUAGES = (*FUNCTION_WORDS, "other")
+#: Of each column of the stacked filters: its filter, and its place in the filter's width.
+_FILTER_OF = np.concatenate([np.tile(np.arange(k * FILTERS, (k + 1) * FILTERS), w) for k, w in enumerate(WIDTHS)])
+_PLACE_OF = np.concatenate([np.repeat(np.arange(w), FILTERS) for w in WIDTHS])
 _LANGUAGE_OF = {w: i for i, words in reversed(list(enumerate(FUNCTION_WORDS.values()))) for w in words.split()}
 
 
+class Begins(dict):
+    """A word's first four letters -> the two bucket numbers of its beginnings, in one integer; emptied when it is large."""
+
+    def __missing__(self, four: str) -> int:
+        if len(self) > 150_000:
+            self.clear()
+        mask = (1 << BITS) - 1
+        three, whole = (zlib.crc32(part.encode("utf-8", "replace")) & mask for part in (four[:3] + "\x00", four + "\x01"))
+        value = self[four] = three << BITS | whole
+        return value
+
+
 class Packed(dict):
     """Word as written -> its three bucket numbers and the language it speaks for, in one integer; emptied when it is large."""
 
+    def __init__(self) -> None:
+        self.begins = Begins()
+
     def __missing__(self, word: str) -> int:
         if len(self) > 150_000:
             self.clear()
         bare = word.strip(PUNCTUATION)
-        mask, value = (1 << BITS) - 1, _LANGUAGE_OF.get(bare, len(FUNCTION_WORDS))
-        for part in (bare, bare[:3] + "\x00", bare[:4] + "\x01"):
-            value = value << BITS | zlib.crc32(part.encode("utf-8", "replace")) & mask
-        self[word] = value
+        language, own = _LANGUAGE_OF.get(bare, len(FUNCTION_WORDS)), zlib.crc32(bare.encode("utf-8", "replace")) & ((1 << BITS) - 1)
+        value = self[word] = (language << BITS | own) << (2 * BITS) | self.begins[bare[:4]]
         return value
 
 
@@ -91,11 +107,15 @@ class ToxicityModel:
     constant: float | None = None
     thresholds: dict[str, float] = field(default_factory=dict)
 
-    def pool(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Largest response of each filter over the words, and where it was (-1: nowhere)."""
+    def stacked(self) -> np.ndarray:
+        """All filters side by side: a column for each width, place in it and filter."""
+        return np.concatenate([f.reshape(w, EMBED, FILTERS).transpose(1, 0, 2).reshape(EMBED, -1) for w, f in zip(WIDTHS, self.filters, strict=True)], axis=1)
+
+    def pool(self, words: np.ndarray, stack: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Largest response of each filter over the words, and where it was (-1: nowhere); ``stack`` is ``stacked()``, made once for many texts."""
+        stack = self.stacked() if stack is None else stack
         best, where = np.full(self.bias.size, -np.inf, np.float32), np.full(self.bias.size, -1)
         reach = max(WIDTHS) - 1
-        stack = np.concatenate([f.reshape(-1, FILTERS).reshape(w, EMBED, FILTERS).transpose(1, 0, 2).reshape(EMBED, -1) for w, f in zip(WIDTHS, self.filters, strict=True)], axis=1)
         for at in range(0, words.shape[1], STRETCH):
             ids = words[:, at : at + STRETCH + reach]
             x = self.embed[ids[0]]
@@ -117,13 +137,13 @@ class ToxicityModel:
         h = np.where(where >= 0, np.maximum(best + self.bias, 0), 0).astype(np.float32)
         return h, where
 
-    def logit(self, words: np.ndarray) -> float:
-        return float(self.pool(words)[0] @ self.out + self.out_bias)
+    def logit(self, words: np.ndarray, stack: np.ndarray | None = None) -> float:
+        return float(self.pool(words, stack)[0] @ self.out + self.out_bias)
 
-    def score(self, packed: np.ndarray) -> float:
+    def score(self, packed: np.ndarray, stack: np.ndarray | None = None) -> float:
         if self.constant is not None:
             return self.constant
-        x = self.logit(buckets(packed)) - self.thresholds.get(LANGUAGES[language_of(packed)], 0.0)
+        x = self.logit(buckets(packed), stack) - self.thresholds.get(LANGUAGES[language_of(packed)], 0.0)
         return float(1 / (1 + np.exp(-np.clip(x, -35, 35))))
 
 
@@ -140,25 +160,27 @@ class Trainer:
         embed, *dense = self.weights
         d_dense = [np.zeros_like(w) for w in dense]
         d_filters, d_bias, d_out, d_ob = d_dense[: len(WIDTHS)], *d_dense[len(WIDTHS) :]
-        at_rows, at_grads = [], []
+        at_rows, at_grads, stack = [], [], m.stacked()
+        by_column, d_columns = np.ascontiguousarray(stack.T), np.zeros((stack.shape[1], EMBED), np.float32)
         for words, label in zip(rows, labels, strict=True):
-            h, where = m.pool(words)
+            h, where = m.pool(words, stack)
             d = 1 / (1 + np.exp(-np.clip(h @ m.out + m.out_bias, -35, 35))) - label
             d_out += d * h
             d_ob += d
             dh = d * m.out * (h > 0)
             d_bias += dh
-            for k, w in enumerate(WIDTHS):
-                live = np.flatnonzero(dh[k * FILTERS : (k + 1) * FILTERS])
-                for j in range(w):
-                    if live.size:
-                        ids = words[:, where[k * FILTERS + live] + j]
-                        g = dh[k * FILTERS + live].astype(np.float32)
-                        part = slice(j * EMBED, (j + 1) * EMBED)
-                        d_filters[k][part, live] += embed[ids].sum(axis=0).T * g
-                        back = m.filters[k][part, live].T * g[:, None]
-                        at_rows += [ids.ravel()]
-                        at_grads += [np.tile(back, (3, 1))]
+            live = np.flatnonzero(dh[_FILTER_OF])
+            if live.size:
+                ids = words[:, where[_FILTER_OF[live]] + _PLACE_OF[live]]
+                g = dh[_FILTER_OF[live]].astype(np.float32)[:, None]
+                d_columns[live] += embed[ids].sum(axis=0) * g
+                back = by_column[live] * g
+                at_rows.append(ids.ravel())
+                at_grads += [back, back, back]
+        col = 0
+        for w, d in zip(WIDTHS, d_filters, strict=True):
+            d[:] = d_columns[col : col + w * FILTERS].reshape(w, FILTERS, EMBED).transpose(0, 2, 1).reshape(w * EMBED, FILTERS)
+            col += w * FILTERS
         for value, total, d in zip(dense, self.squares[1:], d_dense, strict=True):
             total += d * d
             value -= self.rate * d / np.sqrt(total)
@@ -270,10 +292,10 @@ def thresholds_of(rows: DataFrame, model: ToxicityModel) -> dict[str, float]:
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def logits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = Packed()
+        memo, stack = Packed(), shared.value.stacked()
         for b in batches:
             packed = [_unpack(t, memo) for t in b.column(0)]
-            at = [round(GRID * float(np.clip(shared.value.logit(buckets(p)), -35, 35))) for p in packed]
+            at = [round(GRID * float(np.clip(shared.value.logit(buckets(p), stack), -35, 35))) for p in packed]
             yield pa.RecordBatch.from_arrays([pa.array(map(language_of, packed), pa.int32()), pa.array(at, pa.int32()), b.column(1)], ["spoken", "at", "toxic"])
 
     found = rows.select("text", "toxic").mapInArrow(logits, "spoken int, at int, toxic int").groupBy("spoken", "at", "toxic").agg(F.count(F.lit(1)).alias("n")).collect()
@@ -312,7 +334,8 @@ def predict(documents: DataFrame, model: ToxicityModel) -> DataFrame:
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo, model = Packed(), shared.value
+        stack = model.stacked() if model.constant is None else None
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(encode(t.as_py(), memo)) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([model.score(encode(t.as_py(), memo), stack) for t in batch.column(1)], pa.float64())], ["doc_id", "score"])
 
     return rows.mapInArrow(score, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, score double")
